@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import op2_quality, op6_toxicity, op9_language, op10_decontaminate
+from loomgraph.llm import op2_quality, op6_toxicity, op7_tiff, op9_language, op10_decontaminate
 from loomgraph.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_tiff.report(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_language.report(table(spark, sf_dir, "documents"))
 
@@ -28,7 +32,7 @@ def op10_winnow_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_ranking, op6_toxicity_chain, op9_language_id, op10_winnow_decontamination)}
+    return {f.__name__: f for f in (op2_quality_ranking, op6_toxicity_chain, op7_tiff_pages, op9_language_id, op10_winnow_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
