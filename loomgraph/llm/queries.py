@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import op2_quality, op6_toxicity, op7_tiff, op9_language, op10_decontaminate
+from loomgraph.llm import op1_pii, op2_quality, op6_toxicity, op7_tiff, op9_language, op10_decontaminate
 from loomgraph.llm.common import table
 
 
+def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_pii.report(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,8 +36,8 @@ def op10_winnow_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_ranking, op6_toxicity_chain, op7_tiff_pages, op9_language_id, op10_winnow_decontamination)}
+    return {f.__name__: f for f in (op1_pii_spans, op2_quality_ranking, op6_toxicity_chain, op7_tiff_pages, op9_language_id, op10_winnow_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_winnow_decontamination": op10_decontaminate.SQL}
+    return {"op1_pii_spans": op1_pii.SQL, "op10_winnow_decontamination": op10_decontaminate.SQL}
