@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import op1_pii, op2_quality, op3_chat, op4_mixing, op6_toxicity, op7_tiff, op8_jaccard, op9_language, op10_decontaminate
+from loomgraph.llm import op1_pii, op2_quality, op3_chat, op4_mixing, op5_chunks, op6_toxicity, op7_tiff, op8_jaccard, op9_language, op10_decontaminate
 from loomgraph.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_chunks.report(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,7 +52,7 @@ def op10_winnow_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_spans, op2_quality_ranking, op3_chat_formatting, op4_source_mixing, op6_toxicity_chain, op7_tiff_pages, op8_jaccard_join, op9_language_id, op10_winnow_decontamination)}
+    return {f.__name__: f for f in (op1_pii_spans, op2_quality_ranking, op3_chat_formatting, op4_source_mixing, op5_chunk_dedup, op6_toxicity_chain, op7_tiff_pages, op8_jaccard_join, op9_language_id, op10_winnow_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
