@@ -15,8 +15,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import written  # noqa: F401  (offered to callers that cut lineage)
-
 LEAST, BEFORE, AFTER = 0.6, 40, 20
 BASE = ("email", "ip", "card", "phone")
 
@@ -127,7 +125,7 @@ def mask(docs: DataFrame, least: float = LEAST) -> DataFrame:
     new = masked(F.col("text"), detect(F.col("text"), least))
     changed = {"text": new}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.length(new) == F.length("text"), F.col("n_chars")).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(new.eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType)
     return docs.withColumns(changed)
 
 

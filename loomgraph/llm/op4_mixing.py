@@ -137,7 +137,7 @@ def slots(draws: DataFrame, sources: list[Source], block_words: int, seed: int)
     got = {r.source_index: r.n for r in draws.groupBy("source_index").agg(F.sum("n").alias("n")).collect()}  # one row per source
     got = [got.get(i, 0) for i in range(len(sources))]
     over, short = [max(0, g - s.quota) for g, s in zip(got, sources, strict=True)], [max(0, s.quota - g) for g, s in zip(got, sources, strict=True)]
-    over_from, short_from = list(accumulate([0, *over[:-1]])), list(accumulate([0, *short[:-1]]))
+    over_from, short_from = list(accumulate([0, *over]))[:-1], list(accumulate([0, *short]))[:-1]
     at = lambda xs, i: F.element_at(_values(xs), i + 1)
     upto = Window.partitionBy("source_index").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     in_shard = Window.partitionBy("shard").orderBy("source_index").rowsBetween(Window.unboundedPreceding, 0)

@@ -104,7 +104,7 @@ def removed(docs: DataFrame, runs: DataFrame) -> DataFrame:
         lambda a: F.concat(a["out"], F.substr(raw, a["at"] + 1)),
     )
     joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("_doc")), "left")
-    return joined.withColumn("text", F.when(F.col("_runs").isNotNull(), F.decode(kept, F.lit("UTF-8"))).otherwise(F.col("text"))).select(*docs.columns)
+    return joined.withColumn("text", F.when(F.col("_runs").isNotNull(), kept.cast("string")).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
