@@ -149,9 +149,9 @@ def varlen_reach_1_3(spark, d):
     return G.reach(edges, G.hubs(edges, "dst"), 3, reverse=True)
 
 
-@query(f"""WITH {_BUYS}, {_HUB}, a AS (SELECT e.src AS x1, e.dst AS x0 FROM e JOIN hub ON e.dst = hub.id), b AS (SELECT a.*, e.src AS x2 FROM a JOIN e ON e.dst = a.x1 WHERE NOT (e.src = a.x1 AND e.dst = a.x0)),
-c AS (SELECT b.*, e.src AS x3 FROM b JOIN e ON e.dst = b.x2 WHERE NOT (e.src = b.x1 AND e.dst = b.x0) AND NOT (e.src = b.x2 AND e.dst = b.x1))
-SELECT 1 AS hops, count(*) AS n FROM a UNION ALL SELECT 2, count(*) FROM b UNION ALL SELECT 3, count(*) FROM c""")
+@query(f"""WITH {_BUYS}, {_HUB}, a AS (SELECT e.src AS x1, e.dst AS x0 FROM e JOIN hub ON e.dst = hub.id), two AS (SELECT a.*, e.src AS x2 FROM a JOIN e ON e.dst = a.x1 WHERE NOT (e.src = a.x1 AND e.dst = a.x0)),
+three AS (SELECT two.*, e.src AS x3 FROM two JOIN e ON e.dst = two.x2 WHERE NOT (e.src = two.x1 AND e.dst = two.x0) AND NOT (e.src = two.x2 AND e.dst = two.x1))
+SELECT 1 AS hops, count(*) AS n FROM a UNION ALL SELECT 2, count(*) FROM two UNION ALL SELECT 3, count(*) FROM three""")
 def varlen_trails_count(spark, d):
     edges = purchase_graph(spark, d)
     return G.trails(edges, G.hubs(edges, "dst"), 1, 3, reverse=True).groupBy("hops").agg(F.count("*").alias("n"))
@@ -287,7 +287,7 @@ def scored_best(spark, d):
 _TEMPLATES = ["/{a}/{b}", "/{kind}/{id}/{part}", "/{only}", "/", "/page/{id}", "/{section}/item/{id}"]
 
 
-@query("WITH p AS (SELECT page_id, list_filter(string_split(regexp_replace(url, '^https?://[^/]*|[?#].*$', '', 'g'), '/'), x -> x <> '') AS s FROM pages), t AS (SELECT template, list_filter(string_split(template, '/'), x -> x <> '') AS s FROM (VALUES " + ", ".join(f"('{t}')" for t in _TEMPLATES) + ") v(template)) SELECT page_id, template FROM p JOIN t ON len(p.s) = len(t.s) WHERE len(p.s) = 0 OR list_bool_and(list_transform(range(1, len(t.s) + 1), i -> starts_with(t.s[i], '{') OR t.s[i] = p.s[i]))")
+@query("WITH p AS (SELECT page_id, list_filter(string_split(regexp_replace(url, '^https?://[^/]*|[?#].*$', '', 'g'), '/'), lambda x: x <> '') AS s FROM pages), t AS (SELECT template, list_filter(string_split(template, '/'), lambda x: x <> '') AS s FROM (VALUES " + ", ".join(f"('{t}')" for t in _TEMPLATES) + ") v(template)) SELECT page_id, template FROM p JOIN t ON len(p.s) = len(t.s) WHERE len(p.s) = 0 OR list_bool_and(list_transform(range(1, len(t.s) + 1), lambda i: starts_with(t.s[i], '{') OR t.s[i] = p.s[i]))")
 def segment_match(spark, d):
     paths = table(spark, d, "pages").select("page_id", F.regexp_replace("url", r"^https?://[^/]*|[?#].*$", "").alias("path"))
     templates = spark.createDataFrame([(t,) for t in _TEMPLATES], "template string")
@@ -340,13 +340,14 @@ def html_links(spark, d):
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def doc_contains(spark, d):
-    """Documents that contain a benchmark text: equi-join on its first 32 characters after a word start, then exact containment. Shorter texts are compared with all documents, in the form of one small broadcast list."""
+    """Documents that contain a benchmark text: equi-join on its first 32 characters after a word start, then exact containment. Texts without such characters (short ones) are compared with all documents."""
     docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
     size = 32
-    long_items = items.where(F.length("item") >= 2 * size).withColumn("key", F.xxhash64(F.regexp_extract("item", rf"(?s)(?:\s)(\S.{{{size - 1}}})", 1)))
+    items = items.withColumn("first", F.regexp_extract("item", rf"(?s)(?:\s)(\S.{{{size - 1}}})", 1))
+    long_items = items.where("first <> ''").withColumn("key", F.xxhash64("first"))
     starts = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(rf"(?s)\s(?=(\S.{{{size - 1}}}))"), F.lit(1)), lambda x: F.xxhash64(x)))
     found = docs.select("doc_id", "text", F.explode(starts).alias("key")).join(long_items, "key").where(F.col("text").contains(F.col("item"))).select("doc_id", "item_id").distinct()
-    short = items.where(F.length("item") < 2 * size).groupBy().agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
+    short = items.where("first = ''").groupBy().agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
     rest = docs.crossJoin(F.broadcast(short)).select("doc_id", F.explode(F.filter("items", lambda x: F.col("text").contains(x["item"]))["item_id"]).alias("item_id"))
     return found.unionByName(rest)
 
@@ -370,7 +371,7 @@ def loc_count(spark, d):
     return table(spark, d, "documents").select("doc_id", loc.alias("loc"))
 
 
-@query("SELECT doc_id, length(text) >= 1024 AND NOT contains(text, chr(10)) OR list_avg(list_transform(string_split(text, chr(10))[1:50], x -> length(x))) > 500 AND len(string_split(text, chr(10))) >= 5 AS generated FROM documents")
+@query("SELECT doc_id, length(text) >= 1024 AND NOT contains(text, chr(10)) OR list_avg(list_transform(string_split(text, chr(10))[1:50], lambda x: length(x))) > 500 AND len(string_split(text, chr(10))) >= 5 AS generated FROM documents")
 def generated_filter(spark, d):
     lines = F.slice(F.split("text", "\n", -1), 1, 50)
     width = F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x)) / F.size(lines)
