@@ -46,8 +46,8 @@ def save(spark: SparkSession, graph: PropertyGraph, path: str, provenance: dict
     for (kind, src, dst), t in sorted(graph.edge_tables.items()):
         t.write.parquet(f"{staged}/edges/{kind}/{src}__{dst}")
         catalogue["edges"].append([kind, src, dst])
-    _write_text(spark, f"{staged}/_catalog.json", json.dumps(catalogue))
-    _write_text(spark, f"{staged}/_provenance.json", json.dumps(provenance or {}, sort_keys=True))
+    _write_text(spark, f"{staged}/catalog.json", json.dumps(catalogue))
+    _write_text(spark, f"{staged}/provenance.json", json.dumps(provenance or {}, sort_keys=True))
     target, old = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{staged}.old")
     replaced = fs.exists(target) and fs.rename(target, old)
     if not fs.rename(at, target):
@@ -57,7 +57,7 @@ def save(spark: SparkSession, graph: PropertyGraph, path: str, provenance: dict
 
 
 def load(spark: SparkSession, path: str) -> PropertyGraph:
-    text = _read_text(spark, f"{path}/_catalog.json")
+    text = _read_text(spark, f"{path}/catalog.json")
     if text is None:
         raise FileNotFoundError(path)
     c = json.loads(text)
@@ -65,7 +65,7 @@ def load(spark: SparkSession, path: str) -> PropertyGraph:
 
 
 def provenance(spark: SparkSession, path: str) -> dict | None:
-    text = _read_text(spark, f"{path}/_provenance.json")
+    text = _read_text(spark, f"{path}/provenance.json")
     return None if text is None else json.loads(text)
 
 
