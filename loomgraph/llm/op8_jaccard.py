@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import WordHash, by_bytes, grams, shared, utf8, written
 from loomgraph.llm.components import components
 
-WORDS, PERCENT, ORDER_BITS, MOST_L, GROUP, BLOCK, VERIFY, FAN_IN = 5, 80, 20, 3, 32, 256, 20.0, 32
+WORDS, PERCENT, ORDER_BITS, MOST_L, GROUP, BLOCK, VERIFY, FAN_IN, ID_BITS = 5, 80, 22, 3, 32, 256, 20.0, 32, 23
 
 
 def shingle_sets(texts: list[bytes], k: int, cache: WordHash) -> Iterator[np.ndarray]:
@@ -48,18 +48,23 @@ def key_of(shingles: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
 
 
+def _half(key: bytes | None) -> int | None:
+    return None if key is None else int.from_bytes(key[:8], "big", signed=True)
+
+
 def shingle_counts(docs: DataFrame, k: int, bits: int) -> np.ndarray:
     """How often the shingles of each hash range occur (once per document), over all documents. Summed in a tree, FAN_IN tables at a time."""
 
     def count(batches):
-        cache, total, some = WordHash(), np.zeros(1 << bits, np.int64), False
+        cache, total, some = WordHash(), np.zeros(1 << bits, np.int32), False
         for batch in batches:
             for _, texts in by_bytes(utf8(batch.column(1))):
                 every = np.concatenate(list(shingle_sets(texts, k, cache)))
-                total += np.bincount((every >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+                places, times = np.unique((every >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+                total[places] += times.astype(np.int32)
                 some = True
         if some:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() // FAN_IN], pa.int64()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() // FAN_IN], pa.int64()), pa.array([zlib.compress(total.astype(np.int64).tobytes(), 1)], pa.binary())], ["part", "counts"])
 
     def add(pdf):
         import pandas as pd
@@ -106,7 +111,7 @@ class Order:
 
 
 def nodes(docs: DataFrame, order: Order, k: int) -> DataFrame:
-    """doc_id, n, key (null for an empty set), ell, prefix of every document."""
+    """doc_id, n, key (null for an empty set), id (the key's first half), ell, prefix of every document."""
     sent = shared(docs.sparkSession, (order.rank, order.load, order.percent, order.most_l))
 
     def run(batches):
@@ -122,16 +127,17 @@ def nodes(docs: DataFrame, order: Order, k: int) -> DataFrame:
                     keys.append(key_of(s))
                     ells.append(ell)
                     prefixes.append(prefix.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(ells, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n", "key", "ell", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array([_half(x) for x in keys], pa.int64()), pa.array(ells, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n", "key", "id", "ell", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, key binary, ell int, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, key binary, id long, ell int, prefix array<long>")
 
 
 def candidates(reps: DataFrame, percent: int, group: int, block: int) -> DataFrame:
     """Rows of two kinds: pairs (a, b, ell) from shingles with few documents, and members (shingle, a, part) of larger groups.
 
-    A shingle's documents come in one after the other, sorted; at most `group` of them are held."""
-    rows = reps.select(F.explode("prefix").alias("shingle"), "n", "key", "ell").repartition("shingle").sortWithinPartitions("shingle", "n", "key")
+    Documents go by half of their key here: two with the same half are both candidates later on, and compared in full. A
+    shingle's documents come in one after the other, sorted by size; at most `group` of them are held."""
+    rows = reps.select(F.explode("prefix").alias("shingle"), (F.col("n") * 4 + F.col("ell")).alias("size"), "id").repartition("shingle").sortWithinPartitions("shingle", "size", "id")
 
     def run(batches):
         at, held, seen = None, [], 0
@@ -139,36 +145,35 @@ def candidates(reps: DataFrame, percent: int, group: int, block: int) -> DataFra
 
         def close():
             nonlocal held
-            for i, (n, a, x) in enumerate(held):
-                for m, b, y in held[i + 1 :]:
-                    if n * 100 >= m * percent:
-                        out.append((None, a, b, min(x, y), None))
+            for i, (x, a) in enumerate(held):
+                for y, b in held[i + 1 :]:
+                    if (x >> 2) * 100 >= (y >> 2) * percent:
+                        out.append((None, min(a, b), max(a, b), min(x & 3, y & 3), None))
             held = []
 
         def flush():
             nonlocal out
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()), strict=True)], ["shingle", "a", "b", "ell", "part"])
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["shingle", "a", "b", "ell", "part"])
             out = []
             return batch
 
         for batch in batches:
-            s = batch.column(0).to_numpy(zero_copy_only=False)
+            s, sizes, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             again = np.flatnonzero(s[1:] == s[:-1])
-            busy = np.unique(np.concatenate([again, again + 1, [0, len(s) - 1]])) if len(s) else []  # rows whose shingle may recur
-            for i in busy:
-                if s[i] != at:
+            busy = np.unique(np.concatenate([again, again + 1, [0, len(s) - 1]])).astype(np.int64) if len(s) else np.empty(0, np.int64)  # rows whose shingle may recur
+            for shingle, size, a in zip(s[busy].tolist(), sizes[busy].tolist(), ids[busy].tolist(), strict=True):
+                if shingle != at:
                     if seen <= group:
                         close()
-                    at, held, seen = s[i], [], 0
+                    at, held, seen = shingle, [], 0
                 seen += 1
-                row = (batch.column(1)[int(i)].as_py(), batch.column(2)[int(i)].as_py(), batch.column(3)[int(i)].as_py())
                 if seen <= group:
-                    held.append(row)
+                    held.append((size, a))
                     continue
                 if seen == group + 1:
-                    out.extend((int(at), a, None, None, j // block) for j, (_, a, _) in enumerate(held))
+                    out.extend((at, x, None, None, j // block) for j, (_, x) in enumerate(held))
                     held = []
-                out.append((int(at), row[1], None, None, (seen - 1) // block))
+                out.append((at, a, None, None, (seen - 1) // block))
             if len(out) > 50_000:
                 yield flush()
         if seen <= group:
@@ -176,54 +181,77 @@ def candidates(reps: DataFrame, percent: int, group: int, block: int) -> DataFra
         if out:
             yield flush()
 
-    return rows.mapInArrow(run, "shingle long, a binary, b binary, ell int, part int")
+    return rows.mapInArrow(run, "shingle long, a long, b long, ell int, part int")
+
 
+def _id_bits(wanted: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2^bits places with the hashes of the wanted document ids: of fixed size, however many there are."""
+    place = F.pmod(F.xxhash64("rep"), F.lit(1 << bits))
+    rows = wanted.select(F.shiftright(place, 6).alias("word"), F.expr("1L").alias("one"), (place % 64).cast("int").alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("on"))
+    out = np.zeros(1 << (bits - 6), np.int64)
+    for r in rows.toLocalIterator():
+        out[r.word] = r.on
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
-def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """key, shingles (binary) of the documents with the wanted ids, once for each key."""
-    some = docs.join(wanted.select(F.col("rep").alias("_rep")), docs["doc_id"].eqNullSafe(F.col("_rep")), "left_semi")
+
+def texts_of(docs: DataFrame, wanted: DataFrame, k: int, bits: int) -> DataFrame:
+    """key, id, text (UTF-8) of the documents whose ids are on the bitmap of the wanted ones (rep). The few others on it are in no
+    candidate pair or group, so later joins pass them over; nothing is shuffled here. Texts
+    travel, not sets: they are several times smaller."""
+    sent = shared(docs.sparkSession, np.packbits(_id_bits(wanted, bits)))
+    placed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("place"))
 
     def run(batches):
-        cache = WordHash()
+        on, cache = np.unpackbits(sent()).astype(bool), WordHash()
         for batch in batches:
-            keys, sets = [], []
-            for _, texts in by_bytes(utf8(batch.column(1))):
-                for s in shingle_sets(texts, k, cache):
-                    keys.append(key_of(s))
-                    sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["key", "shingles"])
+            batch = batch.filter(pa.array(on[batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)], pa.bool_()))
+            keys = [key_of(s) for _, texts in by_bytes(utf8(batch.column(1))) for s in shingle_sets(texts, k, cache)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([_half(x) for x in keys], pa.int64()), batch.column(1).cast(pa.string()).cast(pa.binary())], ["key", "id", "text"])
 
-    return some.mapInArrow(run, "key binary, shingles binary").where("key IS NOT NULL").dropDuplicates(["key"])
+    return placed.mapInArrow(run, "key binary, id long, text binary").where("id IS NOT NULL")
 
 
-def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+def linked_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b: ids) whose sets are similar enough, as keys.
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+    A pair is compared where the least partner of `a` is: the members of a family of copies meet in one place, so a text
+    travels about once or twice, not once for each of its pairs."""
+    every = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    hub = every.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("hub"))
+    at = written(pairs.join(hub, "a").select("hub", "a", "b"), "jaccard-routes")
+    goes = at.select("hub", F.col("a").alias("id")).unionByName(at.select("hub", F.col("b").alias("id"))).distinct()
+    there = goes.withColumnRenamed("hub", "at").join(texts, "id").select("at", "id", "key", "text")
+
+    def compare(wanted, found):
+        import pandas as pd
+
+        held: dict[int, list] = {}
+        for i, key, s in zip(found["id"], found["key"], shingle_sets(found["text"], k, WordHash()), strict=True):
+            held.setdefault(i, []).append((key, s))
+        out = []
+        for a, b in zip(wanted["a"], wanted["b"], strict=True):
+            for key_a, x in held.get(a, ()):
+                for key_b, y in held.get(b, ()):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        out.append((key_a, key_b))
+        return pd.DataFrame(out, columns=["a", "b"])
 
-    one = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
-    return one.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return at.groupBy("hub").cogroup(there.groupBy("at")).applyInPandas(compare, "a binary, b binary")
 
 
-def linked_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def linked_blocks(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """A spanning forest of the links in large groups: every two blocks of a group meet in one task."""
     last = members.groupBy("shingle").agg(F.max("part").alias("last"))
     left = last.select("shingle", "last", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
     blocks = left.select("shingle", "i", F.explode(F.when(F.col("last") == 0, F.array(F.lit(0))).when(F.col("i") < F.col("last"), F.sequence(F.col("i") + 1, F.col("last")))).alias("j"))
     sides = blocks.select("shingle", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("part"))
-    rows = sides.join(members.select("shingle", "part", F.col("a").alias("key")), ["shingle", "part"]).join(sets, "key").select("shingle", "i", "j", "key", "shingles")
+    rows = sides.join(members.select("shingle", "part", F.col("a").alias("id")), ["shingle", "part"]).join(texts, "id").select("shingle", "i", "j", "key", "text")
 
     def links(pdf):
         import pandas as pd
 
-        keys, sets = pdf["key"].tolist(), [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
+        keys, sets = pdf["key"].tolist(), list(shingle_sets(pdf["text"], k, WordHash()))
         size = np.array([len(s) for s in sets])
         every, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         doc = np.repeat(np.arange(len(sets)), size)
@@ -258,15 +286,14 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, order_bits:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = Order(shingle_counts(docs, k, order_bits), percent, most_l)
     every = written(nodes(docs, order, k), "jaccard-nodes")
-    reps = every.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("ell").alias("ell"), F.first("prefix").alias("prefix"))
+    reps = every.where("key IS NOT NULL").groupBy("key").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.first("ell").alias("ell"), F.first("prefix").alias("prefix"))
     found = written(candidates(reps, percent, group, block), "jaccard-candidates")
-    pairs = found.where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("ell").alias("ell")).where("shared >= ell").select("a", "b")
+    pairs = written(found.where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("ell").alias("ell")).where("shared >= ell").select("a", "b"), "jaccard-pairs")
     members = found.where("b IS NULL").select("shingle", "a", "part")
-    pairs = written(pairs, "jaccard-pairs")
-    ids = every.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).unionByName(members.select(F.col("a").alias("key"))).distinct()
-    sets = written(sets_of(docs, ids.join(wanted, "key", "left_semi").select("rep").distinct(), k), "jaccard-sets")
-    edges = linked_pairs(pairs, sets, percent).unionByName(linked_blocks(members, sets, percent))
+    ids = written(every.where("key IS NOT NULL").groupBy("key", "id").agg(F.min("doc_id").alias("rep")), "jaccard-ids")
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(members.select(F.col("a").alias("id"))).distinct()
+    texts = written(texts_of(docs, written(ids.join(wanted, "id", "left_semi").select("key", "rep"), "jaccard-wanted"), k, ID_BITS), "jaccard-texts")
+    edges = written(linked_pairs(pairs, texts, k, percent), "jaccard-links").unionByName(written(linked_blocks(members, texts, k, percent), "jaccard-links"))
     roots = components(edges)
     rooted = ids.join(roots, ids["key"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     least = roots.select("root").distinct().join(rooted, "root").groupBy("root").agg(F.min("rep").alias("least"))
