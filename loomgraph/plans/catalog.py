@@ -135,7 +135,7 @@ def exists_semi(spark, d):
     return cypher.run(trade_graph(spark, d), "MATCH (c:Customer) WHERE EXISTS { (c)-[:PLACED]->(o:Order) WHERE o.o_totalprice > 300000 } RETURN c.c_mktsegment AS segment, count(*) AS n")
 
 
-@query("SELECT region, count(*) AS nations, sum(n) AS customers FROM (SELECT n_regionkey AS region, n_nationkey, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL) WHERE n > 50 GROUP BY region")
+@query("SELECT region, count(*) AS nations, CAST(sum(n) AS BIGINT) AS customers FROM (SELECT n_regionkey AS region, n_nationkey, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL) WHERE n > 50 GROUP BY region")
 def with_then_aggregate(spark, d):
     return cypher.run(trade_graph(spark, d), "MATCH (r:Region)<-[:IN_REGION]-(m:Nation)<-[:IN_NATION]-(c:Customer) WITH r.id AS region, m.id AS nation, count(c) AS n WHERE n > 50 RETURN region, count(*) AS nations, sum(n) AS customers")
 
