@@ -25,6 +25,22 @@ def one_edge_per_pair(edges: DataFrame, site: str | None = None) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.array_join(sites.cast("array<string>"), ",").alias("sites"), F.size(sites).cast("long").alias("site_count"))
 
 
+class Lazy(dict):
+    """A dict of tables or of functions that make them; a table is made when it is first asked for."""
+
+    def __getitem__(self, key):
+        value = super().__getitem__(key)
+        if callable(value):
+            value = self[key] = value()
+        return value
+
+    def items(self):
+        return [(k, self[k]) for k in self]
+
+    def values(self):
+        return [self[k] for k in self]
+
+
 @dataclass
 class PropertyGraph:
     """Node tables have `id` and usually `title`; edge tables have `src`, `dst` and properties."""

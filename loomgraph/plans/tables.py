@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomgraph.operators.graph import PropertyGraph
+from loomgraph.operators.graph import Lazy, PropertyGraph
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -17,20 +17,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def trade_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Regions, nations, customers, suppliers, orders and parts; lazily read, so a query scans only what it uses."""
-    t = {n: table(spark, sf_dir, n) for n in TABLES[:7]}
-    node = lambda n, key, title: t[n].select(F.col(key).cast("long").alias("id"), F.col(title).alias("title"), *[c for c in t[n].columns if c not in (key, title)])
-    edge = lambda n, src, dst: t[n].select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"))
-    return PropertyGraph(
-        {
-            "Region": node("region", "r_regionkey", "r_name"), "Nation": node("nation", "n_nationkey", "n_name"), "Customer": node("customer", "c_custkey", "c_name"),
-            "Supplier": node("supplier", "s_suppkey", "s_name"), "Part": node("part", "p_partkey", "p_name"), "Order": node("orders", "o_orderkey", "o_orderstatus"),
-        },
-        {
-            ("IN_REGION", "Nation", "Region"): edge("nation", "n_nationkey", "n_regionkey"), ("IN_NATION", "Customer", "Nation"): edge("customer", "c_custkey", "c_nationkey"),
-            ("IN_NATION", "Supplier", "Nation"): edge("supplier", "s_suppkey", "s_nationkey"), ("PLACED", "Customer", "Order"): edge("orders", "o_custkey", "o_orderkey"),
-            ("CONTAINS_PART", "Order", "Part"): edge("lineitem", "l_orderkey", "l_partkey").distinct(), ("SUPPLIES", "Supplier", "Part"): edge("lineitem", "l_suppkey", "l_partkey").distinct(),
-        },
+    def node(name: str, key: str, title: str):
+        def make() -> DataFrame:
+            t = table(spark, sf_dir, name)
+            return t.select(F.col(key).cast("long").alias("id"), F.col(title).alias("title"), *[c for c in t.columns if c not in (key, title)])
+
+        return make
+
+    def edge(name: str, src: str, dst: str, distinct: bool = False):
+        def make() -> DataFrame:
+            e = table(spark, sf_dir, name).select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"))
+            return e.distinct() if distinct else e
+
+        return make
+
+    nodes = Lazy(
+        Region=node("region", "r_regionkey", "r_name"), Nation=node("nation", "n_nationkey", "n_name"), Customer=node("customer", "c_custkey", "c_name"),
+        Supplier=node("supplier", "s_suppkey", "s_name"), Part=node("part", "p_partkey", "p_name"), Order=node("orders", "o_orderkey", "o_orderstatus"),
     )
+    edges = Lazy({
+        ("IN_REGION", "Nation", "Region"): edge("nation", "n_nationkey", "n_regionkey"), ("IN_NATION", "Customer", "Nation"): edge("customer", "c_custkey", "c_nationkey"),
+        ("IN_NATION", "Supplier", "Nation"): edge("supplier", "s_suppkey", "s_nationkey"), ("PLACED", "Customer", "Order"): edge("orders", "o_custkey", "o_orderkey"),
+        ("CONTAINS_PART", "Order", "Part"): edge("lineitem", "l_orderkey", "l_partkey", True), ("SUPPLIES", "Supplier", "Part"): edge("lineitem", "l_suppkey", "l_partkey", True),
+    })
+    return PropertyGraph(nodes, edges)
 
 
 def purchase_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
