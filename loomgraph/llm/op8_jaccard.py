@@ -18,7 +18,7 @@ task of bounded size, and only a spanning forest of the links is kept. Both ways
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from loomgraph.llm.components import components
 WORDS, PERCENT, ORDER_BITS, MOST_L, GROUP, BLOCK, VERIFY, FAN_IN, ID_BITS = 5, 80, 22, 3, 32, 256, 20.0, 32, 23
 
 
-def shingle_sets(texts: list[bytes], k: int, cache: WordHash) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Iterable[bytes], k: int, cache: WordHash) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text: A-Z lower-cased, words between white space; fewer than k words are one shingle."""
     for text in texts:
         words = cache.array(text.lower().split())
@@ -52,6 +52,15 @@ def _half(key: bytes | None) -> int | None:
     return None if key is None else int.from_bytes(key[:8], "big", signed=True)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts byte plane by byte plane: the upper planes are nearly all zero and take no room."""
+    return zlib.compress(np.ascontiguousarray(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
 def shingle_counts(docs: DataFrame, k: int, bits: int) -> np.ndarray:
     """How often the shingles of each hash range occur (once per document), over all documents. Summed in a tree, FAN_IN tables at a time."""
 
@@ -64,15 +73,15 @@ def shingle_counts(docs: DataFrame, k: int, bits: int) -> np.ndarray:
                 total[places] += times.astype(np.int32)
                 some = True
         if some:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() // FAN_IN], pa.int64()), pa.array([zlib.compress(total.astype(np.int64).tobytes(), 1)], pa.binary())], ["part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() // FAN_IN], pa.int64()), pa.array([_packed(total)], pa.binary())], ["part", "counts"])
 
     def add(pdf):
         import pandas as pd
 
         total = np.zeros(1 << bits, np.int64)
         for c in pdf["counts"]:
-            total += np.frombuffer(zlib.decompress(c), np.int64)
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0]) // FAN_IN], "counts": [zlib.compress(total.tobytes(), 1)]})
+            total += _unpacked(c)
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0]) // FAN_IN], "counts": [_packed(total)]})
 
     tables, n = docs.mapInArrow(count, "part long, counts binary"), docs.rdd.getNumPartitions()
     while True:
@@ -80,7 +89,7 @@ def shingle_counts(docs: DataFrame, k: int, bits: int) -> np.ndarray:
         if n <= 1:
             break
     rows = tables.collect()  # one table of fixed size
-    return sum((np.frombuffer(zlib.decompress(r.counts), np.int64) for r in rows), np.zeros(1 << bits, np.int64))
+    return sum((_unpacked(r.counts) for r in rows), np.zeros(1 << bits, np.int64))
 
 
 class Order:
@@ -135,9 +144,12 @@ def nodes(docs: DataFrame, order: Order, k: int) -> DataFrame:
 def candidates(reps: DataFrame, percent: int, group: int, block: int) -> DataFrame:
     """Rows of two kinds: pairs (a, b, ell) from shingles with few documents, and members (shingle, a, part) of larger groups.
 
-    Documents go by half of their key here: two with the same half are both candidates later on, and compared in full. A
-    shingle's documents come in one after the other, sorted by size; at most `group` of them are held."""
-    rows = reps.select(F.explode("prefix").alias("shingle"), (F.col("n") * 4 + F.col("ell")).alias("size"), "id").repartition("shingle").sortWithinPartitions("shingle", "size", "id")
+    Documents go by half of their key here, and shingles by half of their hash (in one number with the document's size):
+    what coincides by chance is a candidate too, and compared in full later on. A shingle's documents come in one after the
+    other, sorted by size; at most `group` of them are held."""
+    rows = reps.select(F.explode("prefix").alias("shingle"), (F.col("n") * 4 + F.col("ell")).alias("size"), "id")
+    rows = rows.select(F.shiftleft(F.shiftright("shingle", 32), 32).bitwiseOR(F.col("size")).alias("code"), "id")
+    rows = rows.repartition(F.shiftright("code", 32)).sortWithinPartitions("code", "id")
 
     def run(batches):
         at, held, seen = None, [], 0
@@ -158,7 +170,8 @@ def candidates(reps: DataFrame, percent: int, group: int, block: int) -> DataFra
             return batch
 
         for batch in batches:
-            s, sizes, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            code, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            s, sizes = code >> 32, code & 0xFFFFFFFF
             again = np.flatnonzero(s[1:] == s[:-1])
             busy = np.unique(np.concatenate([again, again + 1, [0, len(s) - 1]])).astype(np.int64) if len(s) else np.empty(0, np.int64)  # rows whose shingle may recur
             for shingle, size, a in zip(s[busy].tolist(), sizes[busy].tolist(), ids[busy].tolist(), strict=True):
@@ -195,7 +208,7 @@ def _id_bits(wanted: DataFrame, bits: int) -> np.ndarray:
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, k: int, bits: int) -> DataFrame:
-    """key, id, text (UTF-8) of the documents whose ids are on the bitmap of the wanted ones (rep). The few others on it are in no
+    """key, id, text (UTF-8, compressed) of the documents whose ids are on the bitmap of the wanted ones (rep). The few others on it are in no
     candidate pair or group, so later joins pass them over; nothing is shuffled here. Texts
     travel, not sets: they are several times smaller."""
     sent = shared(docs.sparkSession, np.packbits(_id_bits(wanted, bits)))
@@ -206,7 +219,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame, k: int, bits: int) -> DataFrame
         for batch in batches:
             batch = batch.filter(pa.array(on[batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)], pa.bool_()))
             keys = [key_of(s) for _, texts in by_bytes(utf8(batch.column(1))) for s in shingle_sets(texts, k, cache)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([_half(x) for x in keys], pa.int64()), batch.column(1).cast(pa.string()).cast(pa.binary())], ["key", "id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([_half(x) for x in keys], pa.int64()), pa.array([zlib.compress(t, 1) for t in utf8(batch.column(1))], pa.binary())], ["key", "id", "text"])
 
     return placed.mapInArrow(run, "key binary, id long, text binary").where("id IS NOT NULL")
 
@@ -220,13 +233,14 @@ def linked_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Da
     hub = every.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("hub"))
     at = written(pairs.join(hub, "a").select("hub", "a", "b"), "jaccard-routes")
     goes = at.select("hub", F.col("a").alias("id")).unionByName(at.select("hub", F.col("b").alias("id"))).distinct()
-    there = goes.withColumnRenamed("hub", "at").join(texts, "id").select("at", "id", "key", "text")
+    there = goes.withColumnRenamed("hub", "at").hint("merge").join(texts, "id")  # by id at every size: routes grow with the corpus
+    there = there.select("at", "id", "key", "text")
 
     def compare(wanted, found):
         import pandas as pd
 
         held: dict[int, list] = {}
-        for i, key, s in zip(found["id"], found["key"], shingle_sets(found["text"], k, WordHash()), strict=True):
+        for i, key, s in zip(found["id"], found["key"], shingle_sets(map(zlib.decompress, found["text"]), k, WordHash()), strict=True):
             held.setdefault(i, []).append((key, s))
         out = []
         for a, b in zip(wanted["a"], wanted["b"], strict=True):
@@ -251,7 +265,7 @@ def linked_blocks(members: DataFrame, texts: DataFrame, k: int, percent: int) ->
     def links(pdf):
         import pandas as pd
 
-        keys, sets = pdf["key"].tolist(), list(shingle_sets(pdf["text"], k, WordHash()))
+        keys, sets = pdf["key"].tolist(), list(shingle_sets(map(zlib.decompress, pdf["text"]), k, WordHash()))
         size = np.array([len(s) for s in sets])
         every, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         doc = np.repeat(np.arange(len(sets)), size)
