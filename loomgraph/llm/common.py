@@ -31,12 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, survives lost executors, computes df once.
 
     Nothing reads the shuffle files behind it again, so the JVM is asked to let go of them; else they stay until it happens to collect its garbage."""
     at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.options(**options).parquet(at)
     df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(at)
 

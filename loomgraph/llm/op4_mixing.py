@@ -6,7 +6,7 @@ source's blocks and a number of single blocks: its quota of slots. The output is
 slots. Each shard draws multinomial counts of the sources in proportion to the quotas; what all shards together drew
 beyond a source's quota goes to the sources that fell short, so every quota is met exactly and no block is used more
 than `most` times. A source's n-th slot takes the block that the pass's pseudorandom permutation (swap-or-not) puts at
-its n-th place, and slots and blocks are joined by index.
+its n-th place, and slots and blocks are joined by index: the result is a table of shard and slot rows with their tokens.
 
 The table of sources (one row each) is held by the driver: a recipe has as many rows as it has sources, `MAX_SOURCES`
 at most. Everything about documents, blocks, shards and slots is distributed, and no task gets a whole source.
@@ -24,12 +24,13 @@ from pyspark.sql.window import Window
 from loomgraph.llm.common import written
 
 BLOCK_WORDS, SHARD_SLOTS, MOST, WEIGHTS, ROUNDS, SEED = 128, 1024, 3, (1, 2, 3), 12, 20_24
-MAX_SOURCES, BUCKET_DOCS = 100_000, 5_000
+MAX_SOURCES, BUCKET_DOCS, TASK_SLOTS = 100_000, 5_000, 20_000
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def words(text: Column) -> Column:
     """Runs of characters other than 0x20 and 0x09-0x0D; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def targets(sizes: list[int], weights: list[int], most: int = MOST) -> list[float]:
@@ -99,7 +100,7 @@ def permuted(index: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Col
 
 
 def placed(sized: DataFrame, sources: list[Source], seed: int) -> DataFrame:
-    """(doc_id, source, size) -> also source_index and start: where a document's words begin among its source's.
+    """(doc_id, source, size, digest) -> also source_index and start: where a document's words begin among its source's; text goes along if it is there.
 
     Positions are sums over hash buckets of documents and then within a bucket; buckets have about BUCKET_DOCS documents, so
     a source of any size is spread over many tasks."""
@@ -108,18 +109,37 @@ def placed(sized: DataFrame, sources: list[Source], seed: int) -> DataFrame:
     keyed = sized.join(F.broadcast(table), sized["source"].eqNullSafe(table["name"])).withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id"))).withColumn("bucket", F.pmod("h", "buckets"))
     sums = keyed.groupBy("source_index", "bucket").agg(F.sum("size").alias("words"))
     before = sums.withColumn("before", F.sum("words").over(Window.partitionBy("source_index").orderBy("bucket")) - F.col("words")).drop("words")
-    within = Window.partitionBy("source_index", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source_index", "bucket").orderBy("h", "doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, 0)
     local = keyed.withColumn("upto", F.sum("size").over(within))
-    return local.join(before, ["source_index", "bucket"]).select("doc_id", "source_index", "size", (F.col("before") + F.col("upto") - F.col("size")).alias("start"))
+    return local.join(before, ["source_index", "bucket"]).select("doc_id", "source_index", "size", (F.col("before") + F.col("upto") - F.col("size")).alias("start"), *({"text"} & set(sized.columns)))
 
 
 def pieces(docs: DataFrame, block_words: int) -> DataFrame:
-    """The part that each document has in each block: source_index, block, doc_id, size, start, words. Documents without words have none."""
-    some = docs.where("size > 0")
-    first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
-    cut = some.select("*", F.explode(F.sequence(first, last)).alias("block"))
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
-    return cut.withColumn("words", words)
+    """The part that each document has in each block: source_index, block, start, doc_id, size, words, text (the part's words, by space). Documents without words have none."""
+    start, end = F.col("start"), F.col("start") + F.col("size")
+    of = F.sequence(F.floor(start / block_words), F.floor((end - 1) / block_words))
+
+    def part(words: Column, block: Column) -> Column:
+        lo, hi = F.greatest(start, block * block_words), F.least(end, (block + 1) * block_words)
+        own = F.slice(words, (lo - start + 1).cast("int"), (hi - lo).cast("int"))
+        return F.struct(block.alias("block"), F.size(own).cast("long").alias("words"), F.array_join(own, " ").alias("text"))
+
+    every = F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))  # an array of one, so that a text is cut into words once
+    cut = F.flatten(F.transform(every, lambda words: F.transform(of, lambda block: part(words, block))))
+    some = docs.where("size > 0").select("source_index", "start", "doc_id", "size", F.explode(cut).alias("part"))
+    return some.select("source_index", "part.block", "start", "doc_id", "size", "part.words", "part.text")
+
+
+def packed(pieces: DataFrame) -> DataFrame:
+    """source_index, block, parts: the pieces of each block in their order, no more than it has words."""
+    return pieces.groupBy("source_index", "block").agg(F.array_sort(F.collect_list(F.struct("start", "doc_id", "size", "words", "text"))).alias("parts"))
+
+
+def joined(slots: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Slots and blocks by index: shard, slot, source_index, pass, block, text (the block's words, by space), parts (start, doc_id, size, words of each document in it)."""
+    text = F.array_join(F.transform("parts", lambda p: p["text"]), " ")
+    parts = F.transform("parts", lambda p: p.dropFields("text"))
+    return slots.join(blocks, ["source_index", "block"]).select("shard", "slot", "source_index", "pass", "block", text.alias("text"), parts.alias("parts"))
 
 
 def drawn(spark: SparkSession, sources: list[Source], shard_slots: int, seed: int) -> DataFrame:
@@ -141,7 +161,8 @@ def slots(draws: DataFrame, sources: list[Source], block_words: int, seed: int)
     at = lambda xs, i: F.element_at(_values(xs), i + 1)
     upto = Window.partitionBy("source_index").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     in_shard = Window.partitionBy("shard").orderBy("source_index").rowsBetween(Window.unboundedPreceding, 0)
-    one = draws.select("shard", "source_index", "n", (F.sum("n").over(upto) - F.col("n")).alias("k0"), (F.sum("n").over(in_shard) - F.col("n")).alias("slot0"))
+    placed = draws.withColumn("k0", F.sum("n").over(upto) - F.col("n")).repartition(max(1, sum(got) // TASK_SLOTS), "shard")
+    one = placed.select("shard", "source_index", "n", "k0", (F.sum("n").over(in_shard) - F.col("n")).alias("slot0"))
     one = one.select("shard", "source_index", "k0", "slot0", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select("shard", (F.col("slot0") + F.col("i")).alias("slot"), "source_index", (F.col("k0") + F.col("i")).alias("k"))
     i, k = F.col("source_index"), F.col("k")
     one = one.withColumn("z", F.when(k >= at([s.quota for s in sources], i), at(over_from, i) + k - at([s.quota for s in sources], i)))
@@ -159,27 +180,30 @@ def slots(draws: DataFrame, sources: list[Source], block_words: int, seed: int)
 class Mix:
     sources: list[Source]
     docs: DataFrame  # doc_id, source_index, size, start
-    pieces: DataFrame
     slots: DataFrame
+    shards: DataFrame  # the mixed corpus, a row per slot: shard, slot, source_index, pass, block, text, parts
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, most: int = MOST, seed: int = SEED) -> Mix:
     """docs: doc_id, text, source. Sources in code point order, null last, take the weights in turn.
 
     Rows of one id are documents of their own; a null text has no words and is never taken. Other columns are not read.
-    Sizes and draws are written to the shared folder once, so that texts are read once and reruns of lost tasks agree."""
-    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size")), "mix-sizes")
-    sources = recipe(sized, weights, block_words, most)
+    `docs` is read twice (sizes, then texts) and has to give the same rows. Sizes, draws, pieces and the mixed shards are written to the
+    shared folder once, so that reruns of lost tasks agree and the shuffle files of one step go before the next."""
+    text = F.col("text").cast("string")
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text.alias("text"), words(text).alias("size"), F.xxhash64(text).alias("digest"))
+    sizes = written(sized.drop("text"), "mix-sizes")
+    sources = recipe(sizes, weights, block_words, most)
     draws = written(drawn(docs.sparkSession, sources, shard_slots, seed), "mix-draws")
-    where = placed(sized, sources, seed)
-    return Mix(sources, where, pieces(where, block_words), slots(draws, sources, block_words, seed))
+    taking = slots(draws, sources, block_words, seed)
+    cut = written(pieces(placed(sized, sources, seed), block_words), "mix-pieces", compression="zstd")
+    return Mix(sources, placed(sizes, sources, seed), taking, written(joined(taking, packed(cut)), "mix-shards", compression="zstd"))
 
 
 def taken(m: Mix) -> DataFrame:
-    """doc_id, source_index, size, taken: blocks joined with slots by index, summed over a document's pieces."""
-    times = m.slots.groupBy("source_index", "block").agg(F.count("*").alias("times"))
-    used = m.pieces.join(times, ["source_index", "block"], "left")
-    some = used.groupBy("source_index", "start", "doc_id", "size").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken")).select("doc_id", "source_index", "size", "taken")
+    """doc_id, source_index, size, taken: a document's words in the rows of the mixed shards."""
+    used = m.shards.select("source_index", F.explode("parts").alias("p")).groupBy("source_index", F.col("p.start").alias("start")).agg(F.sum("p.words").alias("taken"))
+    some = m.docs.where("size > 0").join(used, ["source_index", "start"], "left").select("doc_id", "source_index", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return some.unionByName(m.docs.where("size = 0").select("doc_id", "source_index", "size", F.lit(0).cast("long").alias("taken")))
 
 

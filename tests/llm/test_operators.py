@@ -167,6 +167,25 @@ def test_mixing(docs, none, rows):
     assert op4_mixing.report(none).count() == 0
 
 
+def test_mixed_shards(docs, none, rows):
+    m = op4_mixing.mix(docs, block_words=16, shard_slots=8)
+    shards = m.shards.collect()
+    assert {(r.shard, r.slot, r.source_index, r.block, r["pass"]) for r in shards} == {(s.shard, s.slot, s.source_index, s.block, s["pass"]) for s in m.slots.collect()}
+    assert len(shards) == sum(s.quota for s in m.sources) and max(r.slot for r in shards) == 7
+    texts = collections.defaultdict(list)
+    for r in rows:
+        texts[r[0], r[3]].append(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
+    whole = {i: [] for i in range(len(m.sources))}
+    for d in sorted(m.docs.collect(), key=lambda d: d.start):
+        if d["size"]:
+            found = texts[d.doc_id, m.sources[d.source_index].name]
+            whole[d.source_index] += found.pop(next(i for i, w in enumerate(found) if len(w) == d["size"]))
+    for r in shards:
+        assert r.text.split(" ") == whole[r.source_index][16 * r.block : 16 * r.block + 16] and sum(p.words for p in r.parts) == len(r.text.split(" "))
+    assert sum(r.taken for r in op4_mixing.taken(m).collect()) == sum(len(r.text.split(" ")) for r in shards)
+    assert op4_mixing.mix(none).shards.count() == 0
+
+
 # 5: substring repeats
 
 
