@@ -8,7 +8,8 @@ words agree; a run of `span` words or more is an occurrence. An item with fewer
 one k-gram of its own length (w = 1).
 
 The item index goes to the tasks by broadcast. It is bounded: items are taken in blocks of at most `block_words`
-words, and documents are scanned once for each block, however many there are.
+words; documents are read once and scanned for one block after the other, however many there are, so that
+every row keeps its own result.
 """
 
 from __future__ import annotations
@@ -120,53 +121,29 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
             blocks[-1].append((r.item_id, cache.array(words)))
             total += len(words)
 
-    def scanned(block: list) -> DataFrame:
-        sent = shared(spark, Index(block, span, k))
-
-        def run(batches):
-            index, cache = sent(), WordHash()
-            for batch in batches:
-                ids, out = batch.column(0), []
-                for _, texts in by_bytes(utf8(batch.column(1))):
-                    lists = [words_of(t) for t in texts]
-                    ends = np.cumsum([len(x) for x in lists])
-                    words = cache.array([w for x in lists for w in x])
-                    hit, found = index.scan(words, ends)
-                    sums = np.concatenate([[0], np.cumsum(hit)])
-                    starts = ends - [len(x) for x in lists]
-                    out += zip((ends - starts).tolist(), (sums[ends] - sums[starts]).tolist(), (sorted(found.get(d, ())) for d in range(len(lists))), (hit[s:e] if d in found else None for d, (s, e) in enumerate(zip(starts, ends, strict=True))), strict=True)
-                n_words, n_hit, names, masks = zip(*out, strict=True) if out else ((), (), (), ())
-                columns = [ids, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(names, pa.list_(pa.string()))]
-                if len(blocks) > 1:
-                    columns.append(pa.array([None if m is None else np.packbits(m).tobytes() for m in masks], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "items", "mask"][: len(columns)])
-
-        return docs.mapInArrow(run, RESULT + (", mask binary" if len(blocks) > 1 else ""))
-
-    if len(blocks) == 1:
-        return scanned(blocks[0])
-    return _merged([scanned(b) for b in blocks])
-
-
-def _merged(parts: list[DataFrame]) -> DataFrame:
-    """Blocks of items were scanned apart: the hit words of a document are the union of its masks.
-
-    Rows of one document id and length are alike (equal ids with other texts of the same length too: their masks join)."""
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-
-    def union(pdf):
-        import pandas as pd
-
-        n = int(pdf["n_words"].iloc[0])
-        mask = np.zeros((n + 7) // 8, np.uint8)
-        for m in pdf["mask"].dropna():
-            mask |= np.frombuffer(m, np.uint8)
-        names = sorted({x for xs in pdf["items"] for x in xs})
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1], "n_words": [n], "n_hit": [int(np.unpackbits(mask)[:n].sum())], "items": [names]})
-
-    return every.groupBy("doc_id", "n_words").applyInPandas(union, RESULT)
+    sent = [shared(spark, Index(block, span, k)) for block in blocks]
+
+    def run(batches):
+        cache = WordHash()
+        one = sent[0]() if len(sent) == 1 else None  # of several, one index is held at a time, for longer runs of texts
+        for batch in batches:
+            out = []
+            for _, texts in by_bytes(utf8(batch.column(1)), (4 if one else 32) << 20):
+                lists = [words_of(t) for t in texts]
+                sizes = np.array([len(x) for x in lists])
+                ends, words = np.cumsum(sizes), cache.array([w for x in lists for w in x])
+                hit, names = np.zeros(len(words), bool), [set() for _ in lists]
+                for get in sent:
+                    more, found = (one or get()).scan(words, ends)
+                    hit |= more
+                    for d, some in found.items():
+                        names[d] |= some
+                sums = np.concatenate([[0], np.cumsum(hit)])
+                out += zip(sizes.tolist(), (sums[ends] - sums[ends - sizes]).tolist(), map(sorted, names), strict=True)
+            n_words, n_hit, items = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "items"])
+
+    return docs.mapInArrow(run, RESULT)
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -357,6 +357,18 @@ def test_decontaminate(spark, docs, rows, none, block_words):
     assert op10_decontaminate.decontaminate(none, table).count() == 0 and not [r for r in op10_decontaminate.decontaminate(docs, table.limit(0)).collect() if r.n_hit]
 
 
+@pytest.mark.parametrize("block_words", [4_000_000, 60])
+def test_decontaminate_rows(spark, block_words):
+    from tests.llm.conftest import PASSAGE, prose
+
+    items = [("1", PASSAGE), ("2", prose("de", 50, 7)), ("3", prose("fr", 50, 8))]
+    parts = [" ".join(x.split()[:20]) for _, x in items]
+    data = [(i, t) for i in (None, 4) for t in (*parts, parts[0], prose("en", 20, 5))] + [(None, None), (None, ""), (None, None)]
+    table, docs = spark.createDataFrame(items, "item_id string, text string"), spark.createDataFrame(data, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in op10_decontaminate.decontaminate(docs, table, block_words=block_words).collect())
+    assert got == collections.Counter((i, n, h, tuple(x)) for i, (n, h, x) in ((i, brute_hits(t, items)) for i, t in data))
+
+
 def test_winnowing_misses_nothing():
     r = np.random.default_rng(3)
     for _ in range(200):
