@@ -25,8 +25,9 @@ FIT_DOCS, BUCKETS, PENALTY, SMOOTH = 20_000, 1 << 15, 12.0, 0.5
 #: Work array bytes per chunk of text and language.
 CHUNK_BYTES = 16 << 20
 #: Scripts, by the first byte of a UTF-8 character: the ranges of Unicode that begin with it.
-OTHER, LATIN, GREEK, CYRILLIC, HEBREW, ARABIC, INDIC, KANA_HAN, HANGUL = range(9)
+OTHER, FURTHER, LATIN, GREEK, CYRILLIC, HEBREW, ARABIC, INDIC, KANA_HAN, HANGUL = range(10)
 _SCRIPT = np.zeros(256, np.uint8)
+_SCRIPT[0xD5] = _SCRIPT[0xDC:0xE0] = _SCRIPT[0xE1] = FURTHER  # U+0540-U+057F, U+0700-U+07FF, U+1000-U+1FFF; a Latin letter in the word goes before
 _SCRIPT[0x41:0x5B] = _SCRIPT[0x61:0x7B] = LATIN
 _SCRIPT[0xC3:0xCA] = LATIN  # U+00C0-U+027F
 _SCRIPT[0xCD:0xD0] = GREEK  # U+0370-U+03FF
@@ -36,7 +37,7 @@ _SCRIPT[0xD8:0xDC] = ARABIC  # U+0600-U+06FF
 _SCRIPT[0xE0] = INDIC  # U+0800-U+0FFF
 _SCRIPT[0xE3:0xEA] = KANA_HAN  # U+3000-U+9FFF
 _SCRIPT[0xEA:0xEE] = HANGUL  # U+A000-U+DFFF
-N_SCRIPTS = 9
+N_SCRIPTS = 10
 _BLANK = bytes(c if c >= 128 or 97 <= c <= 122 or 65 <= c <= 90 else 32 for c in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -130,7 +131,7 @@ def predict(model: Model, texts: list[bytes]) -> list[tuple[str, float, list[tup
     ends = np.cumsum(sizes)
     out = []
     for d, text in enumerate(texts):
-        if total[d] == 0 and not _LETTER.search(text.decode("utf-8", "replace")):
+        if not _LETTER.search(text.decode("utf-8", "replace")):
             out.append(("und", 0.0, []))
             continue
         lo, hi = int(ends[d] - sizes[d]), int(ends[d])
@@ -166,7 +167,9 @@ def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, buckets: int = BUCKETS, p
         return Model([], np.zeros((buckets, 0), np.float32), np.zeros((N_SCRIPTS, 0), bool), penalty)
     g = np.array([total[x][0] for x in langs], float).T + SMOOTH
     s = np.array([total[x][1] for x in langs], float).T
-    return Model(langs, np.log(g / g.sum(0)).astype(np.float32), s >= 0.01 * s[LATIN:].sum(0).clip(1), penalty)
+    scripts = s >= 0.01 * s[FURTHER:].sum(0).clip(1)
+    scripts[OTHER] = False  # continuation bytes and symbols tell nothing about a language
+    return Model(langs, np.log(g / g.sum(0)).astype(np.float32), scripts, penalty)
 
 
 def identify(docs: DataFrame, model: Model, keep: float | None = None) -> DataFrame:

@@ -308,6 +308,17 @@ def test_language_spans(docs):
     assert lang == "en" and 0.4 < score < 0.8 and [a for a, _ in spans] == ["en", "de"] and abs(spans[0][1] - 60) <= 2
 
 
+def test_language_without_letters(docs):
+    model = op9_language.fit(docs.where("doc_id < 90"))
+    assert not model.scripts[op9_language.OTHER].any()
+    for text in ("\u2014", "\U0001f600 \U0001f600", "\u2500\u2502\u2500 12 \u2022", "\u20ac 5"):
+        assert op9_language.predict(model, [text.encode()]) == [("und", 0.0, [])], text
+    learned = docs.sparkSession.createDataFrame([(1, "\u10d0\u10d1\u10d2 \u10d3\u10d4 " * 20, "ka"), (2, "the river under the stone " * 20, "en")], "doc_id long, text string, lang string")
+    assert op9_language.predict(op9_language.fit(learned), ["\u10d0\u10d1\u10d2 \u2014".encode()])[0][:2] == ("ka", 1.0)
+    georgian, mixed = op9_language.predict(model, ["\u10d0\u10d1\u10d2 \u10d3\u10d4".encode(), "the river \u2014 under the stone".encode()])
+    assert georgian[:2] == (model.langs[0], 0.0) and mixed[:2] == ("en", 1.0)
+
+
 def test_viterbi():
     import itertools
 
