@@ -16,8 +16,6 @@ from loomgraph.llm import tiff
 from loomgraph.llm.common import utf8
 
 WIDTH, STRIP_BYTES, TILE = 64, 1 << 16, 64
-#: LZW runs byte by byte in Python: it is used up to this payload size.
-LZW_MOST = 1024
 PAGE = "page int, width int, height int, bits int, samples int, compression int, predictor int, tiled boolean, pixels binary, feature string, error string"
 
 
@@ -30,7 +28,7 @@ def stored(data: bytes) -> bytes:
     """The payload as a grey 8-bit page, 64 pixels wide. Its checksum picks compression, predictor and layout."""
     pick = zlib.crc32(data) % 8
     image = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
-    compression = tiff.PACKBITS if pick == 0 else tiff.LZW if pick == 1 and len(data) <= LZW_MOST else tiff.DEFLATE
+    compression = tiff.PACKBITS if pick == 0 else tiff.LZW if pick == 1 else tiff.DEFLATE
     return tiff.write([image], compression, predictor=2 if pick in (2, 3) else 1, tile=TILE if pick in (4, 5) else 0, strip_bytes=STRIP_BYTES)
 
 

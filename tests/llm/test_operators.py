@@ -232,6 +232,16 @@ def test_tiff_report(docs, none, rows):
     assert op7_tiff.report(docs).count() == len(rows) and op7_tiff.report(none).count() == 0
 
 
+def test_tiff_checksum_alone_picks():
+    from loomgraph.llm import tiff
+
+    r = np.random.default_rng(7)
+    for size in (640, 6400, 200_000):
+        data = next(d for d in (r.integers(97, 123, size, dtype=np.uint8).tobytes() for _ in range(200)) if zlib.crc32(d) % 8 == 1)
+        page, = tiff.pages(op7_tiff.stored(data.ljust(-(-size // 64) * 64, b"\0")))
+        assert page.compression == tiff.LZW and page.pixels.tobytes() == data, size
+
+
 def test_tiff_pages(spark):
     from loomgraph.llm import tiff
 
