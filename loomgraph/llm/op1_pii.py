@@ -29,13 +29,22 @@ class Kind:
     score: float  # before context
 
 
+#: Lengths of account numbers by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: At its country's length where the number ends there, so that a word after it stays out; any run of 11 to 30 characters otherwise.
+_IBAN = "(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}+" for n, c in IBAN_LENGTHS.items()) + r")(?![A-Z0-9])"
+
+
 #: In the order of the reports. Within a kind, matches are leftmost and do not overlap.
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "@", "mail|contact|write", 0.8),
     Kind("ip", r"[0-9]++(?:\.[0-9]++){3}+", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", r"[0-9]\.[0-9]", "ip|host|server|address", 0.6),
     Kind("card", r"[0-9](?:[ -]?[0-9])++", r"[0-9](?:[ -]?[0-9])+", r"[0-9](?:[ -]?[0-9]){15}", "card|visa|pay|credit", 0.7),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", "phone|call|tel|mobile|fax", 0.7),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]", "iban|account|bank|konto|compte|cuenta", 0.7),
+    Kind("iban", _IBAN + r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]", "iban|account|bank|konto|compte|cuenta", 0.7),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "ssn|social|security", 0.4),
     Kind("secret", r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,}+(?![A-Za-z0-9])", r"[0-9A-Fa-f]{32,}", r"[0-9A-Fa-f]{32}", "token|secret|key|passw|credential", 0.4),
 )

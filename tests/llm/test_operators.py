@@ -66,6 +66,12 @@ def test_pii(spark, docs, none):
     assert masked.columns == docs.columns and masked.exceptAll(docs).count() == 0
 
 
+def test_iban_before_a_word(spark):
+    texts = {1: "IBAN DE89370400440532013000 Please", 2: "IBAN DE89 3704 0044 0532 0130 00 Bitte", 3: "iban GB82WEST12345698765432 7 days", 4: "konto DE89370400440532013000X", 5: "IBAN DE89 3704 0044 0532 0130 01 Bitte"}
+    got = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.pii if s.kind == "iban"] for r in op1_pii.find(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {1: ["DE89370400440532013000"], 2: ["DE89 3704 0044 0532 0130 00"], 3: ["GB82WEST12345698765432"], 4: [], 5: []}
+
+
 # 2, 6: classifiers
 
 
