@@ -1,4 +1,4 @@
-"""Cutting lineage in the folder that the cluster shares."""
+"""Intermediate tables in the folder that the cluster shares."""
 
 from __future__ import annotations
 
@@ -11,13 +11,33 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a temporary folder of our own where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    return at or _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="loomgraph-"))
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df written once and read again: iterations don't pile up plans, and a lost executor costs no earlier step."""
-    at = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    """The folder that the driver and all executors share: spark.checkpoint.dir as the session has it. Where it is unset: a temporary
+    folder for a session on one machine, and a folder in the warehouse on a cluster, where a machine's own folders are not shared."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if at:
+        return at
+    if spark.sparkContext.master.split("[")[0] == "local":
+        return _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="loomgraph-"))
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.loomgraph-scratch"
+
+
+def written(df: DataFrame, name: str = "step", **options: str) -> DataFrame:
+    """df as a table in the shared folder: computed once, its lineage is cut, and a lost executor costs no earlier step."""
+    at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out._written_at = at
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables made by written() that nothing reads any more; other DataFrames are passed over."""
+    for df in tables:
+        if at := getattr(df, "_written_at", None):
+            context = df.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: One step of an iteration.
+settled = written
