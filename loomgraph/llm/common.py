@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import pickle
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -14,31 +12,21 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions.storage import forget, shared_dir, written  # noqa: F401 - for the operators
+
 #: ASCII white space as the contracts list it: 0x20 and 0x09-0x0D. bytes.split() splits at exactly these.
 SPACE = " \t\n\x0b\x0c\r"
-_LOCAL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="loomgraph-"))
-    return at
-
-
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, survives lost executors, computes df once.
-
-    Nothing reads the shuffle files behind it again, so the JVM is asked to let go of them; else they stay until it happens to collect its garbage."""
-    at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(at)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+def spread_join(rows: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """rows joined with `one`, which has a row per key. A key that many rows have doesn't stay in one task: the hash as a second
+    join key gives both sides an exchange of their own, even where `one` was just grouped by the key, and such joins are split at run time."""
+    h = f"_{key}_hash"
+    return rows.withColumn(h, F.xxhash64(key)).join(one.withColumn(h, F.xxhash64(key)), [key, h]).drop(h)
 
 
 def shared(spark: SparkSession, value: Any) -> Callable[[], Any]:

@@ -10,9 +10,13 @@ shingles of both have at least l in common. Each document picks its own l, from
 while the estimated cost of looking up its shingles and verifying the candidates falls. A pair must share the smaller
 of the two l's before it is verified.
 
-Shingles that up to `group` documents have in their prefixes give pairs of documents. Larger groups (thousands of
-near copies) aren't written out as pairs: they are cut into blocks of `block` documents, every two blocks meet in one
-task of bounded size, and only a spanning forest of the links is kept. Both ways compare whole sets.
+Shingles that up to `group` documents have in their prefixes give pairs of documents. Larger groups (thousands of near
+copies) aren't written out as pairs. Their members are first compared with a few pivots: those with the least hashes, so
+that the groups of one family, which share most members, have the same pivots. Links only matter between different
+components, so what is left are the pairs of a group whose members the links so far leave apart. These are formed in
+blocks of `block` members, sorted by size, and only where two blocks have sizes that can link.
+
+Pairs are compared on whole sets, in portions of at most about `PORTION` pairs and `PORTION_SHINGLES` shingles.
 """
 
 from __future__ import annotations
@@ -27,10 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import WordHash, by_bytes, grams, shared, utf8, written
+from loomgraph.llm.common import WordHash, by_bytes, forget, grams, shared, spread_join, utf8, written
 from loomgraph.llm.components import components
 
 WORDS, PERCENT, ORDER_BITS, MOST_L, GROUP, BLOCK, VERIFY, FAN_IN, ID_BITS = 5, 80, 22, 3, 32, 256, 20.0, 32, 23
+PIVOTS, PORTION, PORTION_SHINGLES = 4, 2048, 4_000_000
 
 
 def shingle_sets(texts: Iterable[bytes], k: int, cache: WordHash) -> Iterator[np.ndarray]:
@@ -142,14 +147,13 @@ def nodes(docs: DataFrame, order: Order, k: int) -> DataFrame:
 
 
 def candidates(reps: DataFrame, percent: int, group: int, block: int) -> DataFrame:
-    """Rows of two kinds: pairs (a, b, ell) from shingles with few documents, and members (shingle, a, part) of larger groups.
+    """Rows of two kinds: pairs (a, b, ell, n: both sizes) from shingles with few documents, and members (shingle, a, n, part) of larger groups.
 
-    Documents go by half of their key here, and shingles by half of their hash (in one number with the document's size):
-    what coincides by chance is a candidate too, and compared in full later on. A shingle's documents come in one after the
-    other, sorted by size; at most `group` of them are held."""
+    Documents go by half of their key here: what coincides by chance is a candidate too, and compared in full later on. A
+    shingle's documents come in one after the other, sorted by size; at most `group` of them are held."""
     rows = reps.select(F.explode("prefix").alias("shingle"), (F.col("n") * 4 + F.col("ell")).alias("size"), "id")
-    rows = rows.select(F.shiftleft(F.shiftright("shingle", 32), 32).bitwiseOR(F.col("size")).alias("code"), "id")
-    rows = rows.repartition(F.shiftright("code", 32)).sortWithinPartitions("code", "id")
+    rows = rows.repartition("shingle").sortWithinPartitions("shingle", "size", "id")
+    types = {"shingle": pa.int64(), "a": pa.int64(), "b": pa.int64(), "ell": pa.int32(), "n": pa.int64(), "part": pa.int32()}
 
     def run(batches):
         at, held, seen = None, [], 0
@@ -160,18 +164,17 @@ def candidates(reps: DataFrame, percent: int, group: int, block: int) -> DataFra
             for i, (x, a) in enumerate(held):
                 for y, b in held[i + 1 :]:
                     if (x >> 2) * 100 >= (y >> 2) * percent:
-                        out.append((None, min(a, b), max(a, b), min(x & 3, y & 3), None))
+                        out.append((None, min(a, b), max(a, b), min(x & 3, y & 3), (x >> 2) + (y >> 2), None))
             held = []
 
         def flush():
             nonlocal out
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["shingle", "a", "b", "ell", "part"])
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types.values(), strict=True)], list(types))
             out = []
             return batch
 
         for batch in batches:
-            code, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            s, sizes = code >> 32, code & 0xFFFFFFFF
+            s, sizes, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             again = np.flatnonzero(s[1:] == s[:-1])
             busy = np.unique(np.concatenate([again, again + 1, [0, len(s) - 1]])).astype(np.int64) if len(s) else np.empty(0, np.int64)  # rows whose shingle may recur
             for shingle, size, a in zip(s[busy].tolist(), sizes[busy].tolist(), ids[busy].tolist(), strict=True):
@@ -184,9 +187,9 @@ def candidates(reps: DataFrame, percent: int, group: int, block: int) -> DataFra
                     held.append((size, a))
                     continue
                 if seen == group + 1:
-                    out.extend((at, x, None, None, j // block) for j, (_, x) in enumerate(held))
+                    out.extend((at, x, None, None, z >> 2, j // block) for j, (z, x) in enumerate(held))
                     held = []
-                out.append((at, a, None, None, (seen - 1) // block))
+                out.append((at, a, None, None, size >> 2, (seen - 1) // block))
             if len(out) > 50_000:
                 yield flush()
         if seen <= group:
@@ -194,7 +197,47 @@ def candidates(reps: DataFrame, percent: int, group: int, block: int) -> DataFra
         if out:
             yield flush()
 
-    return rows.mapInArrow(run, "shingle long, a long, b long, ell int, part int")
+    return rows.mapInArrow(run, "shingle long, a long, b long, ell int, n long, part int")
+
+
+def pivot_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Each member of a large group with the group's pivots: a, b, n (both sizes)."""
+    pick = [F.min(F.struct(F.xxhash64(F.lit(i), "a").alias("h"), F.col("a").alias("p"), F.col("n").alias("m"))).alias(f"p{i}") for i in range(PIVOTS)]
+    pivots = members.groupBy("shingle").agg(*pick).select("shingle", F.array_distinct(F.array(*(F.struct(f"p{i}.p", f"p{i}.m") for i in range(PIVOTS)))).alias("pivots"))
+    rows = spread_join(members.select("shingle", "a", "n"), pivots, "shingle").select("a", "n", F.inline("pivots").alias("p", "m"))
+    rows = rows.where((F.col("a") != F.col("p")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
+    return rows.select(F.least("a", "p").alias("a"), F.greatest("a", "p").alias("b"), (F.col("n") + F.col("m")).alias("n")).distinct()
+
+
+def apart_pairs(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """The pairs of large groups that labels (id, label; a null label is apart from all) leave apart and whose sizes can link: a, b, n (both sizes).
+
+    Blocks (shingle, part) meet two by two unless one label fills both or their sizes are too far apart; a meeting has two blocks of members at most."""
+    known = members.join(labels.withColumnRenamed("id", "a"), "a").select("shingle", "part", "a", "n", "label")
+    known = written(known, "jaccard-members")
+    blocks = known.groupBy("shingle", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("lo"), F.max("label").alias("hi"), (F.count("label") < F.count("*")).alias("open"))
+    ends = [F.col(x).alias(f"{x}2") for x in ("part", "least", "most", "lo", "hi", "open")]
+    both = blocks.join(blocks.select("shingle", *ends), "shingle").where("part <= part2")
+    same = ~F.col("open") & ~F.col("open2") & (F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo") == F.col("lo2"))
+    both = both.where((100 * F.least("most", "most2") >= percent * F.greatest("least", "least2")) & ~same)
+    meets = both.select("shingle", F.col("part").alias("i"), F.col("part2").alias("j"), F.explode(F.array_distinct(F.array("part", "part2"))).alias("part"))
+    rows = meets.join(known, ["shingle", "part"])
+
+    def pairs(pdf):
+        import pandas as pd
+
+        label, part, ids, n = (pdf[x].to_numpy() for x in ("label", "part", "a", "n"))
+        code, open_ = pd.factorize(label, use_na_sentinel=True)[0], pd.isna(label)
+        code = np.where(open_, -1 - np.arange(len(code)), code)
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        x, y = np.nonzero((code[left][:, None] != code[right][None, :]) & (100 * np.minimum(n[left][:, None], n[right][None, :]) >= percent * np.maximum(n[left][:, None], n[right][None, :])))
+        x, y = left[x], right[y]
+        if i == j:
+            x, y = x[x < y], y[x < y]
+        return pd.DataFrame({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y]), "n": n[x] + n[y]})
+
+    return rows.groupBy("shingle", "i", "j").applyInPandas(pairs, "a long, b long, n long").where("a != b").distinct()
 
 
 def _id_bits(wanted: DataFrame, bits: int) -> np.ndarray:
@@ -225,16 +268,19 @@ def texts_of(docs: DataFrame, wanted: DataFrame, k: int, bits: int) -> DataFrame
 
 
 def linked_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b: ids) whose sets are similar enough, as keys.
+    """The pairs (a, b: ids; n: both sizes) whose sets are similar enough, as keys.
 
     A pair is compared where the least partner of `a` is: the members of a family of copies meet in one place, so a text
-    travels about once or twice, not once for each of its pairs."""
-    every = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    hub = every.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("hub"))
-    at = written(pairs.join(hub, "a").select("hub", "a", "b"), "jaccard-routes")
-    goes = at.select("hub", F.col("a").alias("id")).unionByName(at.select("hub", F.col("b").alias("id"))).distinct()
-    there = goes.withColumnRenamed("hub", "at").hint("merge").join(texts, "id")  # by id at every size: routes grow with the corpus
-    there = there.select("at", "id", "key", "text")
+    travels about once or twice, not once for each of its pairs. A place with more than a portion is split into several."""
+    every = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    hub = every.groupBy("a").agg(F.min("b").alias("hub")).select("a", F.least("a", "hub").alias("hub"))
+    at = written(spread_join(pairs, hub, "a").select("hub", "a", "b", "n"), "jaccard-routes")
+    portions = F.ceil(F.greatest(F.count("*") / PORTION, F.sum("n") / PORTION_SHINGLES)).alias("portions")
+    large = at.groupBy("hub").agg(portions).where("portions > 1")
+    at = at.join(large, "hub", "left").select("hub", F.pmod(F.xxhash64("a", "b"), F.coalesce("portions", F.lit(1))).alias("portion"), "a", "b")
+    place = [F.col("hub").alias("to_hub"), F.col("portion").alias("to_portion")]
+    goes = at.select(*place, F.col("a").alias("id")).unionByName(at.select(*place, F.col("b").alias("id"))).distinct()
+    there = goes.hint("merge").join(texts, "id").select("to_hub", "to_portion", "id", "key", "text")  # by id at every size: routes grow with the corpus
 
     def compare(wanted, found):
         import pandas as pd
@@ -251,44 +297,7 @@ def linked_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Da
                         out.append((key_a, key_b))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return at.groupBy("hub").cogroup(there.groupBy("at")).applyInPandas(compare, "a binary, b binary")
-
-
-def linked_blocks(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """A spanning forest of the links in large groups: every two blocks of a group meet in one task."""
-    last = members.groupBy("shingle").agg(F.max("part").alias("last"))
-    left = last.select("shingle", "last", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
-    blocks = left.select("shingle", "i", F.explode(F.when(F.col("last") == 0, F.array(F.lit(0))).when(F.col("i") < F.col("last"), F.sequence(F.col("i") + 1, F.col("last")))).alias("j"))
-    sides = blocks.select("shingle", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("part"))
-    rows = sides.join(members.select("shingle", "part", F.col("a").alias("id")), ["shingle", "part"]).join(texts, "id").select("shingle", "i", "j", "key", "text")
-
-    def links(pdf):
-        import pandas as pd
-
-        keys, sets = pdf["key"].tolist(), list(shingle_sets(map(zlib.decompress, pdf["text"]), k, WordHash()))
-        size = np.array([len(s) for s in sets])
-        every, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        doc = np.repeat(np.arange(len(sets)), size)
-        column = np.cumsum(often > 1) - 1
-        shared_ = often[at] > 1
-        doc, at = doc[shared_], column[at[shared_]]
-        both = np.zeros((len(sets), len(sets)), np.float32)
-        for lo in range(0, int((often > 1).sum()), 4096):
-            here = (at >= lo) & (at < lo + 4096)
-            x = np.zeros((len(sets), 4096), np.float32)
-            x[doc[here], at[here] - lo] = 1
-            both += x @ x.T
-        link = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-        label = np.arange(len(sets))
-        while True:
-            lower = np.where(link, label[None, :], len(sets)).min(1)
-            lower = np.minimum(lower, label)
-            if (lower == label).all():
-                break
-            label = lower
-        return pd.DataFrame({"a": [keys[i] for i in np.flatnonzero(label != np.arange(len(sets)))], "b": [keys[label[i]] for i in np.flatnonzero(label != np.arange(len(sets)))]})
-
-    return rows.groupBy("shingle", "i", "j").applyInPandas(links, "a binary, b binary")
+    return at.groupBy("hub", "portion").cogroup(there.groupBy("to_hub", "to_portion")).applyInPandas(compare, "a binary, b binary")
 
 
 def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, order_bits: int = ORDER_BITS, most_l: int = MOST_L, group: int = GROUP, block: int = BLOCK) -> DataFrame:
@@ -297,23 +306,54 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, order_bits:
     A text without words, or null, has an empty set and links with nothing, not even with its like. Repeated rows each give
     a row and are linked. Null ids are documents; they don't count for the least id (a component of null ids has a null id).
     Other columns are not read."""
+    every, ids, roots = _linked(docs, k, percent, order_bits, most_l, group, block)
+    rooted = ids.join(roots, ids["key"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
+    least = roots.select("root").distinct().join(rooted, "root").groupBy("root").agg(F.min("rep").alias("least"))
+    named = rooted.join(least, "root", "left").select("key", F.coalesce("least", "rep").alias("component_id"))
+    return every.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _linked(docs: DataFrame, k: int, percent: int, order_bits: int, most_l: int, group: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All documents (doc_id, n, key), the different sets (key, id, rep: least doc_id) and their components (node, root: keys)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = Order(shingle_counts(docs, k, order_bits), percent, most_l)
-    every = written(nodes(docs, order, k), "jaccard-nodes")
-    reps = every.where("key IS NOT NULL").groupBy("key").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.first("ell").alias("ell"), F.first("prefix").alias("prefix"))
+    sets = written(nodes(docs, order, k), "jaccard-nodes")
+    every = sets.select("doc_id", "n", "key")
+    some = sets.where("key IS NOT NULL")
+    reps = some.groupBy("key").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.first("ell").alias("ell"), F.first("prefix").alias("prefix"))
     found = written(candidates(reps, percent, group, block), "jaccard-candidates")
-    pairs = written(found.where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("ell").alias("ell")).where("shared >= ell").select("a", "b"), "jaccard-pairs")
-    members = found.where("b IS NULL").select("shingle", "a", "part")
-    ids = written(every.where("key IS NOT NULL").groupBy("key", "id").agg(F.min("doc_id").alias("rep")), "jaccard-ids")
+    few = found.where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("ell").alias("ell"), F.max("n").alias("n")).where("shared >= ell").select("a", "b", "n")
+    members = found.where("b IS NULL").select("shingle", "part", "a", "n")
+    pairs = written(few.unionByName(pivot_pairs(members, percent)), "jaccard-pairs")
+    ids = written(some.groupBy("key", "id").agg(F.min("doc_id").alias("rep")), "jaccard-ids")
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(members.select(F.col("a").alias("id"))).distinct()
-    texts = written(texts_of(docs, written(ids.join(wanted, "id", "left_semi").select("key", "rep"), "jaccard-wanted"), k, ID_BITS), "jaccard-texts")
-    edges = written(linked_pairs(pairs, texts, k, percent), "jaccard-links").unionByName(written(linked_blocks(members, texts, k, percent), "jaccard-links"))
-    roots = components(edges)
-    rooted = ids.join(roots, ids["key"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
-    least = roots.select("root").distinct().join(rooted, "root").groupBy("root").agg(F.min("rep").alias("least"))
-    named = rooted.join(least, "root", "left").select("key", F.coalesce("least", "rep").alias("component_id"))
-    return every.select("doc_id", "n", "key").join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    wanted = written(ids.join(wanted, "id", "left_semi").select("key", "id", "rep"), "jaccard-wanted")
+    texts = written(texts_of(docs, wanted, k, ID_BITS), "jaccard-texts")
+    roots = components(linked_pairs(pairs, texts, k, percent))
+    members = written(members, "jaccard-members")
+    forget(found, pairs)
+    if not members.isEmpty():
+        label = F.when(F.count("*") == 1, F.max(F.coalesce("root", "key"))).alias("label")  # ids that two sets have are apart from all
+        labels = wanted.join(members.select(F.col("a").alias("id")).distinct(), "id", "left_semi").join(roots, F.col("key") == F.col("node"), "left").groupBy("id").agg(label)
+        more = written(linked_pairs(apart_pairs(members, labels, percent), texts, k, percent), "jaccard-links")
+        if not more.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    forget(texts, members)
+    return every, ids, roots
 
 
 def report(docs: DataFrame) -> DataFrame:
     return classes(docs, 3, 90)
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i + 2], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 2, 1) + 1)) t(i) WHERE len(w) > 0),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT x.r AS a, y.r AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.r < y.r GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+c(r, t) AS (SELECT r, r FROM d UNION SELECT c.r, l.b FROM c JOIN l ON l.a = c.t)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM d JOIN c USING (r) JOIN d o ON o.r = c.t LEFT JOIN n ON n.r = d.r GROUP BY d.r, d.doc_id
+"""

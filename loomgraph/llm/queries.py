@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pii_spans": op1_pii.SQL, "op3_chat_formatting": op3_chat.SQL, "op10_winnow_decontamination": op10_decontaminate.SQL}
+    return {"op1_pii_spans": op1_pii.SQL, "op3_chat_formatting": op3_chat.SQL, "op8_jaccard_join": op8_jaccard.SQL, "op10_winnow_decontamination": op10_decontaminate.SQL}

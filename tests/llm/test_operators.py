@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -292,6 +293,24 @@ def test_jaccard(docs, rows, k, percent, extra):
     assert got == brute_classes(rows, k, percent)
 
 
+@pytest.mark.parametrize("extra", [{}, {"group": 3, "block": 8, "order_bits": 10}, {"group": 6, "block": 4, "most_l": 1}])
+def test_jaccard_families(spark, extra, monkeypatch):
+    """Families with members that are far from most of the others, some of which only links to others bring in; pairs come in several portions."""
+    monkeypatch.setattr(op8_jaccard, "PORTION", 20)
+    r, rows = random.Random(8), []
+    for family in range(3):
+        base = [f"w{r.randrange(400)}" for _ in range(60)]
+        text = base
+        for i in range(45):
+            text = list(base if i % 4 else text)
+            for _ in range(r.choice([0, 1, 1, 2, 4, 9])):
+                text[r.randrange(60)] = f"x{r.randrange(9)}"
+            rows.append((1000 * family + i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter(tuple(x) for x in op8_jaccard.classes(docs, 3, 70, **extra).collect())
+    assert got == brute_classes(rows, 3, 70)
+
+
 def test_jaccard_empty(none):
     assert op8_jaccard.report(none).count() == 0
 
