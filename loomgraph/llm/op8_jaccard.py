@@ -6,17 +6,19 @@ A document's set is its distinct word shingles. Two documents link when their se
 Shingles have one order for the whole corpus, rare ones first (by counts of all shingles in all documents, hashed into
 a table of 2^`order_bits` counters; any order gives the same links, this one makes few candidates). A set of n shingles
 that links with another shares at least o = ceil(n * percent / 100) of its shingles with it, so the first n - o + l
-shingles of both have at least l in common. Each document picks its own l, from 1 to `most_l`: it lengthens its prefix
-while the estimated cost of looking up its shingles and verifying the candidates falls. A pair must share the smaller
-of the two l's before it is verified.
+shingles of both have at least l in common. Each document picks its own l, from `LEAST_L` to `most_l` (less for the smallest
+sets): it lengthens its prefix while the estimated cost of looking up its shingles and verifying the candidates falls. A pair
+must share the smaller of the two l's before it is verified. The estimate doesn't see single rare shingles that two
+documents share by chance, of which there are more with the square of the corpus; `LEAST_L` keeps these out.
 
 Shingles that up to `group` documents have in their prefixes give pairs of documents. Larger groups (thousands of near
 copies) aren't written out as pairs. Their members are first compared with a few pivots: those with the least hashes, so
 that the groups of one family, which share most members, have the same pivots. Links only matter between different
-components, so what is left are the pairs of a group whose members the links so far leave apart. These are formed in
-blocks of `block` members, sorted by size, and only where two blocks have sizes that can link.
+components, so what is left is to compare the members of a group that the links so far leave apart. They meet in blocks of
+at most `block` members and `BLOCK_SHINGLES` shingles, sorted by size, where two blocks have sizes that can link; a pair meets in
+the first group that it shares, and a text goes only where it has a partner.
 
-Pairs are compared on whole sets, in portions of at most about `PORTION` pairs and `PORTION_SHINGLES` shingles.
+All comparisons are of whole sets, pairs in portions of at most about `PORTION` pairs and `PORTION_SHINGLES` shingles.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import WordHash, by_bytes, forget, grams, shared, spread_join, utf8, written
 from loomgraph.llm.components import components
 
-WORDS, PERCENT, ORDER_BITS, MOST_L, GROUP, BLOCK, VERIFY, FAN_IN, ID_BITS = 5, 80, 22, 3, 32, 256, 20.0, 32, 23
-PIVOTS, PORTION, PORTION_SHINGLES = 4, 2048, 4_000_000
+WORDS, PERCENT, ORDER_BITS, MOST_L, GROUP, BLOCK, VERIFY, FAN_IN, ID_BITS = 5, 80, 22, 6, 32, 1024, 20.0, 32, 23
+LEAST_L, PIVOTS, PORTION, PORTION_SHINGLES, BLOCK_SHINGLES, FIRSTS = 3, 4, 2048, 4_000_000, 500_000, 16
 
 
 def shingle_sets(texts: Iterable[bytes], k: int, cache: WordHash) -> Iterator[np.ndarray]:
@@ -116,7 +118,7 @@ class Order:
         first = near[np.lexsort((shingles[near], rank[near]))][:most]
         partners = np.cumsum(np.maximum(0.0, 2.0 ** (rank[first] / 8.0) - 1 - self.load))
         best, cost = 1, None
-        for ell in range(1, max(1, most - base) + 1):
+        for ell in range(min(LEAST_L, max(1, most - base)), max(1, most - base) + 1):
             found = partners[min(most, base + ell) - 1]
             now = found + VERIFY * found / ell
             if cost is None or now < cost:
@@ -151,20 +153,27 @@ def candidates(reps: DataFrame, percent: int, group: int, block: int) -> DataFra
 
     Documents go by half of their key here: what coincides by chance is a candidate too, and compared in full later on. A
     shingle's documents come in one after the other, sorted by size; at most `group` of them are held."""
-    rows = reps.select(F.explode("prefix").alias("shingle"), (F.col("n") * 4 + F.col("ell")).alias("size"), "id")
+    rows = reps.select(F.explode("prefix").alias("shingle"), (F.col("n") * 16 + F.col("ell")).alias("size"), "id")
     rows = rows.repartition("shingle").sortWithinPartitions("shingle", "size", "id")
     types = {"shingle": pa.int64(), "a": pa.int64(), "b": pa.int64(), "ell": pa.int32(), "n": pa.int64(), "part": pa.int32()}
 
     def run(batches):
-        at, held, seen = None, [], 0
+        at, held, seen, part, filled, shingles = None, [], 0, 0, 0, 0
         out: list[tuple] = []
 
+        def member(a, n):
+            nonlocal part, filled, shingles
+            if filled == block or filled and shingles + n > BLOCK_SHINGLES:
+                part, filled, shingles = part + 1, 0, 0
+            filled, shingles = filled + 1, shingles + n
+            out.append((at, a, None, None, n, part))
+
         def close():
             nonlocal held
             for i, (x, a) in enumerate(held):
                 for y, b in held[i + 1 :]:
-                    if (x >> 2) * 100 >= (y >> 2) * percent:
-                        out.append((None, min(a, b), max(a, b), min(x & 3, y & 3), (x >> 2) + (y >> 2), None))
+                    if (x >> 4) * 100 >= (y >> 4) * percent:
+                        out.append((None, min(a, b), max(a, b), min(x & 15, y & 15), (x >> 4) + (y >> 4), None))
             held = []
 
         def flush():
@@ -181,15 +190,16 @@ def candidates(reps: DataFrame, percent: int, group: int, block: int) -> DataFra
                 if shingle != at:
                     if seen <= group:
                         close()
-                    at, held, seen = shingle, [], 0
+                    at, held, seen, part, filled, shingles = shingle, [], 0, 0, 0, 0
                 seen += 1
                 if seen <= group:
                     held.append((size, a))
                     continue
                 if seen == group + 1:
-                    out.extend((at, x, None, None, z >> 2, j // block) for j, (z, x) in enumerate(held))
+                    for z, x in held:
+                        member(x, z >> 4)
                     held = []
-                out.append((at, a, None, None, size >> 2, (seen - 1) // block))
+                member(a, size >> 4)
             if len(out) > 50_000:
                 yield flush()
         if seen <= group:
@@ -209,35 +219,98 @@ def pivot_pairs(members: DataFrame, percent: int) -> DataFrame:
     return rows.select(F.least("a", "p").alias("a"), F.greatest("a", "p").alias("b"), (F.col("n") + F.col("m")).alias("n")).distinct()
 
 
-def apart_pairs(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """The pairs of large groups that labels (id, label; a null label is apart from all) leave apart and whose sizes can link: a, b, n (both sizes).
+def _to_compare(pdf, percent: int) -> np.ndarray:
+    """Which rows of a meeting have to be compared with which: of the two blocks, of labels that differ, of sizes that can link, and without an earlier group in common."""
+    import pandas as pd
+
+    n, part, own = pdf["n"].to_numpy(), pdf["part"].to_numpy(), np.arange(len(pdf))
+    code = np.where(pd.isna(pdf["label"]), -1 - own, pd.factorize(pdf["label"])[0])
+    out = (code[:, None] != code[None, :]) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
+    i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+    out &= (part == i)[:, None] & (part == j)[None, :] | (part == j)[:, None] & (part == i)[None, :]
+    np.fill_diagonal(out, False)
+    earlier = [(at, x) for at, xs in enumerate(pdf["firsts"]) for x in xs if x < pdf["shingle"].iloc[0]]
+    if earlier and out.any():
+        doc = np.array([x[0] for x in earlier])
+        column = np.unique([x[1] for x in earlier], return_inverse=True)[1]
+        for lo in range(0, int(column.max()) + 1, 4096):
+            here = (column >= lo) & (column < lo + 4096)
+            x = np.zeros((len(pdf), 4096), np.float32)
+            x[doc[here], column[here] - lo] = 1
+            out &= x @ x.T == 0
+    return out
+
+
+def overlaps(sets: list[np.ndarray], left: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets at `left` with all others: columns that many sets have by matrix products, others pair by pair."""
+    n, every = len(sets), np.concatenate(sets)
+    doc = np.repeat(np.arange(n), [len(x) for x in sets])
+    order = np.argsort(every, kind="stable")
+    every, doc = every[order], doc[order]
+    starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    often = np.diff(np.concatenate([starts, [len(every)]]))
+    times = np.repeat(often, often)
+    few = doc[(times > 1) & (times <= 8)], every[(times > 1) & (times <= 8)]
+    at = np.full(n, -1)
+    at[left] = np.arange(len(left))
+    both = np.zeros(len(left) * n, np.int64)
+    for step in range(1, 8):
+        same = np.flatnonzero(few[1][step:] == few[1][:-step])
+        for x, y in ((few[0][same], few[0][same + step]), (few[0][same + step], few[0][same])):
+            both += np.bincount(at[x[at[x] >= 0]] * n + y[at[x] >= 0], minlength=len(both))
+    both = both.reshape(len(left), n).astype(np.float32)
+    many = times > 8
+    column, doc = np.repeat(np.cumsum(often > 8) - 1, often)[many], doc[many]
+    for lo in range(0, int((often > 8).sum()), 2048):
+        here = (column >= lo) & (column < lo + 2048)
+        x = np.zeros((n, 2048), np.float32)
+        x[doc[here], column[here] - lo] = 1
+        both += x[left] @ x.T
+    return both
+
+
+def apart_links(members: DataFrame, labels: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """A spanning forest (a, b: keys) of the links in large groups between documents that labels (id, label; a null label is apart from all) leave apart.
 
     Blocks (shingle, part) meet two by two unless one label fills both or their sizes are too far apart; a meeting has two blocks of members at most."""
-    known = members.join(labels.withColumnRenamed("id", "a"), "a").select("shingle", "part", "a", "n", "label")
-    known = written(known, "jaccard-members")
+    firsts = members.groupBy("a").agg(F.slice(F.sort_array(F.collect_set("shingle")), 1, FIRSTS).alias("firsts"))
+    known = written(members.join(firsts.join(labels.withColumnRenamed("id", "a"), "a"), "a").select("shingle", "part", "a", "n", "label", "firsts"), "jaccard-members")
     blocks = known.groupBy("shingle", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("lo"), F.max("label").alias("hi"), (F.count("label") < F.count("*")).alias("open"))
     ends = [F.col(x).alias(f"{x}2") for x in ("part", "least", "most", "lo", "hi", "open")]
     both = blocks.join(blocks.select("shingle", *ends), "shingle").where("part <= part2")
     same = ~F.col("open") & ~F.col("open2") & (F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo") == F.col("lo2"))
     both = both.where((100 * F.least("most", "most2") >= percent * F.greatest("least", "least2")) & ~same)
     meets = both.select("shingle", F.col("part").alias("i"), F.col("part2").alias("j"), F.explode(F.array_distinct(F.array("part", "part2"))).alias("part"))
-    rows = meets.join(known, ["shingle", "part"])
+    rows = meets.join(known, ["shingle", "part"]).select("shingle", "i", "j", "part", "a", "n", "label", "firsts")
 
-    def pairs(pdf):
-        import pandas as pd
+    def needed(pdf):
+        return pdf[_to_compare(pdf, percent).any(1)]
 
-        label, part, ids, n = (pdf[x].to_numpy() for x in ("label", "part", "a", "n"))
-        code, open_ = pd.factorize(label, use_na_sentinel=True)[0], pd.isna(label)
-        code = np.where(open_, -1 - np.arange(len(code)), code)
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        x, y = np.nonzero((code[left][:, None] != code[right][None, :]) & (100 * np.minimum(n[left][:, None], n[right][None, :]) >= percent * np.maximum(n[left][:, None], n[right][None, :])))
-        x, y = left[x], right[y]
-        if i == j:
-            x, y = x[x < y], y[x < y]
-        return pd.DataFrame({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y]), "n": n[x] + n[y]})
+    def links(pdf):
+        import pandas as pd
 
-    return rows.groupBy("shingle", "i", "j").applyInPandas(pairs, "a long, b long, n long").where("a != b").distinct()
+        keys, sets = pdf["key"].tolist(), list(shingle_sets(map(zlib.decompress, pdf["text"]), k, WordHash()))
+        compare, size = _to_compare(pdf, percent), np.array([len(x) for x in sets])
+        code = pd.factorize(pdf["label"])[0]
+        main = np.bincount(code[code >= 0]).argmax() if (code >= 0).any() else -2
+        left = np.flatnonzero(compare.any(1) & (code != main))  # two labels differ, so one of any two is among these
+        both = overlaps(sets, left)
+        link = np.zeros(compare.shape, bool)
+        link[left] = compare[left] & (100 * both >= percent * (size[left][:, None] + size[None, :] - both))
+        link |= link.T
+        label = np.arange(len(sets))
+        while True:
+            lower = np.minimum(np.where(link, label[None, :], len(sets)).min(1), label)
+            if (lower == label).all():
+                break
+            label = lower
+        found = np.flatnonzero(label != np.arange(len(sets)))
+        return pd.DataFrame({"a": [keys[i] for i in found], "b": [keys[label[i]] for i in found]})
+
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work: not to be put together into one task
+    some = rows.repartition(tasks, "shingle", "i", "j").groupBy("shingle", "i", "j").applyInPandas(needed, rows.schema)
+    some = some.withColumnRenamed("a", "id").hint("merge").join(texts, "id")
+    return some.groupBy("shingle", "i", "j").applyInPandas(links, "a binary, b binary")
 
 
 def _id_bits(wanted: DataFrame, bits: int) -> np.ndarray:
@@ -251,20 +324,20 @@ def _id_bits(wanted: DataFrame, bits: int) -> np.ndarray:
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, k: int, bits: int) -> DataFrame:
-    """key, id, text (UTF-8, compressed) of the documents whose ids are on the bitmap of the wanted ones (rep). The few others on it are in no
-    candidate pair or group, so later joins pass them over; nothing is shuffled here. Texts
-    travel, not sets: they are several times smaller."""
-    sent = shared(docs.sparkSession, np.packbits(_id_bits(wanted, bits)))
+    """key, id, text (UTF-8, compressed), large of the documents whose ids are on the bitmap of the wanted ones (rep, large: in a large group). The few
+    others on it are in no candidate pair or group, so later joins pass them over; nothing is shuffled here. Texts travel, not sets: they are several times smaller."""
+    sent = shared(docs.sparkSession, [np.packbits(_id_bits(x, bits)) for x in (wanted, wanted.where("large"))])
     placed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("place"))
 
     def run(batches):
-        on, cache = np.unpackbits(sent()).astype(bool), WordHash()
+        (on, large), cache = (np.unpackbits(x).astype(bool) for x in sent()), WordHash()
         for batch in batches:
             batch = batch.filter(pa.array(on[batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)], pa.bool_()))
+            many = large[batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)]
             keys = [key_of(s) for _, texts in by_bytes(utf8(batch.column(1))) for s in shingle_sets(texts, k, cache)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([_half(x) for x in keys], pa.int64()), pa.array([zlib.compress(t, 1) for t in utf8(batch.column(1))], pa.binary())], ["key", "id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([_half(x) for x in keys], pa.int64()), pa.array([zlib.compress(t, 1) for t in utf8(batch.column(1))], pa.binary()), pa.array(many, pa.bool_())], ["key", "id", "text", "large"])
 
-    return placed.mapInArrow(run, "key binary, id long, text binary").where("id IS NOT NULL")
+    return placed.mapInArrow(run, "key binary, id long, text binary, large boolean").where("id IS NOT NULL")
 
 
 def linked_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -326,16 +399,17 @@ def _linked(docs: DataFrame, k: int, percent: int, order_bits: int, most_l: int,
     members = found.where("b IS NULL").select("shingle", "part", "a", "n")
     pairs = written(few.unionByName(pivot_pairs(members, percent)), "jaccard-pairs")
     ids = written(some.groupBy("key", "id").agg(F.min("doc_id").alias("rep")), "jaccard-ids")
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(members.select(F.col("a").alias("id"))).distinct()
-    wanted = written(ids.join(wanted, "id", "left_semi").select("key", "id", "rep"), "jaccard-wanted")
+    of = lambda df, column, large: df.select(F.col(column).alias("id"), F.lit(large).alias("large"))
+    wanted = of(pairs, "a", False).unionByName(of(pairs, "b", False)).unionByName(of(members, "a", True)).groupBy("id").agg(F.max("large").alias("large"))
+    wanted = written(ids.join(wanted, "id").select("key", "id", "rep", "large"), "jaccard-wanted")
     texts = written(texts_of(docs, wanted, k, ID_BITS), "jaccard-texts")
     roots = components(linked_pairs(pairs, texts, k, percent))
     members = written(members, "jaccard-members")
     forget(found, pairs)
     if not members.isEmpty():
         label = F.when(F.count("*") == 1, F.max(F.coalesce("root", "key"))).alias("label")  # ids that two sets have are apart from all
-        labels = wanted.join(members.select(F.col("a").alias("id")).distinct(), "id", "left_semi").join(roots, F.col("key") == F.col("node"), "left").groupBy("id").agg(label)
-        more = written(linked_pairs(apart_pairs(members, labels, percent), texts, k, percent), "jaccard-links")
+        labels = wanted.where("large").join(roots, F.col("key") == F.col("node"), "left").groupBy("id").agg(label)
+        more = written(apart_links(members, labels, texts.where("large").select("key", "id", "text"), k, percent), "jaccard-links")
         if not more.isEmpty():
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     forget(texts, members)

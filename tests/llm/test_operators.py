@@ -311,6 +311,15 @@ def test_jaccard_families(spark, extra, monkeypatch):
     assert got == brute_classes(rows, 3, 70)
 
 
+def test_overlaps():
+    draw = np.random.default_rng(3)
+    sets = [np.unique(draw.integers(0, 60 if i % 2 else 3000, draw.integers(1, 80)).astype(np.uint64)) for i in range(40)]
+    left = np.array([1, 4, 39])
+    got, want = op8_jaccard.overlaps(sets, left), np.array([[len(np.intersect1d(sets[i], x)) for x in sets] for i in left])
+    other = left[:, None] != np.arange(40)
+    assert (got[other] == want[other]).all()
+
+
 def test_jaccard_empty(none):
     assert op8_jaccard.report(none).count() == 0
 
