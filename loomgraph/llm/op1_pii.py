@@ -2,7 +2,8 @@
 
 Regular expressions propose spans, validators confirm them (Luhn for cards, mod-97 for account numbers, ranges for
 addresses), and words nearby adjust each span's score. Positions come from splitting a text at a pattern: the pieces'
-and the matches' lengths add up, in code points.
+and the matches' lengths add up, in code points. Sums are taken in blocks and contexts from the pieces next to a match, so
+that the time for a text grows with its length and not with the square of its matches.
 
 The four base kinds (email, ip, card, phone) are kept whatever their score; the further kinds (iban, ssn, secret) need
 `LEAST`. The patterns are possessive and anchored where a run begins, so that they take time in proportion to the text.
@@ -10,12 +11,13 @@ The four base kinds (email, ip, card, phone) are kept whatever their score; the
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEAST, BEFORE, AFTER = 0.6, 40, 20
+LEAST, BEFORE, AFTER, BLOCK, PART = 0.6, 40, 20, 128, 4096
 BASE = ("email", "ip", "card", "phone")
 
 
@@ -79,28 +81,54 @@ def _valid(kind: str, match: Column) -> Column:
     }[kind]
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once, however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _before(xs: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each place of an array of numbers, the sum (or maximum, by join) of those before it, 0 at first: of the blocks before its own, and within that."""
+    fold = lambda x: F.aggregate(x, F.lit(0), join)
+    block = lambda i: (i / BLOCK).cast("int")
+    totals = lambda x: F.transform(F.sequence(F.lit(0), block(F.size(x))), lambda c: fold(F.slice(x, c * BLOCK + 1, BLOCK)))
+    tops = lambda x: _with(totals(x), lambda t: F.transform(t, lambda _, i: fold(F.slice(t, F.lit(1), i))))
+    both = lambda x: F.struct(x.alias("x"), tops(x).alias("tops"))
+    return _with(_with(xs, both), lambda v: F.transform(v["x"], lambda _, i: join(v["tops"][block(i)], fold(F.slice(v["x"], block(i) * BLOCK + 1, i % BLOCK)))))
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _most(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
 def spans_of(text: Column, kind: Kind, least: float) -> Column:
     """array<struct<kind, start, end, score>> of one kind: code points, end exclusive."""
-    matches, pieces = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), F.split(text, kind.pattern, -1)
-    placed = F.aggregate(
-        F.arrays_zip(matches.alias("m"), F.slice(pieces, 1, F.size(matches)).alias("p")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["p"])).alias("s"), (a["at"] + F.length(x["p"]) + F.length(x["m"])).alias("e"), x["m"].alias("m")))).alias("out"),
-        ),
-    )["out"]
-    good = F.filter(placed, lambda x: _valid(kind.name, x["m"]))
-
-    def scored(x: Column) -> Column:
-        start = F.greatest(F.lit(0), x["s"] - BEFORE)
-        around = F.concat(F.substr(text, start + 1, x["s"] - start), F.lit(" "), F.substr(text, x["e"] + 1, F.lit(AFTER)))
-        return F.struct(F.lit(kind.name).alias("kind"), x["s"].alias("start"), x["e"].alias("end"), F.round(F.lit(kind.score) + F.when(F.lower(around).rlike(kind.near), 0.2).otherwise(0.0), 2).alias("score"))
-
-    found = F.transform(good, scored)
+    empty = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
+    found = F.struct(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("m"), F.split(text, kind.pattern, -1).alias("p"))
+
+    def placed(v: Column) -> Column:
+        lengths = F.transform(v["m"], lambda m, i: F.length(v["p"][i]) + F.length(m))
+        return F.struct(v["m"].alias("m"), v["p"].alias("p"), _before(lengths, _sum).alias("at"))
+
+    def around(v: Column, i: Column) -> Column:
+        """The text near a match, from the pieces and matches on both sides: of each no more than can count, of matches (4 characters or more) so many that they suffice."""
+        low, high = F.greatest(F.lit(0), i - BEFORE // 4), F.least(F.size(v["m"]), i + 1 + AFTER // 4)
+        left = F.transform(F.sequence(low, i), lambda j: F.concat(F.when(j > low, F.right(v["m"][j - 1], F.lit(BEFORE))).otherwise(""), F.right(v["p"][j], F.lit(BEFORE))))
+        right = F.transform(F.sequence(i + 1, high), lambda j: F.concat(F.left(v["p"][j], F.lit(AFTER)), F.when(j < F.size(v["m"]), F.left(v["m"][j], F.lit(AFTER))).otherwise("")))
+        return F.concat(F.right(F.array_join(left, ""), F.lit(BEFORE)), F.lit(" "), F.left(F.array_join(right, ""), F.lit(AFTER)))
+
+    def spans(v: Column) -> Column:
+        start = lambda m, i: v["at"][i] + F.length(v["p"][i])
+        good = F.filter(F.transform(v["m"], lambda m, i: F.struct(m.alias("m"), i.alias("i"), start(m, i).alias("s"))), lambda x: _valid(kind.name, x["m"]))
+        score = lambda x: F.round(F.lit(kind.score) + F.when(F.lower(around(v, x["i"])).rlike(kind.near), 0.2).otherwise(0.0), 2)
+        return F.transform(good, lambda x: F.struct(F.lit(kind.name).alias("kind"), x["s"].alias("start"), (x["s"] + F.length(x["m"])).alias("end"), score(x).alias("score")))
+
+    found = _with(_with(found, placed), spans)
     if kind.name not in BASE:
         found = F.filter(found, lambda x: x["score"] >= least)
-    empty = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
     return F.when(text.rlike(kind.gate), found).otherwise(empty)
 
 
@@ -111,15 +139,29 @@ def detect(text: Column, least: float = LEAST) -> Column:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by [KIND]; of overlapping spans the first, and of those the longest, is replaced. Null stays null."""
+    """The text with every span replaced by [KIND]; spans that overlap are replaced together, by the kind of the first, and of those the longest. Null stays null.
+
+    The text is cut into parts of `PART` characters, so that a place in it is found without reading the text from its start."""
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus_end"), s["kind"].alias("kind"))))
-    done = F.aggregate(
-        order, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, s: F.when(s["start"] < a["at"], a).otherwise(
-            F.struct((-s["minus_end"]).alias("at"), F.concat(a["out"], F.array(F.substr(text, a["at"] + 1, s["start"] - a["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out"))
-        ),
-    )
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(done["out"], ""), F.substr(text, done["at"] + 1))).otherwise(text)
+
+    def heads(order: Column) -> Column:
+        reached = _before(F.transform(order, lambda s: -s["minus_end"]), _most)
+        all_ = F.transform(F.arrays_zip(order.alias("s"), reached.alias("reached")), lambda x: F.struct(x["s"]["start"].alias("start"), x["s"]["kind"].alias("kind"), x["reached"].alias("reached")))
+        return F.filter(all_, lambda x: x["start"] >= x["reached"])  # none before it reaches it
+
+    def between(parts: Column, a: Column, b: Column) -> Column:
+        at = lambda x: F.floor(x / PART).cast("int")
+        first, last = F.coalesce(parts[at(a)], F.lit("")), F.coalesce(parts[at(b)], F.lit(""))
+        several = F.concat(F.substr(first, a % PART + 1), F.array_join(F.slice(parts, at(a) + 2, F.greatest(at(b) - at(a) - 1, F.lit(0))), ""), F.substr(last, F.lit(1), b % PART))
+        return F.when(at(a) == at(b), F.substr(first, a % PART + 1, b - a)).otherwise(several)
+
+    def joined(v: Column) -> Column:
+        done = F.transform(v["heads"], lambda h: F.concat(between(v["parts"], h["reached"], h["start"]), F.lit("["), F.upper(h["kind"]), F.lit("]")))
+        rest = between(v["parts"], F.array_max(F.transform(v["order"], lambda s: -s["minus_end"])), F.length(text))
+        return F.concat(F.array_join(done, ""), rest)
+
+    laid = _with(order, lambda o: F.struct(o.alias("order"), heads(o).alias("heads"), F.split(text, rf"(?s)(?<=\G.{{{PART}}})", -1).alias("parts")))
+    return F.when(F.size(spans) > 0, _with(laid, joined)).otherwise(text)
 
 
 def find(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -143,7 +185,7 @@ def report(docs: DataFrame) -> DataFrame:
     listed = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("pii", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("pii", lambda x: x["kind"].isin(*BASE))
-    return find(docs).select("doc_id", *(count(k) for k in BASE), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+    return find(docs).select("doc_id", *(count(k) for k in BASE), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"))
 
 
 def _sql() -> str:
@@ -171,8 +213,8 @@ def _sql() -> str:
     counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
     return (
         f"WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), f AS ({spans}),\n"
-        f"g AS (SELECT r, {counts}, {listed} FILTER (o < 4) AS base, {listed} AS spans FROM f GROUP BY r)\n"
-        f"SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)"
+        f"g AS (SELECT r, {counts}, {listed} FILTER (o < 4) AS base, {listed} AS spans, count(*) AS n_spans FROM f GROUP BY r)\n"
+        f"SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_spans, 0) AS n_spans FROM d LEFT JOIN g USING (r)"
     )
 
 

@@ -21,8 +21,10 @@ from pyspark.sql import types as T
 
 OPEN, CLOSE = "### ", "</turn>"
 TURNS = "array<struct<role:string,text:string>>"
-#: Names of roles in known layouts.
-ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant"}
+#: Further names of roles in layouts with messages or with from and value. Turns by rows keep their roles as they stand.
+ROLES = (("human", "user"), ("prompter", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"), ("ai", "assistant"))
+#: Longer conversations stay in their struct instead of a JSON text, whose fingerprint is limited to texts of 20 million characters.
+JSON_CHARS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -35,13 +37,14 @@ class Mapping:
     ddl: str  # the layout
     turns: tuple[str, str, str] | None = None  # list field ('' for the column itself), role field, text field
     fields: tuple[tuple[str, str], ...] = ()  # (role, field); fields of one role that follow each other are joined by a blank line
+    roles: tuple[tuple[str, str], ...] = ()  # the layout's own names of roles; others are taken as they stand
 
 
 MAPPINGS = (
     Mapping("turn_rows", "turns array<struct<turn:bigint,role:string,text:string>>", ("turns", "role", "text")),
     Mapping("turns", "turns array<struct<role:string,text:string>>", ("turns", "role", "text")),
-    Mapping("messages", "messages array<struct<role:string,content:string>>", ("messages", "role", "content")),
-    Mapping("conversations", "conversations array<struct<from:string,value:string>>", ("conversations", "from", "value")),
+    Mapping("messages", "messages array<struct<role:string,content:string>>", ("messages", "role", "content"), roles=ROLES),
+    Mapping("conversations", "conversations array<struct<from:string,value:string>>", ("conversations", "from", "value"), roles=ROLES),
     Mapping("prompt_completion", "prompt string, completion string", fields=(("user", "prompt"), ("assistant", "completion"))),
     Mapping("prompt_response", "prompt string, response string", fields=(("user", "prompt"), ("assistant", "response"))),
     Mapping("question_answer", "question string, answer string", fields=(("user", "question"), ("assistant", "answer"))),
@@ -83,17 +86,18 @@ def _schema(ddl: str) -> T.StructType:
     return T._parse_datatype_string(ddl)
 
 
-def role_of(role: Column) -> Column:
-    """Known names of roles in one form; others as they are; null as empty."""
-    known = F.create_map(*(F.lit(x) for kv in ROLES.items() for x in kv))
-    return F.coalesce(known[role], role, F.lit(""))
+def role_of(role: Column, names: tuple[tuple[str, str], ...] = ()) -> Column:
+    """A layout's own names of roles in the common form; others as they are; null as empty."""
+    for own, common in names:
+        role = F.when(role == own, common).otherwise(role)
+    return F.coalesce(role, F.lit(""))
 
 
 def turns_by(mapping: Mapping, record: Column) -> Column:
     """Canonical turns of a struct of the mapping's layout. Null texts are empty; fields without text give no turn."""
     if mapping.turns:
         where, role, text = mapping.turns
-        one = lambda t: F.struct(role_of(t[role]).alias("role"), F.coalesce(t[text], F.lit("")).alias("text"))
+        one = lambda t: F.struct(role_of(t[role], mapping.roles).alias("role"), F.coalesce(t[text], F.lit("")).alias("text"))
         return F.transform(F.coalesce(record[where], F.array().cast(_schema(mapping.ddl)[where].dataType)), one)
     joined: list[tuple[str, list[Column]]] = []
     for role, name in mapping.fields:
@@ -115,12 +119,17 @@ def canonical(df: DataFrame, record: str) -> Column:
 
 
 def canonical_json(text: Column) -> Column:
-    """Turns of JSON texts of mixed layouts, row by row; null for unknown layouts and texts that aren't JSON."""
-    mark, out = json_fingerprint(text), F.lit(None).cast(TURNS)
-    for m in MAPPINGS:
-        schema = _schema(m.ddl)
-        out = F.when(mark == hashlib.sha256(_shape(schema).encode()).hexdigest(), turns_by(m, F.from_json(text, schema))).otherwise(out)
-    return out
+    """Turns of JSON texts of mixed layouts, row by row; null for unknown layouts and texts that aren't JSON. A layout's empty list has no turns."""
+
+    def chosen(mark: Column) -> Column:
+        out = F.lit(None).cast(TURNS)
+        for m in MAPPINGS:
+            schema = _schema(m.ddl)
+            shapes = [_shape(schema), *([f"OBJECT<{m.turns[0]}: ARRAY<x>>"] if m.turns else [])]
+            out = F.when(mark.isin([hashlib.sha256(x.encode()).hexdigest() for x in shapes]), turns_by(m, F.from_json(text, schema))).otherwise(out)
+        return out
+
+    return F.transform(F.array(json_fingerprint(text)), chosen)[0]  # so that a text is fingerprinted once
 
 
 def _replaced(x: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -184,9 +193,33 @@ def gathered(rows: DataFrame) -> DataFrame:
     return turns.select("conv_id", F.struct("turns").alias("record"))
 
 
-def format_chats(df: DataFrame, record: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Carried columns and formatted: struct<text, loss>."""
-    return df.select(*carry, canonical(df, record).alias("turns")).select(*carry, formatted(F.col("turns")).alias("formatted"))
+def exported(conversations: DataFrame) -> DataFrame:
+    """gathered() conversations -> conv_id, record (JSON texts of several layouts, as if from several exporters), rows (a struct of turns, where record is null).
+
+    A hash of the id picks the layout, of those that can hold the conversation as it stands: prompt and completion for two non-empty turns of
+    user and assistant; from and value where all roles are user, assistant or system; messages where no role has a further name of another; turns
+    otherwise. Null roles and texts are written as empty ones. Conversations of more than `JSON_CHARS` characters have no JSON text."""
+    turns = F.transform("record.turns", lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
+    small = F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + F.length(t["role"]) + F.length(t["text"])) <= JSON_CHARS
+    rows = conversations.select("conv_id", turns.alias("turns"), F.pmod(F.xxhash64("conv_id"), F.lit(3)).alias("pick")).withColumn("small", small)
+    roles = F.transform("turns", lambda t: t["role"])
+    pair = (roles == F.array(F.lit("user"), F.lit("assistant"))) & (F.col("turns")[0]["text"] != "") & (F.col("turns")[1]["text"] != "")
+    named, plain = F.forall(roles, lambda r: r.isin("user", "assistant", "system")), F.forall(roles, lambda r: ~r.isin([own for own, _ in ROLES]))
+    speaker = lambda r: F.when(r == "user", "human").when(r == "assistant", "gpt").otherwise(r)
+    written = lambda name, role, text, of=lambda r: r: F.to_json(F.struct(F.transform("turns", lambda t: F.struct(of(t["role"]).alias(role), t["text"].alias(text))).alias(name)))
+    record = (
+        F.when((F.col("pick") == 0) & pair, F.to_json(F.struct(F.col("turns")[0]["text"].alias("prompt"), F.col("turns")[1]["text"].alias("completion"))))
+        .when((F.col("pick") == 1) & named, written("conversations", "from", "value", speaker))
+        .when(plain, written("messages", "role", "content"))
+        .otherwise(written("turns", "role", "text"))
+    )
+    return rows.select("conv_id", F.when(F.col("small"), record).alias("record"), F.when(~F.col("small"), F.struct("turns")).alias("rows"))
+
+
+def format_chats(df: DataFrame, records: tuple[str, ...], carry: tuple[str, ...] = ()) -> DataFrame:
+    """Carried columns and formatted: struct<text, loss>, of the first record that has turns. A record is a struct, whose layout its schema tells, or a JSON text, whose own layout counts."""
+    of = lambda name: canonical_json(F.col(name)) if isinstance(df.schema[name].dataType, T.StringType) else F.when(F.col(name).isNotNull(), canonical(df, name))
+    return df.select(*carry, F.coalesce(*map(of, records)).alias("turns")).select(*carry, formatted(F.col("turns")).alias("formatted"))
 
 
 def report(conversations: DataFrame) -> DataFrame:
@@ -194,7 +227,7 @@ def report(conversations: DataFrame) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = conversations.sparkSession.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = conversations.select("conv_id", "turn", "role", "text").unionByName(extra)
-    done = format_chats(gathered(rows), "record", ("conv_id",)).select("conv_id", "formatted", read_turns(F.col("formatted.text")).alias("turns"), read_loss(F.col("formatted.text"), F.col("formatted.loss")).alias("learned"))
+    done = format_chats(exported(gathered(rows)), ("record", "rows"), ("conv_id",)).select("conv_id", "formatted", read_turns(F.col("formatted.text")).alias("turns"), read_loss(F.col("formatted.text"), F.col("formatted.loss")).alias("learned"))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return done.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told.cast("binary"), 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"),
@@ -205,7 +238,7 @@ def report(conversations: DataFrame) -> DataFrame:
 SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 p AS (SELECT *, length(replace(replace(replace(replace(role, '\', '\b'), '</turn>', '\e'), '### ', '\m'), ':', '\c')) + length(replace(replace(replace(text, '\', '\b'), '</turn>', '\e'), '### ', '\m')) + 14 AS n FROM c)
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
 FROM p GROUP BY conv_id
 """

@@ -82,9 +82,13 @@ def _values(xs: list) -> Column:
     return F.array(*(F.lit(x) for x in xs)).cast("array<bigint>") if len(xs) < 500 else F.from_json(F.lit(str(list(xs))), "array<bigint>")
 
 
-def _place(x: Column, bounds: Column) -> Column:
-    """How many of the bounds are not above x: the index of the interval that x is in."""
-    return F.size(F.filter(bounds, lambda b: b <= x))
+def _place(x: Column, bounds: list[int]) -> Column:
+    """How many of the rising bounds are not above x: the index of the interval that x is in. Of many bounds, by halving."""
+    if len(bounds) <= 32:
+        return sum(((F.lit(b) <= x).cast("int") for b in bounds), F.lit(0))
+    values, steps = _values(bounds), [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    on = lambda at, step: F.when((at + step <= len(bounds)) & (F.get(values, at + step - 1) <= x), at + step).otherwise(at)
+    return F.aggregate(F.array(*(F.lit(s) for s in steps)), F.lit(0), on)
 
 
 def permuted(index: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
@@ -149,7 +153,7 @@ def drawn(spark: SparkSession, sources: list[Source], shard_slots: int, seed: in
         at += s.quota
         bounds.append(at)
     slots = spark.range(at).select((F.col("id") / shard_slots).cast("long").alias("shard"), F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(max(1, at))).alias("u"))
-    return slots.select("shard", _place(F.col("u"), _values(bounds)).alias("source_index")).groupBy("shard", "source_index").agg(F.count("*").alias("n"))
+    return slots.select("shard", _place(F.col("u"), bounds).alias("source_index")).groupBy("shard", "source_index").agg(F.count("*").alias("n"))
 
 
 def slots(draws: DataFrame, sources: list[Source], block_words: int, seed: int) -> DataFrame:
@@ -166,7 +170,7 @@ def slots(draws: DataFrame, sources: list[Source], block_words: int, seed: int)
     one = one.select("shard", "source_index", "k0", "slot0", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select("shard", (F.col("slot0") + F.col("i")).alias("slot"), "source_index", (F.col("k0") + F.col("i")).alias("k"))
     i, k = F.col("source_index"), F.col("k")
     one = one.withColumn("z", F.when(k >= at([s.quota for s in sources], i), at(over_from, i) + k - at([s.quota for s in sources], i)))
-    one = one.withColumn("to", F.when(F.col("z").isNotNull(), _place(F.col("z"), _values([a + b for a, b in zip(short_from, short, strict=True)]))))
+    one = one.withColumn("to", F.when(F.col("z").isNotNull(), _place(F.col("z"), [a + b for a, b in zip(short_from, short, strict=True)])))
     one = one.withColumn("k", F.when(F.col("z").isNotNull(), at(got, F.col("to")) + F.col("z") - at(short_from, F.col("to"))).otherwise(k)).withColumn("source_index", F.coalesce("to", i))
     whole = at([s.passes * s.blocks for s in sources], i)
     blocks, singles = at([s.blocks for s in sources], i), at([s.size // block_words for s in sources], i)

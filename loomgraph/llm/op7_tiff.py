@@ -70,7 +70,7 @@ def read_pages(files: DataFrame, media: str = "media", carry: tuple[str, ...] =
     """One row per page of each file: the carried columns, then page, width, height, bits, samples, compression, predictor, tiled,
     pixels (row after row, samples together, 16-bit ones little-endian), feature, error.
 
-    A null file gives no row. A file that is damaged or not supported gives one row that has only an error.
+    A null file gives no row. What is damaged or not supported gives a row that has only an error; the other pages are read.
     A carried column may not have the name of a page's column."""
     clash = {x.split()[0] for x in PAGE.split(", ")} & set(carry)
     if clash:
@@ -83,10 +83,14 @@ def read_pages(files: DataFrame, media: str = "media", carry: tuple[str, ...] =
     def of(data: bytes | None) -> list[tuple]:
         if data is None:
             return []
+        wrong = lambda e: (None,) * 10 + (f"{type(e).__name__}: {e}"[:200],)
+        out = []
         try:
-            return [(p.index, p.width, p.height, p.bits, p.samples, p.compression, p.predictor, p.tiled, p.pixels.astype(p.pixels.dtype.newbyteorder("<")).tobytes(), feature(p.pixels), None) for p in tiff.pages(data)]
-        except Exception as e:  # damaged input: the row says so
-            return [(None,) * 10 + (f"{type(e).__name__}: {e}"[:200],)]
+            for p in tiff.pages(data):
+                out.append(wrong(p) if isinstance(p, Exception) else (p.index, p.width, p.height, p.bits, p.samples, p.compression, p.predictor, p.tiled, p.pixels.astype(p.pixels.dtype.newbyteorder("<")).tobytes(), feature(p.pixels), None))
+        except Exception as e:  # a damaged file or chain of pages
+            out.append(wrong(e))
+        return out
 
     def run(batches):
         for batch in batches:

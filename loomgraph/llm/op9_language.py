@@ -2,7 +2,7 @@
 switching labels spans, so that texts of several languages come apart.
 
 The model has log probabilities of byte trigrams (hashed to `buckets`) for each language, and the scripts that each
-language was seen in. A word's score for a language is the sum over its trigrams; a language without the word's script
+language was seen in (by code points; a word has the last of its characters' scripts in the table's order). A word's score for a language is the sum over its trigrams; a language without the word's script
 is no candidate for it. A word that no language is a candidate for takes its neighbours' label and no weight. The
 Viterbi recursion runs over many documents at once.
 
@@ -24,20 +24,40 @@ from loomgraph.llm.common import bounded_sample, by_bytes, crc_mod, shared, utf8
 FIT_DOCS, BUCKETS, PENALTY, SMOOTH = 20_000, 1 << 15, 12.0, 0.5
 #: Work array bytes per chunk of text and language.
 CHUNK_BYTES = 16 << 20
-#: Scripts, by the first byte of a UTF-8 character: the ranges of Unicode that begin with it.
-OTHER, FURTHER, LATIN, GREEK, CYRILLIC, HEBREW, ARABIC, INDIC, KANA_HAN, HANGUL = range(10)
-_SCRIPT = np.zeros(256, np.uint8)
-_SCRIPT[0xD5] = _SCRIPT[0xDC:0xE0] = _SCRIPT[0xE1] = FURTHER  # U+0540-U+057F, U+0700-U+07FF, U+1000-U+1FFF; a Latin letter in the word goes before
-_SCRIPT[0x41:0x5B] = _SCRIPT[0x61:0x7B] = LATIN
-_SCRIPT[0xC3:0xCA] = LATIN  # U+00C0-U+027F
-_SCRIPT[0xCD:0xD0] = GREEK  # U+0370-U+03FF
-_SCRIPT[0xD0:0xD5] = CYRILLIC  # U+0400-U+052F
-_SCRIPT[0xD6:0xD8] = HEBREW  # U+0580-U+05FF
-_SCRIPT[0xD8:0xDC] = ARABIC  # U+0600-U+06FF
-_SCRIPT[0xE0] = INDIC  # U+0800-U+0FFF
-_SCRIPT[0xE3:0xEA] = KANA_HAN  # U+3000-U+9FFF
-_SCRIPT[0xEA:0xEE] = HANGUL  # U+A000-U+DFFF
-N_SCRIPTS = 10
+#: Scripts and their letters' Unicode ranges (first and last). What is in none has no script.
+SCRIPTS = {
+    "Latin": "0041-005A 0061-007A 00AA-00AA 00BA-00BA 00C0-00D6 00D8-00F6 00F8-02AF 1E00-1EFF 2C60-2C7F A722-A7FF FB00-FB06 FF21-FF3A FF41-FF5A",
+    "Greek": "0370-0373 0376-037D 0386-0386 0388-03FF 1F00-1FFF",
+    "Cyrillic": "0400-0481 048A-052F 1C80-1C8F A640-A69F",
+    "Armenian": "0531-0556 0561-0587",
+    "Hebrew": "05D0-05F2 FB1D-FB4F",
+    "Arabic": "0620-0669 066E-06D3 06FA-06FF 0750-077F 08A0-08FF FB50-FDFF FE70-FEFC",
+    "Devanagari": "0900-0963 0966-097F",
+    "Bengali": "0980-09FF",
+    "Gurmukhi": "0A00-0A7F",
+    "Gujarati": "0A80-0AFF",
+    "Oriya": "0B00-0B7F",
+    "Tamil": "0B80-0BFF",
+    "Telugu": "0C00-0C7F",
+    "Kannada": "0C80-0CFF",
+    "Malayalam": "0D00-0D7F",
+    "Sinhala": "0D80-0DFF",
+    "Thai": "0E01-0E3A 0E40-0E4E",
+    "Lao": "0E80-0EDF",
+    "Tibetan": "0F00-0FFF",
+    "Myanmar": "1000-109F",
+    "Georgian": "10A0-10FF 1C90-1CBF 2D00-2D2F",
+    "Hangul": "1100-11FF 3131-318E AC00-D7A3",
+    "Ethiopic": "1200-137F",
+    "Khmer": "1780-17D3",
+    "Kana": "3041-3096 3099-309F 30A1-30FA 30FC-30FF FF66-FF9D",
+    "Han": "3005-3007 3400-4DBF 4E00-9FFF F900-FAFF 20000-323AF",
+}
+OTHER, N_SCRIPTS = 0, len(SCRIPTS) + 1
+_RANGES = sorted((*(int(x, 16) for x in r.split("-")), i) for i, ranges in enumerate(SCRIPTS.values(), 1) for r in ranges.split())
+_FIRST, _LAST, _OF = (np.array(x) for x in zip(*_RANGES, strict=True))
+_ASCII = np.zeros(256, np.uint8)
+_ASCII[0x41:0x5B] = _ASCII[0x61:0x7B] = 1
 _BLANK = bytes(c if c >= 128 or 97 <= c <= 122 or 65 <= c <= 90 else 32 for c in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -54,6 +74,21 @@ def _folded(text: bytes) -> bytes:
     return text.decode("utf-8", "replace").lower().encode("utf-8").translate(_BLANK)
 
 
+def scripts_of(a: np.ndarray) -> np.ndarray:
+    """The script of the character that begins at each byte of UTF-8 text; OTHER at continuation bytes and what is no letter."""
+    out = _ASCII[a]
+    at = np.flatnonzero(a >= 0xC0)
+    if len(at):
+        lead = a[at].astype(np.int64)
+        wide = np.concatenate([a, np.zeros(3, np.uint8)]).astype(np.int64) & 0x3F
+        two, three = (lead & 0x1F) << 6 | wide[at + 1], (lead & 0x0F) << 12 | wide[at + 1] << 6 | wide[at + 2]
+        four = (lead & 0x07) << 18 | wide[at + 1] << 12 | wide[at + 2] << 6 | wide[at + 3]
+        point = np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, four))
+        near = np.searchsorted(_FIRST, point, side="right") - 1
+        out[at] = np.where((near >= 0) & (point <= _LAST[near]), _OF[near], OTHER)
+    return out
+
+
 def _laid(texts: list[bytes], buckets: int):
     """The texts as one array: trigram bucket of each byte, which bytes are in words, where words start, and each word's text."""
     joined = b" " + b" ".join(texts) + b" "
@@ -70,7 +105,7 @@ def _laid(texts: list[bytes], buckets: int):
 def counts(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Trigram counts and script counts of the texts."""
     a, bucket, inside, _, _ = _laid([_folded(t) for t in texts], buckets)
-    return np.bincount(bucket[inside], minlength=buckets), np.bincount(_SCRIPT[a[inside]], minlength=N_SCRIPTS)
+    return np.bincount(bucket[inside], minlength=buckets), np.bincount(scripts_of(a)[inside], minlength=N_SCRIPTS)
 
 
 def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
@@ -105,6 +140,19 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray
     return label
 
 
+def word_scores(scores: np.ndarray, bucket: np.ndarray, inside: np.ndarray, starts: np.ndarray, most: int = CHUNK_BYTES) -> np.ndarray:
+    """Sums of the trigrams' scores for each word and language, a slice of the bytes after the other, so that a long text or word needs no more memory."""
+    word = np.zeros((len(starts), scores.shape[1]), np.float32)
+    step = max(1 << 10, most // (4 * max(1, scores.shape[1])))
+    for lo in range(int(starts[0]), len(inside), step):
+        hi = min(lo + step, len(inside))
+        each = scores[bucket[lo:hi]]
+        each[~inside[lo:hi]] = 0
+        first, last = np.searchsorted(starts, [lo, hi - 1], side="right") - 1
+        word[first : last + 1] += np.add.reduceat(each, np.concatenate([[0], starts[first + 1 : last + 1] - lo]), axis=0)
+    return word
+
+
 def predict(model: Model, texts: list[bytes]) -> list[tuple[str, float, list[tuple[str, int]]]]:
     """(language, share of the letters' bytes that carry it, runs of (language, words)) for each text."""
     folded = [_folded(t) for t in texts]
@@ -114,11 +162,9 @@ def predict(model: Model, texts: list[bytes]) -> list[tuple[str, float, list[tup
     a, bucket, inside, starts, doc = _laid(folded, len(model.scores))
     sizes = np.bincount(doc, minlength=len(texts)) if len(doc) else np.zeros(len(texts), np.int64)
     if len(starts):
-        each = model.scores[bucket]
-        each[~inside] = 0
-        word = np.add.reduceat(each, starts, axis=0)
+        word = word_scores(model.scores, bucket, inside, starts)
         long = np.add.reduceat(inside, starts, dtype=np.int64)
-        allowed = model.scripts[np.maximum.reduceat(_SCRIPT[a], starts)]
+        allowed = model.scripts[np.maximum.reduceat(scripts_of(a), starts)]
         known = allowed.any(1)
         word = np.where(allowed, word, word.min(1, keepdims=True) - 50.0)
         word[~known] = 0
@@ -167,7 +213,7 @@ def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, buckets: int = BUCKETS, p
         return Model([], np.zeros((buckets, 0), np.float32), np.zeros((N_SCRIPTS, 0), bool), penalty)
     g = np.array([total[x][0] for x in langs], float).T + SMOOTH
     s = np.array([total[x][1] for x in langs], float).T
-    scripts = s >= 0.01 * s[FURTHER:].sum(0).clip(1)
+    scripts = s >= 0.01 * s[OTHER + 1 :].sum(0).clip(1)
     scripts[OTHER] = False  # continuation bytes and symbols tell nothing about a language
     return Model(langs, np.log(g / g.sum(0)).astype(np.float32), scripts, penalty)
 

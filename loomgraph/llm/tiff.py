@@ -192,12 +192,12 @@ class Page:
     pixels: np.ndarray  # rows x columns x samples
 
 
-def directories(data: bytes) -> tuple[str, list[dict[int, list[int]]]]:
-    """Byte order, and the integer tags of each image directory in the chain's order. A chain that comes back ends."""
+def directories(data: bytes) -> Iterator[tuple[str, dict[int, list[int]]]]:
+    """Byte order and the integer tags of each image directory, in the chain's order. A chain that comes back ends; a damaged one raises after the good directories."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("not a TIFF file")
-    (at,), found, seen = struct.unpack_from(order + "I", data, 4), [], set()
+    (at,), seen = struct.unpack_from(order + "I", data, 4), set()
     while at and at not in seen:
         seen.add(at)
         (n,) = struct.unpack_from(order + "H", data, at)
@@ -208,36 +208,42 @@ def directories(data: bytes) -> tuple[str, list[dict[int, list[int]]]]:
             if kind in _INTS:
                 where = e + 8 if _SIZES[kind] * count <= 4 else struct.unpack_from(order + "I", data, e + 8)[0]
                 tags[tag] = list(struct.unpack_from(f"{order}{count}{_INTS[kind]}", data, where))
-        found.append(tags)
+        yield order, tags
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
-    return order, found
-
-
-def pages(data: bytes) -> Iterator[Page]:
-    order, all_tags = directories(data)
-    for index, tags in enumerate(all_tags):
-        one = lambda tag, default=None: tags.get(tag, [default])[0]  # noqa: E731, B023
-        columns, rows, samples, compression, predictor = one(WIDTH), one(LENGTH), one(SAMPLES, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
-        bits, tiled = one(BITS, 1), TILE_OFFSETS in tags
-        if bits not in (8, 16) or predictor not in (1, 2):
-            raise ValueError(f"{bits} bits with predictor {predictor} are not supported")
-        kind = np.dtype(np.uint8 if bits == 8 else np.uint16).newbyteorder(order)
-        planes = samples if one(PLANAR, 1) == 2 else 1
-        each = samples // planes
-        if tiled:
-            w, h = one(TILE_WIDTH), one(TILE_LENGTH)
-            offsets, counts = tags[TILE_OFFSETS], tags[TILE_COUNTS]
-        else:
-            w, h = columns, min(rows, one(ROWS_PER_STRIP, rows))
-            offsets, counts = tags[STRIP_OFFSETS], tags[STRIP_COUNTS]
-        across, down = -(-columns // w), -(-rows // h)
-        image = np.zeros((rows, columns, samples), kind.newbyteorder("="))
-        for i, (at, count) in enumerate(zip(offsets, counts, strict=True)):
-            plane, rest = divmod(i, across * down)
-            y, x = rest // across * h, rest % across * w
-            tall = h if tiled else min(h, rows - y)
-            part = np.frombuffer(_unpacked(data[at : at + count], compression, tall * w * each * kind.itemsize), kind).reshape(tall, w, each).astype(image.dtype)
-            if predictor == 2:
-                part = np.cumsum(part, axis=1, dtype=image.dtype)
-            image[y : y + h, x : x + w, plane * each : (plane + 1) * each] = part[: rows - y, : columns - x]
-        yield Page(index, columns, rows, bits, samples, compression, predictor, tiled, image)
+
+
+def pages(data: bytes) -> Iterator[Page | Exception]:
+    """The pages in order; in the place of a damaged or unsupported one, what is wrong with it. A damaged chain of directories raises at its end."""
+    for index, (order, tags) in enumerate(directories(data)):
+        try:
+            yield page(data, order, index, tags)
+        except Exception as e:
+            yield e
+
+
+def page(data: bytes, order: str, index: int, tags: dict[int, list[int]]) -> Page:
+    one = lambda tag, default=None: tags.get(tag, [default])[0]
+    columns, rows, samples, compression, predictor = one(WIDTH), one(LENGTH), one(SAMPLES, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
+    bits, tiled = one(BITS, 1), TILE_OFFSETS in tags
+    if bits not in (8, 16) or predictor not in (1, 2):
+        raise ValueError(f"{bits} bits with predictor {predictor} are not supported")
+    kind = np.dtype(np.uint8 if bits == 8 else np.uint16).newbyteorder(order)
+    planes = samples if one(PLANAR, 1) == 2 else 1
+    each = samples // planes
+    if tiled:
+        w, h = one(TILE_WIDTH), one(TILE_LENGTH)
+        offsets, counts = tags[TILE_OFFSETS], tags[TILE_COUNTS]
+    else:
+        w, h = columns, min(rows, one(ROWS_PER_STRIP, rows))
+        offsets, counts = tags[STRIP_OFFSETS], tags[STRIP_COUNTS]
+    across, down = -(-columns // w), -(-rows // h)
+    image = np.zeros((rows, columns, samples), kind.newbyteorder("="))
+    for i, (at, count) in enumerate(zip(offsets, counts, strict=True)):
+        plane, rest = divmod(i, across * down)
+        y, x = rest // across * h, rest % across * w
+        tall = h if tiled else min(h, rows - y)
+        part = np.frombuffer(_unpacked(data[at : at + count], compression, tall * w * each * kind.itemsize), kind).reshape(tall, w, each).astype(image.dtype)
+        if predictor == 2:
+            part = np.cumsum(part, axis=1, dtype=image.dtype)
+        image[y : y + h, x : x + w, plane * each : (plane + 1) * each] = part[: rows - y, : columns - x]
+    return Page(index, columns, rows, bits, samples, compression, predictor, tiled, image)

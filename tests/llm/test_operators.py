@@ -104,6 +104,22 @@ def test_toxicity(docs, labels, none):
 # 3: chat
 
 
+def test_pii_many_matches(spark):
+    """More matches than a block has, contexts that reach over several of them, and spans that overlap or lie at the parts' ends."""
+    text = "mail " + " ".join(f"+1234567{i % 10}" for i in range(700)) + " call" + "x" * 4000 + " a@b.co " + "é" * 8180 + " c@d.org 4111 1111 1111 1111 123-45-6789"
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = op1_pii.find(rows).collect()[0].pii
+    at = [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text)]
+    assert [(s.start, s.end) for s in spans if s.kind == "phone"] == [x for x in at if 8 <= sum(c.isdigit() for c in text[slice(*x)]) <= 15]
+    many = " | ".join(f"+1234567{i % 10}" for i in range(700))
+    got = op1_pii.find(spark.createDataFrame([(1, many)], "doc_id long, text string")).collect()[0].pii
+    assert [(s.start, s.end) for s in got] == [(12 * i, 12 * i + 9) for i in range(700)]
+    near = {s.start: s.score for s in op1_pii.find(spark.createDataFrame([(1, "call " + "+1 2345678 | " * 6)], "doc_id long, text string")).collect()[0].pii}
+    assert [near[5 + 13 * i] for i in range(6)] == [0.9, 0.9, 0.9, 0.7, 0.7, 0.7]
+    masked = op1_pii.mask(spark.createDataFrame([(1, "x" * 4090 + " me@home.org " + "y" * 9000 + " a@b.co")], "doc_id long, text string")).collect()[0].text
+    assert masked == "x" * 4090 + " [EMAIL] " + "y" * 9000 + " [EMAIL]"
+
+
 def test_chat_round_trip(spark):
     texts = ["", "\\", "</turn>", "### user: x</turn>\n### assistant: y", "\\e\\m\\b\\c", "</turn", "#### ", "a\n\n", "𝄞 é", None, "\\</turn>\\"]
     data = [(1 + i // 4, i, ("user", "assistant", "sys:tem", None)[i % 4], t, "z") for i, t in enumerate(texts)] + [(None, 0, "assistant", "q", "z"), (9, None, "assistant", "b", "z"), (9, 1, "assistant", "a", "z"), (9, 1, "assistant", "a", "z")]
@@ -121,6 +137,24 @@ def test_chat_round_trip(spark):
     assert [r.conv_id for r in op3_chat.report(df.limit(0)).collect()] == [-7]
 
 
+def test_chat_roles_as_they_stand(spark, monkeypatch):
+    """Roles that other layouts have further names for; every conversation takes several layouts in turn, some are too long for JSON, and '{"messages":[]}' has no turns."""
+    data = [(c, t, role, f"{role} says {t}") for c in range(40) for t, role in enumerate(("human", "bot", "user", "assistant")[c % 3 :][: 2 + c % 2])]
+    df = spark.createDataFrame([*data, *((100 + c, t, role, "x" * 10) for c in range(20) for t, role in enumerate(("user", "assistant")))], "conv_id long, turn long, role string, text string")
+    layouts = {r.keys for r in op3_chat.exported(op3_chat.gathered(df)).select(F.array_join(F.json_object_keys("record"), ",").alias("keys")).collect()}
+    assert layouts == {"prompt,completion", "conversations", "messages", "turns"}
+    want = collections.defaultdict(list)
+    for r in sorted(df.collect()):
+        want[r.conv_id].append((r.role, r.text))
+    for most in (op3_chat.JSON_CHARS, 15):
+        monkeypatch.setattr(op3_chat, "JSON_CHARS", most)
+        for r in op3_chat.report(df).where("conv_id >= 0").collect():
+            turns, learned = want[r.conv_id], "".join(t for role, t in want[r.conv_id] if role == "assistant")
+            assert (r.n_turns, r.loss_chars) == (len(turns), len(learned)) and r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+    none = spark.createDataFrame([('{"messages":[]}',), ('{"conversations":[]}',)], "j string").select(F.size(op3_chat.canonical_json(F.col("j")))).collect()
+    assert [r[0] for r in none] == [0, 0]
+
+
 def test_chat_layouts(spark):
     texts = ['{"messages":[{"role":"human","content":"hi"},{"content":"yo","role":"gpt"}]}', '{"prompt":"a","completion":"b"}', '{"output":"y","instruction":"x","input":""}', "nope", None, '{"other":1}', '{"question":"q","answer":null}']
     got = [r[0] and [tuple(t) for t in r[0]] for r in spark.createDataFrame([(t,) for t in texts], "j string").select(op3_chat.canonical_json(F.col("j"))).collect()]
@@ -133,6 +167,13 @@ def test_chat_layouts(spark):
 # 4: mixing
 
 
+def test_place(spark):
+    for n in (1, 5, 33, 700):
+        bounds = sorted(np.random.default_rng(n).integers(0, 500, n).tolist())
+        got = [r[0] for r in spark.range(-1, 502).select(op4_mixing._place(F.col("id"), bounds)).collect()]
+        assert got == [sum(b <= x for b in bounds) for x in range(-1, 502)]
+
+
 def test_targets():
     sizes, weights = [100, 1000, 10, 5000], [1, 2, 3, 1]
     got = op4_mixing.targets(sizes, weights)
@@ -256,6 +297,11 @@ def test_tiff_pages(spark):
     df = spark.createDataFrame([(1, bytearray(two)), (2, None), (3, bytearray(b"junk")), (4, bytearray(two[:60]))], "doc_id long, media binary")
     got = op7_tiff.read_pages(df, "media", ("doc_id",)).collect()
     assert [(r.page, r.width, r.height, r.samples) for r in got if r.doc_id == 1] == [(0, 4, 3, 1), (1, 2, 2, 3)]
+    three, damaged = tiff.write([np.full((4, 4), i, np.uint8) for i in range(3)], tiff.DEFLATE), None
+    strip = list(tiff.directories(three))[1][1][tiff.STRIP_OFFSETS][0]
+    damaged = bytearray(three[:strip] + b"\xff\xff" + three[strip + 2 :])
+    some = op7_tiff.read_pages(spark.createDataFrame([(1, damaged)], "doc_id long, media binary"), "media").collect()
+    assert [(r.page, r.error is None) for r in some] == [(0, True), (None, False), (2, True)]
     assert not [r for r in got if r.doc_id == 2] and all(r.error for r in got if r.doc_id in (3, 4))
     with pytest.raises(ValueError):
         op7_tiff.read_pages(df.withColumn("page", F.lit(1)), "media", ("page",))
