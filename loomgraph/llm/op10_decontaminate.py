@@ -3,32 +3,29 @@
 Both sides are cut into words. Hashes of k consecutive words are k-grams; in every window of w consecutive k-grams
 the least hash is kept as a fingerprint, with k + w - 1 = `span`. A span of `span` words shared by a document and an
 item is one whole window on both sides, so both keep the same fingerprint in it: no shared span of that length is
-missed. Documents and items are joined on fingerprints and every hit is extended to the left and right as far as the
+missed. Documents and items are joined on fingerprints, and every hit is extended to the left and right as far as the
 words agree; a run of `span` words or more is an occurrence. An item with fewer words than `span` is fingerprinted as
 one k-gram of its own length (w = 1).
 
-The item index goes to the tasks by broadcast. It is bounded: items are taken in blocks of at most `block_words`
-words; documents are read once and scanned for one block after the other, however many there are, so that
-every row keeps its own result.
+As every window has a fingerprint of its own, a fingerprint travels with the words that can be in a window with it and
+no others, and equal surroundings in one document travel once: the join never meets texts. Fingerprints of documents
+that no item has are left out by a bitmap of 2^`bits` places, which is of one size for any benchmark; it only saves work.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import WordHash, by_bytes, grams, shared, utf8
+from loomgraph.llm.common import WordHash, by_bytes, grams, mixed, shared, utf8, written
 
-SPAN, K = 10, 5
-BLOCK_WORDS = 4_000_000
+SPAN, K, BITS = 10, 5, 27
 #: Word characters are 0-9, a-z (A-Z lower-cased) and everything outside ASCII.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-RESULT = "doc_id long, n_words long, n_hit long, items array<string>"
+_MARK = "key long, near binary, off int"  # a fingerprint, the words around it (by space), and how many of them are before it
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -49,101 +46,126 @@ def selected(h: np.ndarray, w: int) -> np.ndarray:
     return best == h
 
 
-class Index:
-    """Fingerprints of some items: hashes, and where they stand."""
-
-    def __init__(self, items: list[tuple[str, np.ndarray]], span: int = SPAN, k: int = K):
-        self.span, self.k, self.items = span, k, items
-        at: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for i, (_, words) in enumerate(items):
-            n = len(words)
-            size = k if n >= span else n
-            if not n:
+def fingerprints(lists: list[list[bytes]], cache: WordHash, span: int, k: int, sizes: list[int], on: np.ndarray | None = None):
+    """The fingerprints of several texts, as lists of words: (text, first word, key, words around it, how many are before it).
+
+    sizes: lengths under `span` that are fingerprinted whole; on: a bitmap of keys, if others are not wanted."""
+    ends = np.cumsum([len(x) for x in lists])
+    words = cache.array([w for x in lists for w in x])
+    for size, whole in [(k, False), *((n, True) for n in sizes)]:
+        h = grams(words, size)
+        keep = np.ones(len(h), bool) if whole else selected(h, span - size + 1)
+        key = mixed(h ^ np.uint64(size)) if whole else h
+        if on is not None:
+            place = key >> np.uint64(64 - int(len(on) * 8).bit_length() + 1)
+            keep &= (on[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        at = np.flatnonzero(keep)
+        for p, d, x in zip(at.tolist(), np.searchsorted(ends, at, side="right").tolist(), key[at].view(np.int64).tolist(), strict=True):
+            own = lists[d]
+            p -= int(ends[d]) - len(own)
+            if p + size > len(own):
                 continue
-            h = grams(words, size)
-            for q in np.flatnonzero(selected(h, span - k + 1)) if n >= span else [0]:
-                at[size if n >= span else -n][int(h[q])].append((i, int(q)))
-        self.classes = []
-        for size, places in sorted(at.items()):
-            known = np.array(sorted(places), np.uint64)
-            coarse = np.zeros(1 << 20, bool)
-            coarse[(known >> np.uint64(44)).astype(np.int64)] = True
-            self.classes.append((abs(size), size > 0, known, coarse, dict(places)))
-
-    def scan(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, dict[int, set[str]]]:
-        """words: of several documents, one after the other; ends: where each ends. The words that are hit, and items by document."""
-        hit, found = np.zeros(len(words), bool), defaultdict(set)
-        for size, whole, known, coarse, places in self.classes:
-            h = grams(words, size)
-            maybe = coarse[(h >> np.uint64(44)).astype(np.int64)]
-            if whole and maybe.any():
-                maybe &= selected(h, self.span - size + 1)
-            maybe = np.flatnonzero(maybe)
-            if not len(maybe):
-                continue
-            maybe = maybe[known[np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)] == h[maybe]]
-            docs = np.searchsorted(ends, maybe, side="right")
-            reached: dict[tuple[int, int, int], int] = {}
-            for p, d in zip(maybe.tolist(), docs.tolist(), strict=True):
-                lo, hi = int(ends[d - 1]) if d else 0, int(ends[d])
-                if p + size > hi:
-                    continue
-                for i, q in places[int(h[p])]:
-                    if reached.get((d, i, p - q), -1) > p:
-                        continue
-                    item = self.items[i][1]
-                    a, b = max(lo, p - q), min(hi, p - q + len(item))
-                    differ = np.flatnonzero(words[a:b] != item[a - p + q : b - p + q]) + a
-                    left = differ[differ < p]
-                    right = differ[differ >= p]
-                    start, end = int(left[-1]) + 1 if len(left) else a, int(right[0]) if len(right) else b
-                    reached[d, i, p - q] = end
-                    if end - start >= min(self.span, len(item)):
-                        hit[start:end] = True
-                        found[d].add(self.items[i][0])
-        return hit, found
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K, block_words: int = BLOCK_WORDS) -> DataFrame:
+            first, last = (p, p + size) if whole else (max(0, p - span + size), p + span)
+            yield d, p, x, b" ".join(own[first:last]), p - first
+
+
+def marked_items(items: DataFrame, span: int, k: int) -> DataFrame:
+    """item_id, need (words that an occurrence has at least) and the fingerprints of the items, each once."""
+
+    def run(batches):
+        cache = WordHash()
+        for batch in batches:
+            ids, rows = batch.column(0).to_pylist(), []
+            for first, texts in by_bytes(utf8(batch.column(1))):
+                for i, words in enumerate(map(words_of, texts), first):
+                    short = 0 < len(words) < span
+                    rows += [(ids[i], len(words) if short else span, *x[2:]) for x in fingerprints([words], cache, span, k, [len(words)] if short else [])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.int32()), strict=True)], ["item_id", "need", "key", "near", "off"])
+
+    some = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    return some.mapInArrow(run, "item_id string, need int, " + _MARK).distinct()
+
+
+def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """2^bits places as bytes; those of the keys' upper bits are on."""
+    place = F.shiftrightunsigned("key", 64 - bits)
+    rows = keys.select(F.shiftright(place, 3).alias("byte"), F.expr("1L").alias("one"), (place % 8).cast("int").alias("bit")).groupBy("byte").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("on"))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in rows.toLocalIterator():
+        out[r.byte] = r.on
+    return out
+
+
+def extended(near: bytes, off: int, other: bytes, at: int) -> tuple[int, int]:
+    """How many words before and from the common fingerprint on agree."""
+    a, b = near.split(), other.split()
+    left = right = 0
+    while left < min(off, at) and a[off - left - 1] == b[at - left - 1]:
+        left += 1
+    while right < min(len(a) - off, len(b) - at) and a[off + right] == b[at + right]:
+        right += 1
+    return left, right
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K, bits: int = BITS) -> DataFrame:
     """docs (doc_id, text), items (item_id, text) -> doc_id, n_words, n_hit, items (sorted as strings).
 
     A null or wordless text has no words and is not hit. An item without an id or words is passed over; items of one id
-    count once. Repeated document rows each give a row. Other columns are not read. No items, or no documents: no hits, or no rows."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks: list[list] = [[]]
-    total, cache = 0, WordHash()
-    for r in items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").toLocalIterator():
-        if len(words := words_of(r.text.encode("utf-8"))):
-            if blocks[-1] and total + len(words) > block_words:
-                blocks.append([])
-                total = 0
-            blocks[-1].append((r.item_id, cache.array(words)))
-            total += len(words)
-
-    sent = [shared(spark, Index(block, span, k)) for block in blocks]
+    count once. Every document row gives a row of its own, repeated ones and those without an id too, at every size of the
+    benchmark. Other columns are not read. No items, or no documents: no hits, or no rows."""
+    return keyed_hits(docs, items, span, k, bits)[1]
+
+
+def keyed_hits(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """The same; and a table of one row per row of docs before it: row (its number), doc_id, n_words."""
+    marks = written(marked_items(items, span, k), "winnow-items")
+    sizes = sorted(r.need for r in marks.select("need").distinct().collect() if r.need < span)  # less than span numbers
+    sent = shared(docs.sparkSession, (_bitmap(marks, bits), sizes))
 
     def run(batches):
-        cache = WordHash()
-        one = sent[0]() if len(sent) == 1 else None  # of several, one index is held at a time, for longer runs of texts
+        on, sizes = sent()
+        cache, row = WordHash(), TaskContext.get().partitionId() << 40
         for batch in batches:
-            out = []
-            for _, texts in by_bytes(utf8(batch.column(1)), (4 if one else 32) << 20):
+            n_words, found = [], []
+            for _, texts in by_bytes(utf8(batch.column(1))):
                 lists = [words_of(t) for t in texts]
-                sizes = np.array([len(x) for x in lists])
-                ends, words = np.cumsum(sizes), cache.array([w for x in lists for w in x])
-                hit, names = np.zeros(len(words), bool), [set() for _ in lists]
-                for get in sent:
-                    more, found = (one or get()).scan(words, ends)
-                    hit |= more
-                    for d, some in found.items():
-                        names[d] |= some
-                sums = np.concatenate([[0], np.cumsum(hit)])
-                out += zip(sizes.tolist(), (sums[ends] - sums[ends - sizes]).tolist(), map(sorted, names), strict=True)
-            n_words, n_hit, items = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "items"])
-
-    return docs.mapInArrow(run, RESULT)
+                here: list[dict] = [{} for _ in lists]
+                for d, p, *mark in fingerprints(lists, cache, span, k, sizes, on):
+                    here[d].setdefault(tuple(mark), []).append(p)
+                n_words += [len(x) for x in lists]
+                found += [[{"key": key, "near": near, "off": off, "at": at} for (key, near, off), at in x.items()] for x in here]
+            rows, row = range(row, row + len(n_words)), row + len(n_words)
+            kind = pa.list_(pa.struct([("key", pa.int64()), ("near", pa.binary()), ("off", pa.int32()), ("at", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), batch.column(0), pa.array(n_words, pa.int64()), pa.array(found, kind)], ["row", "doc_id", "n_words", "marks"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    every = written(texts.mapInArrow(run, "row long, doc_id long, n_words long, marks array<struct<key:long,near:binary,off:int,at:array<long>>>"), "winnow-docs", compression="zstd")
+    hits = every.select("row", F.inline("marks")).join(marks.select("item_id", "need", "key", F.col("near").alias("other"), F.col("off").alias("other_off")), "key")
+
+    def extend(batches):
+        for batch in batches:
+            rows, names, need, near, off, other, other_off, at = (batch.column(i).to_pylist() for i in range(8))
+            out = []
+            for i, (a, x, b, y) in enumerate(zip(near, off, other, other_off, strict=True)):
+                left, right = extended(a, x, b, y)
+                if left + right >= need[i]:
+                    runs: list[dict] = []  # those that touch as one
+                    for p in at[i]:
+                        if runs and p - left <= runs[-1]["end"]:
+                            runs[-1]["end"] = p + right
+                        else:
+                            runs.append({"start": p - left, "end": p + right})
+                    out.append((rows[i], names[i], runs))
+            types = (pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 3, types, strict=True)], ["row", "item_id", "runs"])
+
+    runs = hits.select("row", "item_id", "need", "near", "off", "other", "other_off", "at").mapInArrow(extend, "row long, item_id string, runs array<struct<start:long,end:long>>")
+    spans = F.array_sort(F.flatten(F.collect_list("runs")))
+    words = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("n")), lambda a, s: F.struct(F.greatest(a["upto"], s["end"]).alias("upto"), (a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(a["upto"], s["start"]))).alias("n")))["n"]
+    found = runs.groupBy("row").agg(words.alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    rows = every.select("row", "doc_id", "n_words")
+    result = rows.join(found, "row", "left").select("row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return rows, result.drop("row")
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -1,23 +1,23 @@
 """Quality scores by Bradley-Terry pairwise ranking.
 
 From labelled documents, preference pairs are drawn (one of label 1 over one of label 0); a linear score of text
-features is learned by logistic loss on the pairs' feature differences. The scores are then cut at a quantile of the
-fitting documents' scores: the share of label 0 among them. A logistic curve carries the cut to `CUT` on a scale from
-0 to 1.
+features is learned by logistic loss on the pairs' feature differences. The scores are then cut at a quantile: the share
+of label 0 among all labelled documents, in the scores of all of these. A logistic curve carries the cut to `CUT` on a scale
+from 0 to 1.
 
-Fitting takes at most about `fit_docs` labelled documents and `pairs` pairs; scoring reads all rows and whole texts.
+Fitting the weights takes at most about `fit_docs` labelled documents and `pairs` pairs; the cut and the scores take all rows and whole texts.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bounded_sample, by_bytes, crc_mod, shared, utf8
+from loomgraph.llm.common import bounded_sample, by_bytes, crc_mod, shared, utf8, written
 from loomgraph.llm.style import NAMES, Steps, styles
 
 FIT_DOCS, PAIRS, RIDGE, CUT = 20_000, 60_000, 1e-3, 0.3
@@ -30,9 +30,12 @@ class Ranking:
     at: float  # the score at the quantile
     spread: float
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        raw = self.steps(styles(texts)) @ self.weights
-        return 1 / (1 + np.exp(-np.clip((raw - self.at) / self.spread + np.log(CUT / (1 - CUT)), -30, 30)))
+    def raw(self, texts: list[bytes]) -> np.ndarray:
+        return self.steps(styles(texts)) @ self.weights
+
+    def scaled(self, raw: Column) -> Column:
+        odds = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), (raw - self.at) / self.spread + float(np.log(CUT / (1 - CUT)))))
+        return 1 / (1 + F.exp(-odds))
 
 
 def bradley_terry(better: np.ndarray, worse: np.ndarray, ridge: float = RIDGE, rounds: int = 30) -> np.ndarray:
@@ -81,19 +84,32 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, pairs: int
 
 
 def score(docs: DataFrame, ranking: Ranking) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, score. A null text is scored as an empty one. Repeated rows each give a row; other columns are not read."""
+    """docs (doc_id, text) -> doc_id, raw (the linear score). A null text is scored as an empty one. Repeated rows each give a row; other columns are not read."""
     sent = shared(docs.sparkSession, ranking)
 
     def run(batches):
         ranking = sent()
         for batch in batches:
-            s = [x for _, texts in by_bytes(utf8(batch.column(1))) for x in ranking.scores(texts).tolist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
+            s = [x for _, texts in by_bytes(utf8(batch.column(1))) for x in ranking.raw(texts).tolist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["doc_id", "raw"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, raw double")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+def cut(ranking: Ranking, scored: DataFrame, labels: DataFrame) -> Ranking:
+    """The ranking cut at the quantile of all labelled documents' scores (approximate to 1 / 10,000), instead of the fitting sample's. No labels: as it was."""
+    known = scored.join(labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna(), "doc_id")
+    low = known.agg(F.avg((F.col("quality") == 0).cast("double")).alias("low")).first().low
+    if low is None or low in (0.0, 1.0):
+        return ranking
+    row = known.agg(F.percentile_approx("raw", low, 10_000).alias("at"), F.stddev_pop("raw").alias("spread")).first()
+    return replace(ranking, at=float(row.at), spread=max(1.0, row.spread / 2))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract's columns. Labels of held-out rows and of null ids are not read; a null id is not held out."""
-    ranking = fit(docs, labels.where(crc_mod("doc_id", 5) != 0))
-    return score(docs, ranking).select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    labels = labels.where(crc_mod("doc_id", 5) != 0)
+    ranking = fit(docs, labels)
+    scored = written(score(docs, ranking), "quality-scores")
+    ranking = cut(ranking, scored, labels)
+    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), ranking.scaled(F.col("raw")).alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))

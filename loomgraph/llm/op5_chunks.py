@@ -7,7 +7,11 @@ chunks next to it and no others.
 
 Chunks are compared by a 64-bit digest of their bytes over the whole corpus. The first occurrence (least doc_id, then
 position) is kept; later ones are repeats. Short chunks repeat by chance, so repeats count only in runs: consecutive
-repeated chunks with `least_bytes` bytes or more together are removed.
+repeated chunks with `least_bytes` bytes or more together are removed. (A chance coincidence of two digests, too, is one chunk
+in no run, unless its neighbours repeat as well.)
+
+A digest that very many chunks have doesn't meet in one task: of `HOT` digests at most, those with more than a share of
+1 / `HOT` of all chunks, the first occurrences are broadcast. The rest is joined by digest.
 """
 
 from __future__ import annotations
@@ -15,13 +19,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomgraph.llm.common import by_bytes, utf8, written
 
-MASK_BITS, LONGEST, LEAST_BYTES, SEED = 5, 1024, 128, 5
+MASK_BITS, LONGEST, LEAST_BYTES, SEED, HOT = 5, 1024, 96, 5, 20_000
 
 
 def gear(seed: int = SEED) -> np.ndarray:
@@ -53,12 +57,13 @@ def cuts(text: np.ndarray, table: np.ndarray, mask_bits: int = MASK_BITS, longes
 
 
 def chunks(docs: DataFrame, mask_bits: int = MASK_BITS, longest: int = LONGEST) -> DataFrame:
-    """doc_id, at (first byte), size, digest of each chunk of each text."""
+    """doc_id, doc, at (first byte), size, digest of each chunk of each text. A null id is the largest number with a negative doc; otherwise doc
+    is a hash of the text, which tells apart the texts of one id."""
 
     def run(batches):
         table = gear()
         for batch in batches:
-            ids = batch.column(0)
+            known = [batch.column(0), batch.column(2)]
             for first, texts in by_bytes(utf8(batch.column(1)), 1 << 20):
                 rows, at, size, digest = [], [], [], []
                 for i, text in enumerate(texts, first):
@@ -69,48 +74,59 @@ def chunks(docs: DataFrame, mask_bits: int = MASK_BITS, longest: int = LONGEST)
                     size.append(ends - starts)
                     digest += [xxhash.xxh3_64_intdigest(text[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 if digest:
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(at), pa.int32()), pa.array(np.concatenate(size), pa.int32()), pa.array(np.array(digest, np.uint64).view(np.int64))], ["doc_id", "at", "size", "digest"])
+                    yield pa.RecordBatch.from_arrays([*(x.take(pa.array(np.concatenate(rows))) for x in known), pa.array(np.concatenate(at), pa.int32()), pa.array(np.concatenate(size), pa.int32()), pa.array(np.array(digest, np.uint64).view(np.int64))], ["doc_id", "doc", "at", "size", "digest"])
+
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col("text").cast("string").alias("text"), _doc(F.col("doc_id"), F.col("text")).alias("doc"))
+    return texts.mapInArrow(run, "doc_id long, doc int, at int, size int, digest long")
+
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, at int, size int, digest long")
+def _doc(doc_id: Column, text: Column) -> Column:
+    h = F.pmod(F.xxhash64(text.cast("string")), F.lit(1 << 31)).cast("int")
+    return F.when(doc_id.isNull(), -1 - h).otherwise(h)
+
+
+def _id(doc_id: Column, doc: Column) -> Column:
+    return F.when(doc >= 0, doc_id)
 
 
 def repeats(docs: DataFrame, mask_bits: int = MASK_BITS, longest: int = LONGEST, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """Runs to remove: doc_id, start, end (bytes of the UTF-8 text), first_doc_id (the document where most of the run's bytes stand first).
-
-    docs: doc_id, text. A null or empty text has no chunks. Rows of one id are taken for one document: a chunk at the same place in
-    several of them is not a repeat of itself. A null id is an id, after all others. Other columns are not read."""
-    every = written(chunks(docs, mask_bits, longest).select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "at", "size", "digest"), "chunks")
-    known = every.groupBy("digest").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "at")).alias("first")).where("times > 1").select("digest", "first")
-    again = every.join(known, "digest").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at"))).select("doc_id", "at", "size", F.col("first.doc_id").alias("first_doc_id"))
-    order = Window.partitionBy("doc_id").orderBy("at")
-    marked = again.withColumn("starts", (F.col("at") != F.coalesce(F.lag(F.col("at") + F.col("size")).over(order), F.lit(-1))).cast("int"))
+    """Runs to remove: doc_id, doc (tells apart different texts of one id), start, end (bytes of the UTF-8 text), first_doc_id (the document where most of the run's bytes stand first).
+
+    docs: doc_id, text. A null or empty text has no chunks. Rows of one id and text are taken for one document, which doesn't repeat
+    itself; different texts of one id, or without an id, are different documents. A null id comes after all others. Other columns are not read."""
+    every = written(chunks(docs, mask_bits, longest), "chunks")
+    first = F.min(F.struct("doc_id", "doc", "at")).alias("first")
+    known = written(every.groupBy("digest").agg(F.count("*").alias("times"), first).where("times > 1").select("digest", "times", F.col("first.doc_id").alias("id1"), F.col("first.doc").alias("doc1"), F.col("first.at").alias("at1")), "chunks-known")
+    many = F.col("times") * HOT > every.count()
+    hot = F.broadcast(known.where(many).drop("times"))  # at most HOT rows, since the times add up to the count
+    rare = every.join(hot.select("digest"), "digest", "left_anti").join(known.where(~many).drop("times"), "digest")
+    again = every.join(hot, "digest").unionByName(rare).where((F.col("doc_id") != F.col("id1")) | (F.col("doc") != F.col("doc1")) | (F.col("at") != F.col("at1"))).select("doc_id", "doc", "at", "size", "id1", "doc1")
+    order = Window.partitionBy("doc_id", "doc").orderBy("at")
+    marked = again.withColumn("starts", (F.col("at") > F.coalesce(F.lag(F.col("at") + F.col("size")).over(order), F.lit(-1))).cast("int"))
     runs = marked.withColumn("run", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = runs.groupBy("doc_id", "run", "first_doc_id").agg(F.min("at").alias("start"), F.max(F.col("at") + F.col("size")).alias("end"), F.sum("size").alias("bytes"))
-    source = F.max_by("first_doc_id", F.struct("bytes", -F.col("first_doc_id")))
-    found = parts.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), source.alias("first_doc_id"))
-    null = F.lit((1 << 63) - 1)
-    return found.where(F.col("end") - F.col("start") >= least_bytes).select(F.nullif("doc_id", null).alias("doc_id"), "start", "end", F.nullif("first_doc_id", null).alias("first_doc_id"))
+    parts = runs.groupBy("doc_id", "doc", "run", "id1", "doc1").agg(F.min("at").alias("start"), F.max(F.col("at") + F.col("size")).alias("end"), F.sum("size").alias("bytes"))
+    found = parts.groupBy("doc_id", "doc", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max_by(F.struct("id1", "doc1"), F.struct("bytes", -F.col("id1"))).alias("first"))
+    return found.where(F.col("end") - F.col("start") >= least_bytes).select(_id(F.col("doc_id"), F.col("doc")).alias("doc_id"), "doc", "start", "end", _id(F.col("first.id1"), F.col("first.doc1")).alias("first_doc_id"))
 
 
 def removed(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """docs' own rows and columns, with the runs taken out of `text`."""
 
-    spans = runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_runs")).withColumnRenamed("doc_id", "_doc")
+    spans = runs.groupBy(F.col("doc_id").alias("_id"), F.col("doc").alias("_doc")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_runs"))
     raw = F.col("text").cast("binary")
     kept = F.aggregate(
         "_runs", F.struct(F.lit(0).alias("at"), F.lit(b"").cast("binary").alias("out")),
         lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], F.substr(raw, a["at"] + 1, s["start"] - a["at"])).alias("out")),
         lambda a: F.concat(a["out"], F.substr(raw, a["at"] + 1)),
     )
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("_doc")), "left")
+    joined = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (_doc(docs["doc_id"], docs["text"]) == F.col("_doc")), "left")
     return joined.withColumn("text", F.when(F.col("_runs").isNotNull(), kept.cast("string")).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row for each document that repeats something: doc_id, n_runs, removed_bytes, runs ("start:end" by comma), first_doc_ids (the documents that keep it)."""
-    return repeats(docs).groupBy("doc_id").agg(
+    return repeats(docs).groupBy("doc_id", "doc").agg(
         F.count("*").alias("n_runs"), F.sum(F.col("end") - F.col("start")).cast("long").alias("removed_bytes"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end"))), lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("runs"),
         F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"),
-    )
+    ).drop("doc")

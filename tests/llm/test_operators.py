@@ -445,28 +445,29 @@ def brute_hits(text, items):
     return len(w), len(hit), sorted(names)
 
 
-@pytest.mark.parametrize("block_words", [4_000_000, 60])
-def test_decontaminate(spark, docs, rows, none, block_words):
+@pytest.mark.parametrize("bits", [27, 6])
+def test_decontaminate(spark, docs, rows, none, bits):
     from tests.llm.conftest import PASSAGE, prose
 
     items = [("10", PASSAGE), ("9", " ".join(PASSAGE.split()[20:29])), ("8", "WORD, word. word"), ("7", None), ("6", "?!"), (None, "the of"), ("5", prose("en", 30, 1)), ("4", "word " * 40), ("3", rows[20][1].upper())]
     table = spark.createDataFrame(items, "item_id string, text string")
     some = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in op10_decontaminate.decontaminate(some, table, block_words=block_words).collect()}
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in op10_decontaminate.decontaminate(some, table, bits=bits).collect()}
     assert got == {r[0]: brute_hits(r[1], items) for r in rows if r[0] is not None}
-    assert op10_decontaminate.report(op10_decontaminate.decontaminate(docs, table)).count() == len(rows)
+    every = collections.Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in op10_decontaminate.decontaminate(docs, table, bits=bits).collect())
+    assert every == collections.Counter((r[0], n, h, tuple(x)) for r in rows for n, h, x in [brute_hits(r[1], items)])
     assert op10_decontaminate.decontaminate(none, table).count() == 0 and not [r for r in op10_decontaminate.decontaminate(docs, table.limit(0)).collect() if r.n_hit]
 
 
-@pytest.mark.parametrize("block_words", [4_000_000, 60])
-def test_decontaminate_rows(spark, block_words):
+@pytest.mark.parametrize("bits", [27, 6])
+def test_decontaminate_rows(spark, bits):
     from tests.llm.conftest import PASSAGE, prose
 
     items = [("1", PASSAGE), ("2", prose("de", 50, 7)), ("3", prose("fr", 50, 8))]
     parts = [" ".join(x.split()[:20]) for _, x in items]
     data = [(i, t) for i in (None, 4) for t in (*parts, parts[0], prose("en", 20, 5))] + [(None, None), (None, ""), (None, None)]
     table, docs = spark.createDataFrame(items, "item_id string, text string"), spark.createDataFrame(data, "doc_id long, text string")
-    got = collections.Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in op10_decontaminate.decontaminate(docs, table, block_words=block_words).collect())
+    got = collections.Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in op10_decontaminate.decontaminate(docs, table, bits=bits).collect())
     assert got == collections.Counter((i, n, h, tuple(x)) for i, (n, h, x) in ((i, brute_hits(t, items)) for i, t in data))
 
 
@@ -476,5 +477,12 @@ def test_winnowing_misses_nothing():
         a, b = r.integers(0, 6, 60).astype(np.uint64), r.integers(0, 6, 60).astype(np.uint64)
         at, to = r.integers(0, 50, 2)
         b[to : to + 10] = a[at : at + 10]
-        hit, found = op10_decontaminate.Index([("i", a)]).scan(b, np.array([60]))
-        assert found and hit[to : to + 10].all()
+        x, y = ([str(w).encode() for w in side] for side in (a, b))
+        marks = [list(op10_decontaminate.fingerprints([side], op10_decontaminate.WordHash(), 10, 5, [])) for side in (x, y)]
+        hit = np.zeros(60, bool)
+        for _, _, key, near, off in marks[0]:
+            for _, p, same, other, other_off in marks[1]:
+                left, right = op10_decontaminate.extended(other, other_off, near, off)
+                if key == same and left + right >= 10:
+                    hit[p - left : p + right] = True
+        assert hit[to : to + 10].all()
