@@ -16,10 +16,13 @@ from loomgraph.llm.common import table, written
 LEAST_SCORE = 0.4
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows of the given ids. Rows without an id stay."""
-    gone = ids.select(F.col("doc_id").alias("_gone")).where("_gone IS NOT NULL").distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written once: ids can be null or repeated, and what is decided about one row isn't about another."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+
+
+def _texts(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("_row").alias("doc_id"), "text")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,15 +31,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at a similarity of 0.8 or more, the least doc_id stays; of repeated rows, one."""
-    found = op8_jaccard.classes(docs)
-    return _kept(docs, found.where("doc_id <> component_id")).dropDuplicates(["doc_id", "text"])
+    """Of each group linked by five-word shingles at a similarity of 0.8 or more, the row with the least doc_id stays (one without an id only if none has one); texts without words stay."""
+    rows = _numbered(docs)
+    found = op8_jaccard.classes(_texts(rows)).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
+    keep = found.join(rows.select("_row", "doc_id"), "_row").groupBy("_group").agg(first).select(F.col("first._row").alias("_row"))
+    return rows.join(keep, "_row", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that share ten words in a row with a benchmark item (or the whole of a shorter one)."""
-    found = op10_decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _kept(docs, found.where("n_hit > 0"))
+    rows = _numbered(docs)
+    found = op10_decontaminate.decontaminate(_texts(rows), table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("doc_id").alias("_row"))
+    return rows.join(found, "_row", "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
