@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.storage import settled
+from loomgraph.functions.storage import forget, settled
 
 EdgeKey = tuple[str, str, str]
 
@@ -110,21 +111,21 @@ def neighbours(edges: DataFrame, anchors: DataFrame, reverse: bool = False) -> D
     return anchors.select(F.col("id").alias("anchor")).join(edges.select(F.col(near).alias("anchor"), F.col(far).alias("id")), "anchor")
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_hops: int, reverse: bool = False, include_seeds: bool = False, settle_after: int = 3) -> DataFrame:
-    """Distinct nodes within 1..max_hops directed hops of any seed: id, hops (the fewest).
+def reach(edges: DataFrame, seeds: DataFrame, max_hops: int | None, reverse: bool = False, include_seeds: bool = False, settle_after: int = 3) -> DataFrame:
+    """Distinct nodes within 1..max_hops directed hops of any seed (None: any number): id, hops (the fewest).
 
     Each step expands the frontier of nodes not met before, so work is bounded by nodes and edges, not by paths. With a least
     hop count of one and distinct ends this equals trail semantics. A seed is met again only by a closed trail."""
     near, far = ("dst", "src") if reverse else ("src", "dst")
     steps = edges.select(F.col(near).alias("id"), F.col(far).alias("next"))
     frontier, met = seeds.select("id").distinct(), None
-    for hop in range(1, max_hops + 1):
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         found = frontier.join(steps, "id").select(F.col("next").alias("id")).distinct()
         if met is not None:
             found = found.join(met, "id", "left_anti")
         new = found.withColumn("hops", F.lit(hop))
         met = new if met is None else met.unionByName(new)
-        if hop % settle_after == 0 and hop < max_hops:
+        if hop % settle_after == 0 and (max_hops is None or hop < max_hops):
             met = settled(met)
             frontier = met.where(F.col("hops") == hop).select("id")
             if frontier.isEmpty():
@@ -149,13 +150,14 @@ def trails(edges: DataFrame, seeds: DataFrame, min_hops: int, max_hops: int, rev
     return union_all(out).select("start", "id", "hops", "path")
 
 
-def closure(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """Transitive closure (src, dst), without pairs of a node with itself; at most `rounds` doublings, ended when nothing is new."""
+def closure(edges: DataFrame) -> DataFrame:
+    """Transitive closure (src, dst), without pairs of a node with itself: path lengths double until nothing is new."""
     all_pairs = settled(edges.select("src", "dst").where("src <> dst").distinct())
     n = all_pairs.count()
-    for _ in range(rounds):
+    while True:
         longer = all_pairs.alias("a").join(all_pairs.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst").where("src <> dst")
-        all_pairs = settled(all_pairs.unionByName(longer).distinct())
+        last, all_pairs = all_pairs, settled(all_pairs.unionByName(longer).distinct())
+        forget(last)
         m = all_pairs.count()
         if m == n:
             break

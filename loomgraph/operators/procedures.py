@@ -34,8 +34,8 @@ def dead_code(g: PropertyGraph, exclude_public: bool = False) -> DataFrame:
     return f
 
 
-def affected_tests(g: PropertyGraph, files: list[str], max_hops: int = 20) -> DataFrame:
-    """test_file: test files that import one of the files, directly or through others. A file is given by a suffix of its path."""
+def affected_tests(g: PropertyGraph, files: list[str], max_hops: int | None = None) -> DataFrame:
+    """test_file: test files that import one of the files, directly or through any number of others (or max_hops). A file is given by a suffix of its path."""
     nodes = g.nodes("File")
     hit = F.lit(False)
     for x in files:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomgraph.operators import graph as G
+from loomgraph.operators import procedures
 from loomgraph.operators import resolve as R
 from loomgraph.operators import revisions as V
 from loomgraph.plans import cypher
@@ -166,6 +167,34 @@ def varlen_cypher(spark, d):
     return cypher.run(g, "MATCH (u:User {id: $hub})<-[:NEXT*1..3]-(v:User) RETURN count(DISTINCT v) AS n", {"hub": hub})
 
 
+@query(f"WITH RECURSIVE {_BUYS}, {_HUB}, r AS (SELECT e.src AS id, 1 AS hops FROM e JOIN hub ON e.dst = hub.id UNION SELECT e.src, hops + 1 FROM r JOIN e ON e.dst = r.id WHERE hops < 10) SELECT DISTINCT id FROM r")
+def varlen_1_10(spark, d):
+    """Ten hops: each step is settled, so the plan stays as short as one hop's."""
+    edges = purchase_graph(spark, d)
+    users = table(spark, d, "events").select(F.col("user_id").alias("id")).distinct()
+    g = G.PropertyGraph({"User": users}, {("NEXT", "User", "User"): edges})
+    hub = G.hubs(edges, "dst").first()["id"]
+    return cypher.run(g, "MATCH (u:User {id: $hub})<-[:NEXT*1..10]-(v:User) RETURN DISTINCT v.id AS id", {"hub": hub})
+
+
+@query(f"WITH {_BUYS}, n AS (SELECT DISTINCT user_id AS id FROM events) SELECT id FROM n WHERE id NOT IN (SELECT dst FROM e) AND id % 7 <> 0")
+def dead_code(spark, d):
+    """The procedure itself: functions (users here) that nothing calls; each seventh is a test."""
+    users = table(spark, d, "events").select(F.col("user_id").alias("id")).distinct()
+    nodes = users.select("id", F.concat(F.lit("f"), "id").alias("title"), (F.col("id") % 7 == 0).alias("is_test"))
+    g = G.PropertyGraph({"Function": nodes}, {("CALLS", "Function", "Function"): purchase_graph(spark, d)})
+    return procedures.dead_code(g).select("id")
+
+
+@query(f"WITH RECURSIVE {_BUYS}, {_HUB}, r AS (SELECT id FROM hub UNION SELECT e.src FROM r JOIN e ON e.dst = r.id) SELECT DISTINCT 'src/' || id || '.py' AS test_file FROM r WHERE id % 3 = 0")
+def affected_tests(spark, d):
+    """The procedure itself: test files (each third user here) that import the hub's file, through any number of others."""
+    path = lambda c: F.concat(F.lit("src/"), F.col(c).cast("string"), F.lit(".py"))
+    edges, users = purchase_graph(spark, d), table(spark, d, "events").select(F.col("user_id").alias("id")).distinct()
+    g = G.PropertyGraph({"File": users.select(path("id").alias("id"), (F.col("id") % 3 == 0).alias("is_test"))}, {("IMPORTS", "File", "File"): edges.select(path("src").alias("src"), path("dst").alias("dst"))})
+    return procedures.affected_tests(g, [f"{G.hubs(edges, 'dst').first()['id']}.py"])
+
+
 @query(f"WITH RECURSIVE {_BUYS}, {_HUB}, r AS (SELECT id, 0 AS hops FROM hub UNION SELECT e.dst, hops + 1 FROM r JOIN e ON e.src = r.id WHERE hops < 4) SELECT id, min(hops) AS hops FROM r GROUP BY id")
 def affected_reach(spark, d):
     edges = purchase_graph(spark, d)
@@ -340,16 +369,20 @@ def html_links(spark, d):
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def doc_contains(spark, d):
-    """Documents that contain a benchmark text: equi-join on its first 32 characters after a word start, then exact containment. Texts without such characters (short ones) are compared with all documents."""
-    docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
+    """Documents that contain a benchmark text: an equi-join on its first 32 characters after white space gives candidates, whose texts are fetched
+    once and compared whole. Items without such characters (short ones) are joined on the key of their first character with the documents' characters."""
+    docs = table(spark, d, "documents").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     size = 32
-    items = items.withColumn("first", F.regexp_extract("item", rf"(?s)(?:\s)(\S.{{{size - 1}}})", 1))
-    long_items = items.where("first <> ''").withColumn("key", F.xxhash64("first"))
-    starts = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(rf"(?s)\s(?=(\S.{{{size - 1}}}))"), F.lit(1)), lambda x: F.xxhash64(x)))
-    found = docs.select("doc_id", "text", F.explode(starts).alias("key")).join(long_items, "key").where(F.col("text").contains(F.col("item"))).select("doc_id", "item_id").distinct()
-    short = items.where("first = ''").groupBy().agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
-    rest = docs.crossJoin(F.broadcast(short)).select("doc_id", F.explode(F.filter("items", lambda x: F.col("text").contains(x["item"]))["item_id"]).alias("item_id"))
-    return found.unionByName(rest)
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item")).where("item <> ''").withColumn("first", F.regexp_extract("item", rf"(?s)(?:\s)(\S.{{{size - 1}}})", 1))
+    items = items.withColumn("key", F.xxhash64(F.when(F.col("first") == "", F.left("item", F.lit(1))).otherwise(F.col("first"))))
+    starts = F.transform(F.regexp_extract_all("text", F.lit(rf"(?s)\s(?=(\S.{{{size - 1}}}))"), F.lit(1)), lambda x: F.xxhash64(x))
+    characters = F.transform(F.array_distinct(F.split("text", "")), lambda x: F.xxhash64(x))
+    short = items.where("first = ''").limit(1).count()  # only where there are such items
+    keys = F.array_distinct(F.concat(starts, characters) if short else starts)
+    found = docs.select("row", F.explode(keys).alias("key")).join(items.select("key", "item_id", "item"), "key").select("row", "item_id", "item")
+    every = table(spark, d, "benchmark").where("text = ''").select("item_id", F.lit("").alias("item"))
+    found = found.join(docs, "row").where(F.col("text").contains(F.col("item"))).select("row", "doc_id", "item_id").distinct().select("doc_id", "item_id")
+    return found if every.isEmpty() else found.unionByName(docs.where("text IS NOT NULL").select("doc_id").crossJoin(every.select("item_id")))
 
 
 @query("WITH l AS (SELECT conv_id, turn, role, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) % 2 AS inside FROM conversations) SELECT conv_id, turn, role, CAST(inside AS INT) AS inside FROM l")

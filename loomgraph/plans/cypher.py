@@ -15,6 +15,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.storage import settled
 from loomgraph.operators import graph as G
 from loomgraph.operators import procedures
 from loomgraph.operators.graph import PropertyGraph
@@ -539,10 +540,14 @@ class _Compiler:
         if frontier:
             met = None
             found = [now] if low == 0 else []
-            for _ in range(high):
+            for hop in range(1, high + 1):
                 new = now.join(t, (F.col("_x") == F.col("_a")) & (F.col("_xl") == F.col("_al"))).select("_s", "_sl", F.col("_b").alias("_x"), F.col("_bl").alias("_xl")).distinct()
                 if met is not None:
                     new = new.join(met, ["_s", "_sl", "_x", "_xl"], "left_anti")
+                if hop > 1 and hop < high:  # else each hop's plan would hold those of all before it several times
+                    new = settled(new)
+                    if new.isEmpty():
+                        break
                 met = new if met is None else met.unionByName(new)
                 now = new
             pairs = G.union_all([*found, met] if met is not None else found).distinct()

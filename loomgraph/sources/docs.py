@@ -10,12 +10,34 @@ from loomgraph.sources.files import walk
 
 #: Which of several files with one id counts.
 PRECEDENCE = {"mdx": 0, "md": 1, "rst": 2}
-STOP_WORDS = ("the", "and", "for", "true", "false", "none", "null", "self", "data", "name", "type", "value", "test", "main", "run", "get", "set")
-
-
-def kind_of(filename: Column) -> Column:
-    n = F.lower(filename)
-    return F.when(n.startswith("readme"), "readme").when(n.startswith("changelog") | n.startswith("history"), "changelog").when(n.startswith("contributing"), "contributing").when(n.startswith("license"), "license").when(n.startswith("adr") | n.rlike(r"^\d{3,4}-"), "adr").otherwise("doc")
+#: Words of prose that are no mention of an entity of that name.
+STOP_WORDS = tuple(
+    """
+    build new get set run main test init default from into len name id value type self str ok err none some string result
+    error config data node graph list map key item args path file add remove update create delete read write open close
+    start stop next iter size count index
+    """.split()
+)
+#: Kinds of documents by their lower-case names (as patterns), the first that fits.
+KINDS = (
+    ("readme", "^readme"),
+    ("changelog", "^changelog|^changes$|^history$|^whats-?new"),
+    ("contributing", "^contributing"),
+    ("license", "^licen[sc]e|^copying$"),
+    ("code_of_conduct", "code[_-]of[_-]conduct"),
+    ("security", "^security"),
+    ("adr", "^adr"),
+)
+
+
+def kind_of(path: Column) -> Column:
+    """A document's kind by its path without extension: by name, then by folder."""
+    path = F.lower(path)
+    name, out = F.element_at(F.split(path, "/"), -1), F.when(path.rlike("(?:^|/)docs?(?:/|$)"), "guide").otherwise("doc")
+    for kind, pattern in reversed(KINDS):
+        hit = name.rlike(pattern)
+        out = F.when(hit | F.contains(path, F.lit("/adr")) if kind == "adr" else hit, kind).otherwise(out)
+    return out
 
 
 def documents(spark: SparkSession, root: str) -> DataFrame:
@@ -25,7 +47,7 @@ def documents(spark: SparkSession, root: str) -> DataFrame:
     rows = files.select(F.regexp_replace("path", r"\.[A-Za-z]+$", "").alias("id"), "path", "ext", F.col("content").cast("string").alias("text"), rank.alias("_rank"))
     best = rows.groupBy("id").agg(F.min_by(F.struct("path", "ext", "text"), F.struct("_rank", "path")).alias("r")).select("id", "r.*")
     title = F.coalesce(F.nullif(F.regexp_extract("text", r"(?m)^#\s+(.+)$", 1), F.lit("")), F.nullif(F.regexp_extract("text", r"(?m)^(\S[^\n]*)\n[=]{3,}\s*$", 1), F.lit("")), F.element_at(F.split("path", "/"), -1))
-    return best.withColumn("kind", kind_of(F.element_at(F.split("path", "/"), -1))).withColumn("title", title)
+    return best.withColumn("kind", kind_of(F.col("id"))).withColumn("title", title)
 
 
 def outline(docs: DataFrame, most: int = 64) -> DataFrame:

@@ -12,12 +12,62 @@ EXTENSIONS = {
 GROUPS = {"typescript": "js", "javascript": "js", "html": "js", "c": "c", "cpp": "c"}
 #: Directories that a walk doesn't enter.
 SKIPPED = ("node_modules", "target", "_build", "__pycache__", "venv", "env", "site-packages")
-#: Names of everyday calls that say nothing about the graph.
+#: Names of everyday calls that say nothing about the graph; calls of these are no sites.
 NOISE = {
-    "python": "print len str int float list dict set tuple range enumerate zip map filter isinstance super sorted min max sum any all open repr type getattr setattr hasattr append extend items keys values get join split strip format".split(),
-    "javascript": "log push map filter forEach require parseInt then catch join split slice".split(), "typescript": "log push map filter forEach require parseInt then catch join split slice".split(),
-    "go": "len make append panic string int print println".split(), "rust": "unwrap clone into to_string collect iter map Ok Err Some vec println format assert_eq assert".split(), "java": "println print equals toString size get add".split(),
-}
+    "c": """
+        printf fprintf sprintf snprintf scanf sscanf puts fputs fgets getchar putchar malloc calloc realloc free exit abort atexit atoi atof memcpy memset
+        memmove memcmp strlen strcmp strncmp strcpy strncpy strcat strstr strchr assert fopen fclose fread fwrite fseek ftell
+    """.split(),
+    "cpp": """
+        printf fprintf sprintf snprintf scanf sscanf puts fputs fgets getchar putchar malloc calloc realloc free exit abort atexit atoi atof memcpy memset
+        memmove memcmp strlen strcmp strncmp strcpy strncpy strcat strstr strchr assert fopen fclose fread fwrite fseek ftell size empty begin end cbegin cend
+        rbegin rend push_back pop_back emplace_back push_front pop_front emplace_front insert erase find count at front back data resize reserve clear swap
+        shrink_to_fit move forward make_shared make_unique get reset cout cerr endl static_cast dynamic_cast reinterpret_cast const_cast
+    """.split(),
+    "csharp": """
+        ToString Equals GetHashCode CompareTo GetType ReferenceEquals MemberwiseClone Count Add Remove Contains Clear Insert ContainsKey TryGetValue Keys
+        Values IndexOf CopyTo Any All Select Where FirstOrDefault First LastOrDefault Last Single SingleOrDefault ToList ToArray ToDictionary OrderBy
+        OrderByDescending GroupBy Sum Max Min Average Aggregate Write WriteLine ReadLine Read Format Close Dispose Flush
+    """.split(),
+    "go": """
+        len cap append copy delete make new close panic recover print println Error String Format Sprintf Fprintf Errorf Printf Println Print Fprintln Fprint
+        Fatal Fatalf Fatalln
+    """.split(),
+    "java": """
+        toString equals hashCode compareTo getClass notify notifyAll wait clone finalize length size get set add remove contains isEmpty put keySet values
+        entrySet iterator next hasNext clear stream map filter collect forEach reduce flatMap sorted distinct limit println printf print format read write
+        close flush
+    """.split(),
+    "julia": """
+        include println error throw length size push! pop! sqrt abs min max clamp typeof convert collect isempty isnothing zeros ones rand get haskey keys
+        values getindex setindex!
+    """.split(),
+    "php": """
+        array count strlen isset empty unset print echo var_dump print_r gettype is_array is_string is_int is_bool is_null is_object is_callable trim explode
+        implode str_replace preg_match json_encode json_decode in_array array_keys array_values array_map array_filter array_merge sprintf printf fopen fclose
+        fread fwrite file_get_contents file_put_contents
+    """.split(),
+    "python": """
+        len str int float bool list dict set tuple print isinstance issubclass type range enumerate zip map filter sorted reversed any all min max sum abs
+        round hash id repr super getattr setattr hasattr delattr callable iter next open format append extend update pop get keys values items join split
+        strip replace startswith endswith
+    """.split(),
+    "rust": """
+        len is_empty contains get insert remove push pop clear extend iter next collect map filter with_capacity reserve clone to_string to_owned from into
+        as_ref as_mut new default fmt eq ne cmp partial_cmp hash deref drop unwrap expect ok err map_err unwrap_or unwrap_or_else unwrap_or_default write
+        writeln set
+    """.split(),
+    "swift": """
+        print String Int Float Double Bool Array Dictionary Optional Range Result Error fatalError preconditionFailure assert precondition abs min max
+    """.split(),
+    "javascript": """
+        push pop shift unshift map filter reduce forEach find findIndex some every includes indexOf slice splice concat join flat flatMap sort reverse keys
+        values entries assign freeze hasOwnProperty toString valueOf trim split replace match test search startsWith endsWith substring toLowerCase
+        toUpperCase then catch finally resolve reject log warn error info debug addEventListener removeEventListener querySelector getElementById
+        createElement
+    """.split(),
+}
+NOISE["typescript"] = NOISE["javascript"]
 
 
 @dataclass(frozen=True)

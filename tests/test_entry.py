@@ -17,7 +17,9 @@ def test_names_agree():
 def test_without_the_optional_part(tmp_path):
     copy = tmp_path / "repo"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache"))
-    shutil.rmtree(copy / "loomgraph/llm", ignore_errors=True)
+    for part in ("loomgraph/llm", "tests/llm"):
+        shutil.rmtree(copy / part, ignore_errors=True)
     (copy / "corpus_pipeline.py").unlink(missing_ok=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and not any(n.startswith('op') for n in q), q; assert len(q) > 40 and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, timeout=120)
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "--collect-only", "tests"], cwd=copy, check=True, timeout=120)
