@@ -103,7 +103,8 @@ def cut(ranking: Ranking, scored: DataFrame, labels: DataFrame) -> Ranking:
     if low is None or low in (0.0, 1.0):
         return ranking
     row = known.agg(F.percentile_approx("raw", low, 10_000).alias("at"), F.stddev_pop("raw").alias("spread")).first()
-    return replace(ranking, at=float(row.at), spread=max(1.0, row.spread / 2))
+    above = known.where(F.col("raw") > row.at).agg(F.min("raw").alias("above")).first().above  # the cut lies halfway to the next score
+    return replace(ranking, at=float(row.at if above is None else (row.at + above) / 2), spread=max(1.0, row.spread / 2))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
