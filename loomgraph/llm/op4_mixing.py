@@ -140,10 +140,12 @@ def packed(pieces: DataFrame) -> DataFrame:
 
 
 def joined(slots: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Slots and blocks by index: shard, slot, source_index, pass, block, text (the block's words, by space), parts (start, doc_id, size, words of each document in it)."""
+    """Slots and blocks by index: shard, slot, source_index, pass, block, text (the block's words, by space), parts (start, doc_id, size, words of each document in it).
+
+    Slots grow with the corpus, and packed they look small enough to be broadcast: they are hashed within each partition instead, where no block has more than a few."""
     text = F.array_join(F.transform("parts", lambda p: p["text"]), " ")
     parts = F.transform("parts", lambda p: p.dropFields("text"))
-    return slots.join(blocks, ["source_index", "block"]).select("shard", "slot", "source_index", "pass", "block", text.alias("text"), parts.alias("parts"))
+    return slots.hint("shuffle_hash").join(blocks, ["source_index", "block"]).select("shard", "slot", "source_index", "pass", "block", text.alias("text"), parts.alias("parts"))
 
 
 def drawn(spark: SparkSession, sources: list[Source], shard_slots: int, seed: int) -> DataFrame:
