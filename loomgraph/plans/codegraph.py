@@ -116,6 +116,37 @@ def service_calls(sources: DataFrame, functions: DataFrame, route: DataFrame) ->
     return R.segment_match(inside.select("src", "url"), "url", route.select(F.col("id").alias("dst"), F.col("title").alias("template")), "template").select("src", "dst", F.lit("inferred").alias("confidence")).distinct()
 
 
+def named_calls(transfers: DataFrame, functions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """CALLS edges of assembly (src, dst, call_lines, call_count): a call names its routine in full, so no tiers are needed. And counters (outcome, n)."""
+    known = functions.select(F.col("id").alias("target"), F.lit(True).alias("known"))
+    asked = transfers.where("kind IN ('call', 'indirect_call')").join(known, "target", "left").withColumn("known", F.coalesce("known", F.lit(False)) & (F.col("kind") == "call"))
+    found = asked.where("known AND caller <> target").select(F.col("caller").alias("src"), F.col("target").alias("dst"), "line")
+    edges = G.one_edge_per_pair(found, "line").withColumnsRenamed({"sites": "call_lines", "site_count": "call_count"})
+    outcome = F.explode(F.array(F.lit("total"), F.when(F.col("known"), "resolved").otherwise("no_candidate")))
+    return edges, asked.select(outcome.alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+def named_references(sites: DataFrame, functions: DataFrame, constants: DataFrame) -> DataFrame:
+    """REFERENCES edges of assembly: src, dst, line (the first), reference_lines, reference_count, opcodes, accesses, has_read, has_write, has_address."""
+    at = sites.join(functions.select(F.col("id").alias("caller")), "caller", "left_semi").join(constants.select(F.col("id").alias("target")).distinct(), "target", "left_semi")
+    is_any = lambda *names: F.bool_or(F.col("access").isin(*names))
+    lines, opcodes = F.array_sort(F.collect_set("line")), F.array_sort(F.collect_set("opcode"))
+    flags = at.groupBy(F.col("caller").alias("src"), F.col("target").alias("dst")).agg(
+        F.min("line").alias("line"), F.array_join(lines.cast("array<string>"), ",").alias("reference_lines"), F.size(lines).cast("long").alias("reference_count"), F.array_join(opcodes, ",").alias("opcodes"),
+        is_any("read", "read_write").alias("has_read"), is_any("write", "read_write").alias("has_write"), is_any("address").alias("has_address"), is_any("read_write").alias("_both"), is_any("unknown").alias("_unknown"),
+    )
+    order = (("has_address", "address"), ("has_read", "read"), ("_both", "read_write"), ("_unknown", "unknown"), ("has_write", "write"))
+    return flags.withColumn("accesses", F.array_join(F.array_compact(F.array(*(F.when(F.col(c), name) for c, name in order))), ",")).drop("_both", "_unknown")
+
+
+def symbol_links(constants: DataFrame, functions: DataFrame) -> DataFrame:
+    """src, dst, type (ALIAS_OF or POINTS_TO), label (of dst), line: data of assembly that are defined by another symbol, a datum before a routine."""
+    relation = F.when(F.col("kind").isin("EQUALS", "="), "ALIAS_OF").when(F.col("kind").isin("ADRES", "CADR", "ECADR", "GENADR", "BBCON"), "POINTS_TO")
+    asked = constants.select(F.col("id").alias("src"), relation.alias("type"), F.split("value_preview", " ")[0].alias("dst"), F.col("line_number").alias("line")).where("type IS NOT NULL AND dst <> ''")
+    known = constants.select(F.col("id").alias("dst"), F.lit("Constant").alias("label")).unionByName(functions.select(F.col("id").alias("dst"), F.lit("Function").alias("label")))
+    return asked.join(known.groupBy("dst").agg(F.min("label").alias("label")), "dst").select("src", "dst", "type", "label", "line").distinct()
+
+
 def build(spark: SparkSession, root: str, include_tests: bool = True, max_loc: int | None = None, docs: bool = True) -> PropertyGraph:
     """The graph of a tree. Facts are parsed once and written; all else is joins over them."""
     facts = settled(S.facts(spark, root, max_loc, include_tests))
@@ -153,15 +184,25 @@ def build(spark: SparkSession, root: str, include_tests: bool = True, max_loc: i
     typed = G.union_all([nodes[x].select("id", "title", F.lit(x).alias("label")) for x in ("Class", "Struct", "Interface", "Trait", "Protocol", "Enum", "Mixin")])
     _types(edges, typed, relations, functions)
     refs = lambda c: functions.select(F.col("id").alias("src"), "file_path", F.explode(c).alias("r")).select("src", "file_path", F.col("r.name").alias("name"), F.col("r.line").alias("line"))
-    edges["REFERENCES", "Function", "Constant"] = refs("references").join(constants.select(F.col("title").alias("name"), F.col("id").alias("dst")), "name").groupBy("src", "dst").agg(F.min("line").alias("line"))
+    by_name = refs("references").join(constants.select(F.col("title").alias("name"), F.col("id").alias("dst")), "name").groupBy("src", "dst").agg(F.min("line").alias("line"))
+    sites = facts.select(F.explode("sites").alias("s")).select("s.*")
+    edges["REFERENCES", "Function", "Constant"] = G.union_all([by_name, named_references(sites, functions, constants)])
     named = functions.where("nesting_depth = 0").select(F.col("title").alias("name"), F.col("id").alias("dst"))
     passed = R.unique_match(refs("function_refs").withColumn("name", _last(F.col("name"))), named, "name", "dst")
     edges["REFERENCES_FN", "Function", "Function"] = passed.where("src <> dst").groupBy("src", "dst").agg(F.min("line").alias("line"))
     decorated = functions.select(F.col("id").alias("dst_fn"), F.explode("decorators").alias("decorator_name")).withColumn("name", _last(F.regexp_replace("decorator_name", r"\(.*$", "")))
     edges["DECORATES", "Function", "Function"] = R.unique_match(decorated, named, "name", "dst").where("dst <> dst_fn").groupBy(F.col("dst").alias("src"), F.col("dst_fn").alias("dst")).agg(F.min("decorator_name").alias("decorator_name"))
-    moves = facts.select(F.explode("transfers").alias("t")).select("t.*").join(functions.select(F.col("id").alias("target")), "target", "left_semi")
+    transfers = facts.select(F.explode("transfers").alias("t")).select("t.*")
+    told_calls, told = named_calls(transfers, functions)
+    edges["CALLS", "Function", "Function"] = G.union_all([call_edges, told_calls])
+    stats = stats.unionByName(told).groupBy("outcome").agg(F.sum("n").alias("n"))
+    moves = transfers.join(functions.select(F.col("id").alias("target")), "target", "left_semi")
     for kind, name in (("jump", "JUMPS_TO"), ("branch", "BRANCHES_TO")):
         edges[name, "Function", "Function"] = G.one_edge_per_pair(moves.where(F.col("kind") == kind).select(F.col("caller").alias("src"), F.col("target").alias("dst"), "line"), "line").withColumnsRenamed({"sites": "transfer_lines", "site_count": "transfer_count"})
+    symbols = symbol_links(constants, functions)
+    for name in ("ALIAS_OF", "POINTS_TO"):
+        for x in ("Constant", "Function"):
+            edges[name, "Constant", x] = symbols.where((F.col("type") == name) & (F.col("label") == x)).select("src", "dst", "line")
     if docs:
         d = settled(D.documents(spark, root))
         nodes["Doc"] = d.select("id", "title", "kind", "path")

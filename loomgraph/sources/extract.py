@@ -246,8 +246,21 @@ def css(path: str, text: str, root: str) -> dict[str, list[dict]]:
     return {"selectors": selectors, "constants": constants, "imports": [{"name": m[1], "line": code.count("\n", 0, m.start()) + 1} for m in re.finditer(r"@import\s+(?:url\()?['\"]?([^'\")\s;]+)", code)]}
 
 
-_TRANSFERS = {"TC": "call", "TCF": "jump", "TCR": "call", "CCS": "branch", "BZF": "branch", "BZMF": "branch"}
-_ACCESS = {"CA": "read", "CS": "read", "AD": "read", "SU": "read", "MP": "read", "MASK": "read", "DCA": "read", "TS": "write", "DXCH": "read_write", "XCH": "read_write", "LXCH": "read_write", "INCR": "read_write", "ADS": "read_write", "CADR": "address", "2CADR": "address", "FCADR": "address"}
+#: Operations that pass control, and the way they do.
+_TRANSFERS = {"TC": "call", "TCF": "jump", "CALL": "call", "GOTO": "jump", "BZF": "branch", "BZMF": "branch"}
+#: How operations use the data that they name.
+_ACCESS = {
+    op: access
+    for access, ops in (
+        ("write", "TS"), ("read_write", "XCH DXCH INCR ADS AUG DIM"), ("address", "ADRES CADR FCADR ECADR GENADR BBCON"),
+        ("read", "CA CAF CS DCA DCS AD SU MASK MP DV CCS INDEX"),
+    )
+    for op in ops.split()
+}
+#: Operations that make their label a datum.
+_DATA = ("EQUALS", "=", "ERASE", "OCT", "DEC", "2OCT", "2DEC", "ADRES", "CADR", "ECADR", "GENADR", "VN", "BBCON")
+#: Registers; a transfer to one has no target in the text.
+_REGISTERS = ("Q", "A", "L", "Z")
 
 
 def agc(path: str, text: str, root: str) -> dict[str, list[dict]]:
@@ -264,7 +277,7 @@ def agc(path: str, text: str, root: str) -> dict[str, list[dict]]:
         parts = code.split()
         label = parts.pop(0) if not code[0].isspace() else None
         op, operand = (parts[0] if parts else ""), (parts[1] if len(parts) > 1 else "")
-        if label and op in ("ERASE", "EQUALS", "=", "OCT", "DEC", "2DEC", "CADR", "2CADR", "FCADR"):
+        if label and op in _DATA:
             out["constants"].append({"name": label, "qualified_name": label, "kind": op, "owner": None, "line_number": i, "value_preview": " ".join(parts[1:])[:100]})
         elif label:
             if current:
@@ -272,7 +285,10 @@ def agc(path: str, text: str, root: str) -> dict[str, list[dict]]:
             current = function(name=label, qualified_name=label, signature=label, line_number=i, end_line=len(lines))
             out["functions"].append(current)
         if current and operand and op in _TRANSFERS:
-            out["transfers"].append({"caller": current["qualified_name"], "target": operand, "kind": _TRANSFERS[op], "line": i})
+            kind = _TRANSFERS[op]
+            if operand in _REGISTERS:
+                kind = "indirect_jump" if kind != "call" or (op, operand) == ("TC", "Q") else "indirect_call"
+            out["transfers"].append({"caller": current["qualified_name"], "target": operand, "kind": kind, "line": i})
             if _TRANSFERS[op] == "branch":
                 current["branch_count"] += 1
             if operand == current["name"]:

@@ -18,7 +18,7 @@ TREE = {
     "web/index.html": "<html><head><link href='style.css'><script>function go() { return fmt(2); }</script></head><body><h1>Hello you</h1><form action='/x'><input id='q'></form></body></html>",
     "web/style.css": ":root { --main: red; }\n.a, .b { color: var(--main); }\n",
     "web/big.min.js": "x" * 3000,
-    "asm/main.agc": "START  CA  COUNT\n       TC  SUB\n       TCF START\nSUB    BZF START\n       TC  Q\nCOUNT  ERASE\n",
+    "asm/main.agc": "START  CA  COUNT\n       TC  SUB\n       XCH COUNT\n       TCF START\nSUB    BZF START\n       TC  Q\nCOUNT  ERASE\nALIAS  EQUALS COUNT\nWHERE  CADR SUB\nLOST   CADR NOWHERE\n",
     "node_modules/skip.js": "function skipped() {}",
     "README.md": "# Shop\n\nSee `helper` and `shop.item.Item`, [guide](docs/guide.md), [util](shop/util.py).\n\n```\n# no heading\n```\n## Use\n",
     "docs/guide.md": "# Guide\nBack to [home](../README.md).\n",
@@ -75,6 +75,16 @@ def test_routes_docs_and_markup(graph):
     assert pairs(graph, "JUMPS_TO") == {("START", "START")} and pairs(graph, "BRANCHES_TO") == {("SUB", "START")}
 
 
+def test_assembly(graph):
+    """Calls by full name, typed references, aliases and pointers; a return through a register is no call."""
+    edge, = graph.edges(("CALLS",)).where("src = 'START'").collect()
+    assert (edge.dst, edge.call_lines, edge.call_count, edge.resolution) == ("SUB", "2", 1, None)
+    use, = graph.edges(("REFERENCES",)).where("dst = 'COUNT'").collect()
+    assert (use.src, use.line, use.reference_lines, use.reference_count, use.opcodes) == ("START", 1, "1,3", 2, "CA,XCH")
+    assert (use.accesses, use.has_read, use.has_write, use.has_address) == ("read,read_write,write", True, True, False)
+    assert pairs(graph, "ALIAS_OF") == {("ALIAS", "COUNT")} and pairs(graph, "POINTS_TO") == {("WHERE", "SUB")}
+
+
 def test_procedures_and_cypher(graph):
     dead = {r.id.rsplit(".", 1)[-1] for r in procedures.dead_code(graph).collect()}
     assert "orphan" in dead and not {"helper", "show", "test_price"} & dead
