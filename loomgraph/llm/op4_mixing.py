@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from loomgraph.llm.common import written
 
 BLOCK_WORDS, SHARD_SLOTS, MOST, WEIGHTS, ROUNDS, SEED = 128, 1024, 3, (1, 2, 3), 12, 20_24
-MAX_SOURCES, BUCKET_DOCS, TASK_SLOTS = 100_000, 5_000, 20_000
+MAX_SOURCES, BUCKET_DOCS, TASK_SLOTS, NONE = 100_000, 5_000, 20_000, -1
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -159,7 +159,10 @@ def drawn(spark: SparkSession, sources: list[Source], shard_slots: int, seed: in
 
 
 def slots(draws: DataFrame, sources: list[Source], block_words: int, seed: int) -> DataFrame:
-    """shard, slot, source_index, block, pass of every slot, after the correction to the quotas."""
+    """shard, slot, source_index, block, pass of every slot, after the correction to the quotas.
+
+    source_index and block are never null, and say so (NONE stands for no value): a join on columns that could be null would filter
+    them first by the whole expression they are made of, its parts repeated wherever they are used, hundreds of kilobytes of plan."""
     got = {r.source_index: r.n for r in draws.groupBy("source_index").agg(F.sum("n").alias("n")).collect()}  # one row per source
     got = [got.get(i, 0) for i in range(len(sources))]
     over, short = [max(0, g - s.quota) for g, s in zip(got, sources, strict=True)], [max(0, s.quota - g) for g, s in zip(got, sources, strict=True)]
@@ -173,13 +176,13 @@ def slots(draws: DataFrame, sources: list[Source], block_words: int, seed: int)
     i, k = F.col("source_index"), F.col("k")
     one = one.withColumn("z", F.when(k >= at([s.quota for s in sources], i), at(over_from, i) + k - at([s.quota for s in sources], i)))
     one = one.withColumn("to", F.when(F.col("z").isNotNull(), _place(F.col("z"), [a + b for a, b in zip(short_from, short, strict=True)])))
-    one = one.withColumn("k", F.when(F.col("z").isNotNull(), at(got, F.col("to")) + F.col("z") - at(short_from, F.col("to"))).otherwise(k)).withColumn("source_index", F.coalesce("to", i))
+    one = one.withColumn("k", F.when(F.col("z").isNotNull(), at(got, F.col("to")) + F.col("z") - at(short_from, F.col("to"))).otherwise(k)).withColumn("source_index", F.coalesce("to", i, F.lit(NONE)))
     whole = at([s.passes * s.blocks for s in sources], i)
     blocks, singles = at([s.blocks for s in sources], i), at([s.size // block_words for s in sources], i)
     one = one.withColumn("pass", F.when(k < whole, F.floor(k / blocks)).otherwise(at([s.passes for s in sources], i)))
     one = one.withColumn("block", F.when(k < whole, k % blocks).otherwise(k - whole)).withColumn("n", F.when(k < whole, blocks).otherwise(singles))
     one = one.withColumn("key", F.xxhash64(F.lit(seed), i, F.col("pass")))
-    return one.select("shard", "slot", "source_index", "pass", permuted(F.col("block"), F.col("n"), F.col("key")).alias("block"))
+    return one.select("shard", "slot", "source_index", "pass", F.coalesce(permuted(F.col("block"), F.col("n"), F.col("key")), F.lit(NONE)).alias("block"))
 
 
 @dataclass
