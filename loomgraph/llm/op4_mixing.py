@@ -103,18 +103,21 @@ def permuted(index: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Col
     return F.aggregate(F.array(*(F.lit(r).cast("long") for r in range(rounds))), index.cast("long"), one)
 
 
-def placed(sized: DataFrame, sources: list[Source], seed: int) -> DataFrame:
+def placed(sized: DataFrame, sizes: DataFrame, sources: list[Source], seed: int) -> DataFrame:
     """(doc_id, source, size, digest) -> also source_index and start: where a document's words begin among its source's; text goes along if it is there.
 
     Positions are sums over hash buckets of documents and then within a bucket; buckets have about BUCKET_DOCS documents, so
-    a source of any size is spread over many tasks."""
+    a source of any size is spread over many tasks. `sizes` has the same rows without their texts: the buckets' sums come from it."""
     spark = sized.sparkSession
     table = spark.createDataFrame([(i, s.name, max(1, s.docs // BUCKET_DOCS)) for i, s in enumerate(sources)], "source_index int, name string, buckets long")
-    keyed = sized.join(F.broadcast(table), sized["source"].eqNullSafe(table["name"])).withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id"))).withColumn("bucket", F.pmod("h", "buckets"))
-    sums = keyed.groupBy("source_index", "bucket").agg(F.sum("size").alias("words"))
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["name"])).withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id"))).withColumn("bucket", F.pmod("h", "buckets"))
+
+    sums = keyed(sizes).groupBy("source_index", "bucket").agg(F.sum("size").alias("words"))
     before = sums.withColumn("before", F.sum("words").over(Window.partitionBy("source_index").orderBy("bucket")) - F.col("words")).drop("words")
     within = Window.partitionBy("source_index", "bucket").orderBy("h", "doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, 0)
-    local = keyed.withColumn("upto", F.sum("size").over(within))
+    local = keyed(sized).withColumn("upto", F.sum("size").over(within))
     return local.join(before, ["source_index", "bucket"]).select("doc_id", "source_index", "size", (F.col("before") + F.col("upto") - F.col("size")).alias("start"), *({"text"} & set(sized.columns)))
 
 
@@ -205,8 +208,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block_words: int =
     sources = recipe(sizes, weights, block_words, most)
     draws = written(drawn(docs.sparkSession, sources, shard_slots, seed), "mix-draws")
     taking = slots(draws, sources, block_words, seed)
-    cut = written(pieces(placed(sized, sources, seed), block_words), "mix-pieces", compression="zstd")
-    return Mix(sources, placed(sizes, sources, seed), taking, written(joined(taking, packed(cut)), "mix-shards", compression="zstd"))
+    cut = written(pieces(placed(sized, sizes, sources, seed), block_words), "mix-pieces", compression="zstd")
+    return Mix(sources, placed(sizes, sizes, sources, seed), taking, written(joined(taking, packed(cut)), "mix-shards", compression="zstd"))
 
 
 def taken(m: Mix) -> DataFrame:
