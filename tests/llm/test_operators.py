@@ -232,6 +232,14 @@ def test_mixed_shards(docs, none, rows):
         assert r.text.split(" ") == whole[r.source_index][16 * r.block : 16 * r.block + 16] and sum(p.words for p in r.parts) == len(r.text.split(" "))
     assert sum(r.taken for r in op4_mixing.taken(m).collect()) == sum(len(r.text.split(" ")) for r in shards)
     assert op4_mixing.mix(none).shards.count() == 0
+    assert not any(s.source_index == op4_mixing.NONE or s.block == op4_mixing.NONE for s in m.slots.collect())
+
+
+def test_slots_plan_is_small(spark):
+    sources = [op4_mixing.Source(f"s{i}", 16 * i, i, 24.0 * i, i, 1, i // 2) for i in range(1, 20)]
+    slots = op4_mixing.slots(op4_mixing.written(op4_mixing.drawn(spark, sources, 8, 1), "draws"), sources, 16, 1)
+    plan = slots.join(slots.select("source_index", "block").distinct(), ["source_index", "block"])._jdf.queryExecution().optimizedPlan().toString()
+    assert max(map(len, plan.split("\n"))) < 10_000
 
 
 # 5: substring repeats
