@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import op1_pii, op2_quality, op3_chat, op4_mixing, op5_chunks, op6_toxicity, op7_tiff, op8_jaccard, op9_language, op10_decontaminate
+from loomgraph.llm import op1_pii, op2_quality, op3_chat, op4_mixing, op5_chunks, op6_toxicity, op7_tiff, op8_jaccard, op9_language, op10_decontaminate, op11_periodic, op12_graph_search, op13_spelling
 from loomgraph.llm.common import table
 
 
@@ -51,8 +51,25 @@ def op10_winnow_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_decontaminate.report(found)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_periodic.report(table(spark, sf_dir, "documents"))
+
+
+def op12_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_graph_search.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_spelling.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_spans, op2_quality_ranking, op3_chat_formatting, op4_source_mixing, op5_chunk_dedup, op6_toxicity_chain, op7_tiff_pages, op8_jaccard_join, op9_language_id, op10_winnow_decontamination)}
+    found = (
+        op1_pii_spans, op2_quality_ranking, op3_chat_formatting, op4_source_mixing, op5_chunk_dedup,
+        op6_toxicity_chain, op7_tiff_pages, op8_jaccard_join, op9_language_id, op10_winnow_decontamination,
+        op11_periodic_runs, op12_graph_neighbours, op13_spelling_variants,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
