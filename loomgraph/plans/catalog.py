@@ -14,6 +14,7 @@ from loomgraph.operators import graph as G
 from loomgraph.operators import procedures
 from loomgraph.operators import resolve as R
 from loomgraph.operators import revisions as V
+from loomgraph.operators.scan import scan
 from loomgraph.plans import cypher
 from loomgraph.plans.tables import purchase_graph, table, trade_graph
 
@@ -347,6 +348,23 @@ def token_uses(spark, d):
     return uses.join(vocabulary, "used").groupBy("site", "used").agg(F.when(bits == 3, "both").when(bits == 1, "name").otherwise("type").alias("position"))
 
 
+#: Names to seek: the first word of each benchmark item, and the first two.
+_SOUGHT = "SELECT DISTINCT name FROM (SELECT regexp_extract(text, '^[A-Za-z]+') AS name FROM benchmark UNION ALL SELECT regexp_extract(text, '^[A-Za-z]+ [A-Za-z]+') FROM benchmark) WHERE name <> ''"
+
+
+@query(f"""WITH names AS ({_SOUGHT}), alt AS (SELECT string_agg(name, '|' ORDER BY length(name) DESC, name) AS a FROM names),
+parts AS (SELECT doc_id, string_split(regexp_replace(text, '(' || a || ')', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS p FROM documents, alt WHERE text IS NOT NULL),
+one AS (SELECT doc_id, i, len(p) AS n, replace(p[i - 1], chr(2), '') AS before, split_part(p[i], chr(2), 1) AS name, split_part(p[i], chr(2), 2) AS after FROM parts, unnest(range(2, len(p) + 1)) t(i)),
+clear AS (SELECT * FROM one WHERE NOT regexp_matches(right(before, 1), '[A-Za-z0-9_]') AND CASE WHEN after <> '' THEN NOT regexp_matches(left(after, 1), '[A-Za-z0-9_]') ELSE i = n END)
+SELECT doc_id, name, count(*) AS n FROM clear GROUP BY ALL""")
+def name_scan(spark, d):
+    """The scan behind USES_TYPE: names of items in all documents, the longest at each place."""
+    text = table(spark, d, "benchmark")
+    first = lambda p: text.select(F.regexp_extract("text", p, 0).alias("name"))
+    found = scan(table(spark, d, "documents"), "doc_id", "text", first("^[A-Za-z]+").unionByName(first("^[A-Za-z]+ [A-Za-z]+")), "name")
+    return found.groupBy("doc_id", "name").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH p AS (SELECT {_PATH} AS path FROM pages), g AS (SELECT DISTINCT array_to_string(list_slice(s, 1, n), '/') AS module, CAST(n AS INT) AS depth FROM (SELECT string_split(path, '/') AS s FROM p), unnest(range(1, len(s) + 1)) t(n) WHERE NOT regexp_full_match(s[n], '[0-9]+')) SELECT module, depth FROM g")
 def prefix_modules(spark, d):
     parts = F.split(F.regexp_extract("url", r"^https?://([^?#]*)", 1), "/")

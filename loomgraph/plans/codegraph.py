@@ -10,6 +10,7 @@ from loomgraph.functions.storage import settled
 from loomgraph.operators import graph as G
 from loomgraph.operators import resolve as R
 from loomgraph.operators.graph import PropertyGraph
+from loomgraph.operators.scan import scan
 from loomgraph.sources import docs as D
 from loomgraph.sources import files as S
 from loomgraph.sources.languages import GROUPS, NOISE
@@ -219,6 +220,32 @@ def build(spark: SparkSession, root: str, include_tests: bool = True, max_loc: i
     return g
 
 
+#: Labels of types, those later on win where types of several kinds have one name.
+TYPE_RANK = {"Class": 0, "Struct": 0, "Mixin": 0, "Enum": 1, "Interface": 2, "Trait": 2, "Protocol": 2}
+
+
+def uses_type(functions: DataFrame, typed: DataFrame) -> DataFrame:
+    """src, dst, label, position: the types that a function's annotations name.
+
+    Annotations are scanned for all type names of two characters or more, leftmost and longest first, so `Foo::Bar` wins over `Foo`. Of several types of
+    one name an interface wins over an enum, and that over a class; of equals the last id. The signature counts only where no parameter is
+    annotated. position: receiver, parameter or return, both for more than one of them, signature for none."""
+    rank = F.create_map(*(F.lit(x) for kv in TYPE_RANK.items() for x in kv))[F.col("label")]
+    names = R.keep_last(typed.where(F.length("title") > 1), ["title"], [rank, "id"]).select("title", F.col("id").alias("dst"), "label")
+    bit = lambda c: F.when(c, 8).otherwise(1)
+    annotated = functions.select(F.col("id").alias("src"), F.explode("parameters").alias("p")).select("src", F.col("p.type_annotation").alias("text"), bit(F.col("p.kind") == "receiver").alias("bit"))
+    returned = functions.select(F.col("id").alias("src"), F.col("return_type").alias("text"), F.lit(2).alias("bit"))
+    bare = ~F.exists("parameters", lambda p: p["type_annotation"].isNotNull())
+    signed = functions.where(bare).select(F.col("id").alias("src"), F.col("signature").alias("text"), F.lit(4).alias("bit"))
+    places = settled(G.union_all([annotated, returned, signed]).where("text <> ''").distinct())
+    texts = settled(places.select("text").distinct().withColumn("key", F.monotonically_increasing_id()))
+    found = scan(texts, "key", "text", names, "title").select("key", "title").distinct().join(texts, "key")
+    bits = places.join(found, "text").join(names, "title").groupBy("src", "dst", "label").agg(F.bit_or("bit").alias("bits"))
+    has = lambda b: (F.col("bits").bitwiseAND(b) != 0).cast("int")
+    position = F.when(has(1) + has(2) + has(8) > 1, "both").when(has(8) == 1, "receiver").when(has(1) == 1, "parameter").when(has(2) == 1, "return").otherwise("signature")
+    return bits.select("src", "dst", "label", position.alias("position"))
+
+
 def _types(edges: dict[G.EdgeKey, DataFrame], typed: DataFrame, relations: DataFrame, functions: DataFrame) -> None:
     """EXTENDS, IMPLEMENTS, HAS_METHOD and USES_TYPE, by the ends' labels. `extends` of an interface is an implementation."""
     ends = relations.join(typed.select(F.col("id").alias("source"), F.col("label").alias("src_label")), "source").withColumn("_short", _last(F.col("target"))).join(typed.select(F.col("title").alias("_short"), F.col("id").alias("dst"), F.col("label").alias("dst_label")), "_short").where("source <> dst")
@@ -229,12 +256,7 @@ def _types(edges: dict[G.EdgeKey, DataFrame], typed: DataFrame, relations: DataF
     for r in best.select("type", "src_label", "dst_label").distinct().collect():  # a few label pairs
         edges[r.type, r.src_label, r.dst_label] = best.where((F.col("type") == r.type) & (F.col("src_label") == r.src_label) & (F.col("dst_label") == r.dst_label)).select("src", "dst")
     methods = functions.where("owner IS NOT NULL").select(F.col("owner").alias("src"), F.col("id").alias("dst")).join(typed.select(F.col("id").alias("src"), "label"), "src")
-    words = lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[A-Za-z_]\w*"), F.lit(0))
-    annotated = F.array_join(F.transform("parameters", lambda p: F.coalesce(p["type_annotation"], F.lit(""))), " ")
-    uses = functions.select(F.col("id").alias("src"), F.explode(words(annotated)).alias("w"), F.lit(1).alias("bit")).unionByName(functions.select(F.col("id").alias("src"), F.explode(words(F.col("return_type"))).alias("w"), F.lit(2).alias("bit")))
-    one = typed.groupBy("title").agg(F.count("*").alias("_n"), F.first("id").alias("dst"), F.first("label").alias("label")).where("_n = 1")
-    used = uses.join(one.select(F.col("title").alias("w"), "dst", "label"), "w").groupBy("src", "dst", "label").agg(F.bit_or("bit").alias("bits"))
-    used = used.withColumn("position", F.when(F.col("bits") == 3, "both").when(F.col("bits") == 1, "parameter").otherwise("return"))
+    used = uses_type(functions, typed)
     for x in ("Class", "Struct", "Interface", "Trait", "Protocol", "Enum", "Mixin"):
         edges["HAS_METHOD", x, "Function"] = methods.where(F.col("label") == x).select("src", "dst")
         edges["USES_TYPE", "Function", x] = used.where(F.col("label") == x).select("src", "dst", "position")
