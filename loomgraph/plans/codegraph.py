@@ -11,8 +11,10 @@ from loomgraph.operators import graph as G
 from loomgraph.operators import resolve as R
 from loomgraph.operators.graph import PropertyGraph
 from loomgraph.operators.scan import scan
+from loomgraph.plans import imports as I
 from loomgraph.sources import docs as D
 from loomgraph.sources import files as S
+from loomgraph.sources import workspace as W
 from loomgraph.sources.languages import GROUPS, NOISE
 
 MAX_TARGETS = 5
@@ -30,26 +32,6 @@ def _group(language: Column) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for kv in GROUPS.items() for x in kv))[language], language)
 
 
-def file_imports(facts: DataFrame) -> DataFrame:
-    """src, dst, import_count. Names are tried from the longest to the shortest: as dotted modules (from the root, from `src/`, as they are) or as paths beside the file, with the usual extensions and index files."""
-    sites = facts.select(F.col("path").alias("src"), "language", "module_path", F.explode("imports").alias("i")).select("src", "language", "module_path", F.col("i.name").alias("name"), F.col("i.line").alias("line"))
-    root = F.split("module_path", r"\.")[0]
-    dotted = F.regexp_replace(F.regexp_replace("name", "::", "."), r"^\.", "")
-    bare = F.regexp_replace(dotted, r"^(?:crate|self|super)\.", "")
-    stems = R.prefixes(bare, ".")
-    modules = F.flatten(F.array(F.transform(stems, lambda s: s), F.transform(stems, lambda s: F.concat_ws(".", root, s)), F.transform(stems, lambda s: F.concat_ws(".", root, F.lit("src"), s)), F.transform(stems, lambda s: F.concat_ws(".", root, F.lit("lib"), s))))
-    here = F.regexp_replace("src", "[^/]*$", "")
-    parts = F.filter(F.split(F.concat(F.when(F.col("name").startswith("/"), "").otherwise(here), F.regexp_replace("name", "^[<\"]", "")), "/"), lambda s: ~s.isin("", "."))
-    folded = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), lambda a, s: F.when(s == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, s))), "/")
-    stripped = F.regexp_replace(folded, r"\.(?:js|jsx|mjs)$", "")
-    tries = F.array(folded, *(F.concat(stripped, F.lit(e)) for e in (".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.js", ".css", ".dart", ".jl", ".R", ".agc")))
-    by_path = F.col("language").isin("c", "cpp", "html", "css", "dart", "r", "julia", "agc", "typescript", "javascript")
-    sites = sites.where(~F.col("name").startswith("<")).withColumn("tries", F.when(by_path, F.transform(tries, lambda t: F.concat(F.lit("p:"), t))).otherwise(F.transform(modules, lambda m: F.concat(F.lit("m:"), m))))
-    known = facts.select(F.concat(F.lit("p:"), "path").alias("key"), F.col("path").alias("dst")).unionByName(facts.where("language NOT IN ('html', 'css')").groupBy(F.concat(F.lit("m:"), "module_path").alias("key")).agg(F.min("path").alias("dst")))
-    first = R.first_candidate(sites, ["src", "name", "line"], "tries", known, "key")
-    return first.join(known, "key").where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("import_count"))
-
-
 def ancestors(types: DataFrame) -> DataFrame:
     """short, ancestor: transitive bases by short name, without cycles."""
     pairs = types.select(_last(F.col("source")).alias("src"), _last(F.col("target")).alias("dst")).distinct()
@@ -160,8 +142,8 @@ def build(spark: SparkSession, root: str, include_tests: bool = True, max_loc: i
     classes = settled(classes.withColumn("_label", label))
     constants = R.keep_last(facts.select(F.col("path").alias("file_path"), F.explode("constants").alias("c")).select("file_path", "c.*"), ["qualified_name"], ["file_path", "line_number"]).withColumnsRenamed({"qualified_name": "id", "name": "title"})
     relations = facts.select(F.explode("relations").alias("r")).select("r.*").distinct()
-    imports = settled(file_imports(facts))
     modules = facts.select(F.explode(R.prefixes(F.col("module_path"), ".")).alias("id")).where(~_last(F.col("id")).rlike(r"^\d+$")).distinct()
+    imports, module_imports = (settled(x) for x in I.resolved(facts, modules, settled(W.configurations(spark, root))))
     call_edges, stats = calls(functions, relations, imports)
     route, handles = routes(functions)
     project = S.manifest(root) if not root.startswith(("hdfs:", "s3", "viewfs:")) else {"name": root.rstrip("/").rsplit("/", 1)[-1], "source": "(inferred)", "dependencies": []}
@@ -175,8 +157,8 @@ def build(spark: SparkSession, root: str, include_tests: bool = True, max_loc: i
     deps = spark.createDataFrame(project["dependencies"], "name string, version string, grp string") if project["dependencies"] else spark.createDataFrame([], "name string, version string, grp string")
     nodes["Dependency"] = deps.select(F.concat_ws("::", "name", "grp").alias("id"), F.col("name").alias("title"), "version", F.col("grp").alias("group")).distinct()
     edges: dict[G.EdgeKey, DataFrame] = {
-        ("IMPORTS", "File", "File"): imports, ("CALLS", "Function", "Function"): call_edges, ("HANDLES", "Route", "Function"): handles, ("IMPLEMENTED_BY", "Procedure", "Function"): procedures,
-        ("HAS_FILE", "Module", "File"): files.select(F.col("module_path").alias("src"), F.col("id").alias("dst")), ("HAS_SUBMODULE", "Module", "Module"): modules.select(_owner(F.col("id")).alias("src"), F.col("id").alias("dst")).where("src <> ''"),
+        ("IMPORTS", "File", "File"): imports, ("IMPORTS", "File", "Module"): module_imports, ("CALLS", "Function", "Function"): call_edges, ("HANDLES", "Route", "Function"): handles, ("IMPLEMENTED_BY", "Procedure", "Function"): procedures,
+        ("HAS_FILE", "Module", "File"): files.select(F.col("module_path").alias("src"), F.col("id").alias("dst")), ("HAS_SUBMODULE", "Module", "Module"): I.submodules(facts, modules),
         ("DEPENDS_ON", "Project", "Dependency"): nodes["Dependency"].select(F.lit(project["name"]).alias("src"), F.col("id").alias("dst")), ("HAS_SOURCE", "Project", "File"): files.select(F.lit(project["name"]).alias("src"), F.col("id").alias("dst")),
         ("HAS_CHILD", "Element", "Element"): nodes["Element"].where("parent IS NOT NULL").select(F.col("parent").alias("src"), F.col("id").alias("dst")), ("CALLS_SERVICE", "Function", "Route"): service_calls(S.sources(spark, root), functions, route),
     }

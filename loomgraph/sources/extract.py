@@ -24,6 +24,21 @@ def module_path(path: str, root: str) -> str:
     return ".".join([root, *parts]) if parts else root
 
 
+#: How a file says which namespace it is in.
+_NAMESPACE = {"java": r"^\s*package\s+([\w.]+)\s*;", "csharp": r"^\s*namespace\s+([\w.]+)", "php": r"^\s*(?:<\?php\s+)?namespace\s+([\w\\]+)"}
+
+
+def module_of(path: str, text: str, root: str, language: str) -> str:
+    """A file's module, dotted: the namespace that it declares, else its path below the root's name. Files that stand for their folder have the folder's; a Go file always."""
+    if (p := _NAMESPACE.get(language)) and (m := re.search(p, text, re.M)):
+        return m[1].replace("\\", ".")
+    folder, stem = ([""] + path.rsplit("/", 1))[-2:][0], path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    whole = {"rust": ("mod", "lib"), "typescript": ("index",), "javascript": ("index",)}.get(language, ())
+    if stem in whole or language == "go" and folder:
+        return ".".join([root, *folder.split("/")]) if folder else root
+    return module_path(path, root)
+
+
 def annotations(text: str) -> list[dict]:
     if not re.search(rf"(?i){MARKERS}", text):
         return []
@@ -72,16 +87,12 @@ def python(path: str, text: str, root: str) -> dict[str, list[dict]]:
     module = module_path(path, root)
     out: dict[str, list[dict]] = {k: [] for k in ("functions", "classes", "constants", "relations", "imports")}
     tree = ast.parse(text)
-    package = module.split(".") if path.endswith("__init__.py") else module.split(".")[:-1]
     for n in ast.walk(tree):
         if isinstance(n, ast.Import):
             out["imports"] += [{"name": a.name, "line": n.lineno} for a in n.names]
         elif isinstance(n, ast.ImportFrom):
-            base = n.module or ""
-            if n.level:
-                up = package[: len(package) - n.level + 1]
-                base = "." + ".".join([*up, *([n.module] if n.module else [])])  # a leading dot: known in full
-            out["imports"] += [{"name": f"{base}.{a.name}" if a.name != "*" else base, "line": n.lineno} for a in n.names]
+            base = "." * n.level + (n.module or "")
+            out["imports"] += [{"name": base + ("." if n.module else "") + a.name if a.name != "*" else base, "line": n.lineno} for a in n.names]
     stack: list[tuple[ast.AST, list[str], str | None, int]] = [(tree, [], None, 0)]
     while stack:
         node, scope, owner, depth = stack.pop()
@@ -147,11 +158,13 @@ _STRINGS = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
 
 
 def braces(path: str, text: str, root: str, language: str) -> dict[str, list[dict]]:
-    shape, module = SHAPES[language], module_path(path, root)
+    shape, module = SHAPES[language], module_of(path, text, root, language)
     out: dict[str, list[dict]] = {k: [] for k in ("functions", "classes", "constants", "relations", "imports")}
     line = lambda at: text.count("\n", 0, at) + 1
     for m in re.finditer(shape.imports, text, re.M):
         out["imports"].append({"name": next(g for g in m.groups() if g), "line": line(m.start())})
+    if language == "rust":
+        out["submodules"] = re.findall(r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?\s+)?mod\s+(\w+)\s*;", text)
     code = _STRINGS.sub(lambda m: '"' + " " * (len(m[0]) - 2) + '"', text)
     code = re.sub(rf"{re.escape(shape.comment)}[^\n]*", lambda m: " " * len(m[0]), code)
     spans = []

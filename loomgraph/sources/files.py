@@ -6,6 +6,7 @@ import json
 import os
 import subprocess
 import tomllib
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,18 +20,53 @@ FACTS = (
     f"functions array<{FUNCTION}>, classes array<struct<name:string,qualified_name:string,kind:string,line_number:bigint,end_line:bigint,docstring:string>>, "
     "constants array<struct<name:string,qualified_name:string,kind:string,owner:string,line_number:bigint,value_preview:string>>, relations array<struct<source:string,target:string,relation:string>>, "
     f"imports {_SITE}, elements array<struct<tag:string,qualified_name:string,line_number:bigint,column:bigint,text:string,parent:string>>, selectors array<struct<name:string,qualified_name:string,line_number:bigint>>, "
-    "transfers array<struct<caller:string,target:string,kind:string,line:bigint>>, sites array<struct<caller:string,target:string,opcode:string,access:string,line:bigint>>"
+    "transfers array<struct<caller:string,target:string,kind:string,line:bigint>>, sites array<struct<caller:string,target:string,opcode:string,access:string,line:bigint>>, submodules array<string>"
 )
 
 
+def _left_out(spark: SparkSession, top: str) -> DataFrame:
+    """rel, length, content of the files that Spark's readers leave out: empty ones, and those with a name or folder that begins with `_` (`__init__.py`).
+
+    The driver lists names, as it does for Spark's readers; tasks read the contents by Arrow's file systems. Where Arrow knows no file system for the tree's
+    address, empty files are found by Spark's own list, and names with `_` stay out."""
+    import pyarrow as pa
+    from pyarrow import fs as afs
+
+    schema = "rel string, length long, modification_time timestamp, content binary"
+    try:
+        store, base = afs.FileSystem.from_uri(top if "://" in top else "file://" + os.path.abspath(top.removeprefix("file:")))
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        listed = spark.createDataFrame([(unquote(f),) for f in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(top).inputFiles()], "rel string")
+        return listed.select(_below("rel", top).alias("rel"), F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modification_time"), F.lit(b"").alias("content"))
+    infos = ((i.path[len(base) :].strip("/"), i.size, i.mtime) for i in store.get_file_info(afs.FileSelector(base, recursive=True)) if i.is_file)
+    found = [x for x in infos if not x[1] or any(s.startswith("_") for s in x[0].split("/"))]
+
+    def run(batches):
+        for batch in batches:
+            for row, (rel, length) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                content = b""
+                if length:
+                    with store.open_input_stream(f"{base}/{rel}") as f:
+                        content = f.read()
+                yield pa.RecordBatch.from_arrays([pa.array([rel]), pa.array([len(content)], pa.int64()), batch.column(2).slice(row, 1), pa.array([content], pa.binary())], ["rel", "length", "modification_time", "content"])
+
+    return spark.createDataFrame(found, "rel string, length long, modification_time timestamp").mapInArrow(run, schema)
+
+
+def _below(path: str, top: str) -> Column:
+    return F.regexp_replace(F.regexp_replace(path, "^file:/+", "/"), "^.*?" + "\\Q" + top.removeprefix("file://") + "\\E/", "")
+
+
 def walk(spark: SparkSession, root: str) -> DataFrame:
     """path (below root), length, modification_time, content of all files, but for hidden and generated directories. The root itself is never skipped."""
     top = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(top)
-    rel = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^.*?" + "\\Q" + top.removeprefix("file://") + "\\E/", "")
-    parts = F.split(F.col("rel"), "/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(top).where("length > 0")
+    files = files.select(_below("path", top).alias("path"), "length", F.col("modificationTime").alias("modification_time"), "content")
+    more = _left_out(spark, top).withColumnRenamed("rel", "path").join(files.select("path"), "path", "left_anti")
+    every = files.unionByName(more)
+    parts = F.split("path", "/")
     skipped = F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda s: s.startswith(".") | s.isin(*SKIPPED))
-    return files.withColumn("rel", rel).where(~skipped & ~F.element_at(parts, -1).startswith(".")).select(F.col("rel").alias("path"), "length", F.col("modificationTime").alias("modification_time"), "content")
+    return every.where(~skipped & ~F.element_at(parts, -1).startswith("."))
 
 
 def language_of(path: Column) -> Column:
@@ -75,7 +111,7 @@ def facts(spark: SparkSession, root: str, max_loc: int | None = None, include_te
                         got = X.extract(path, text, name, language)
                     except (SyntaxError, ValueError, RecursionError) as e:
                         reason = f"unparsed: {type(e).__name__}"
-                rows.append((path, lines, X.module_path(path, name), reason, X.annotations(text), json.dumps(got)))
+                rows.append((path, lines, X.module_of(path, text, name, language), reason, X.annotations(text), json.dumps(got)))
             kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string()), ("line", pa.int64())])), pa.string())
             names = ["path", "loc", "module_path", "skip_reason", "annotations", "facts"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names)

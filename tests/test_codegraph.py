@@ -8,6 +8,7 @@ from loomgraph.plans import codegraph, cypher
 
 TREE = {
     "shop/__init__.py": "",
+    "shop/_hidden/__init__.py": "def inner():\n    return 1\n",
     "shop/util.py": "RATE = 3\n\n\ndef helper(x):\n    # TODO: round\n    return x * RATE\n\n\ndef orphan():\n    return helper(1)\n",
     "shop/base.py": "class Base:\n    def save(self):\n        return self.check()\n\n    def check(self):\n        return True\n\n\nclass Other:\n    def save(self):\n        return 1\n",
     "shop/item.py": "from .base import Base\nfrom shop.util import helper\n\n\nclass Item(Base):\n    def price(self, owner: Base) -> Base:\n        if owner:\n            for _ in range(3):\n                helper(2)\n        self.save()\n        return run(helper)\n\n\ndef run(f):\n    return f(run)\n",
@@ -41,6 +42,7 @@ def pairs(graph, *types):
 def test_files(graph):
     files = {r.id: r for r in graph.nodes("File").collect()}
     assert "node_modules/skip.js" not in files and files["web/big.min.js"].skip_reason == "generated"
+    assert {"shop/__init__.py", "shop/_hidden/__init__.py"} <= set(files) and graph.nodes("Function").where("id = 'proj.shop._hidden.inner'").count() == 1
     assert files["tests/test_item.py"].is_test and files["shop/util.py"].loc == 10 and files["shop/util.py"].annotation_count == 1
 
 
@@ -59,7 +61,8 @@ def test_calls(graph):
 
 
 def test_imports_and_types(graph):
-    assert {("shop/item.py", "shop/base.py"), ("shop/item.py", "shop/util.py"), ("tests/test_item.py", "shop/item.py"), ("web/client.ts", "web/lib/fmt.ts"), ("web/index.html", "web/style.css")} == pairs(graph, "IMPORTS")
+    assert {("shop/item.py", "shop/base.py"), ("shop/item.py", "shop/util.py"), ("tests/test_item.py", "shop/item.py"), ("web/client.ts", "web/lib/fmt.ts"), ("web/index.html", "web/style.css")} == {(r.src, r.dst) for r in graph.edge_tables["IMPORTS", "File", "File"].collect()}
+    assert {("shop/item.py", "proj.shop.base"), ("shop/item.py", "proj.shop.util"), ("tests/test_item.py", "proj.shop.item"), ("web/client.ts", "proj.web.lib.fmt"), ("web/index.html", "proj.web.style")} == {(r.src, r.dst) for r in graph.edge_tables["IMPORTS", "File", "Module"].collect()}
     assert ("proj.shop.item.Item", "proj.shop.base.Base") in pairs(graph, "EXTENDS") and ("proj.web.lib.fmt.Box", "proj.web.lib.fmt.Shape") in pairs(graph, "IMPLEMENTS")
     assert ("proj.shop.base.Base", "proj.shop.base.Base.save") in pairs(graph, "HAS_METHOD")
     assert [r.position for r in graph.edges(("USES_TYPE",)).where("src LIKE '%price'").collect()] == ["both"]
