@@ -40,13 +40,18 @@ def crc_mod(column: str, by: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(by))
 
 
+def threshold(most: int, n: int) -> int:
+    """Signed 64-bit hashes below it are `most` of `n`."""
+    return -(1 << 63) + min((most << 64) // n, (1 << 64) - 1)
+
+
 def bounded_sample(rows: DataFrame, id_col: str, most: int, seed: int, partitions: int = 8) -> DataFrame:
     """About `most` rows (all, if there are fewer), chosen by a hash of the id, in a few partitions.
 
-    For fitting models only. The count runs over the id column alone."""
+    For fitting models only. The count runs over the id column alone. Rows of one id go in together or not at all."""
     n = rows.select(id_col).count()
     if n > most:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 20)) < int(most / n * (1 << 20)))
+        rows = rows.where(F.xxhash64(F.lit(seed), F.col(id_col)) < F.lit(threshold(most, n)))
     return rows.repartition(partitions)
 
 

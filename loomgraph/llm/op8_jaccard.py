@@ -393,7 +393,9 @@ def _linked(docs: DataFrame, k: int, percent: int, order_bits: int, most_l: int,
     sets = written(nodes(docs, order, k), "jaccard-nodes")
     every = sets.select("doc_id", "n", "key")
     some = sets.where("key IS NOT NULL")
-    reps = some.groupBy("key").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.first("ell").alias("ell"), F.first("prefix").alias("prefix"))
+    # a set of n can at best share all n with one of n + 1: smaller sets link with equal ones alone, and those are one node
+    able = some.where(100 * F.col("n") >= percent * (F.col("n") + 1))
+    reps = able.groupBy("key").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.first("ell").alias("ell"), F.first("prefix").alias("prefix"))
     found = written(candidates(reps, percent, group, block), "jaccard-candidates")
     few = found.where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("ell").alias("ell"), F.max("n").alias("n")).where("shared >= ell").select("a", "b", "n")
     members = found.where("b IS NULL").select("shingle", "part", "a", "n")

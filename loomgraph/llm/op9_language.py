@@ -11,7 +11,6 @@ It is fitted on at most about `fit_docs` labelled documents; everything else rea
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -59,7 +58,6 @@ _FIRST, _LAST, _OF = (np.array(x) for x in zip(*_RANGES, strict=True))
 _ASCII = np.zeros(256, np.uint8)
 _ASCII[0x41:0x5B] = _ASCII[0x61:0x7B] = 1
 _BLANK = bytes(c if c >= 128 or 97 <= c <= 122 or 65 <= c <= 90 else 32 for c in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -177,7 +175,7 @@ def predict(model: Model, texts: list[bytes]) -> list[tuple[str, float, list[tup
     ends = np.cumsum(sizes)
     out = []
     for d, text in enumerate(texts):
-        if not _LETTER.search(text.decode("utf-8", "replace")):
+        if not any(map(str.isalpha, text.decode("utf-8", "replace"))):  # Unicode's letters; numerals such as ½ or ⅷ are none
             out.append(("und", 0.0, []))
             continue
         lo, hi = int(ends[d] - sizes[d]), int(ends[d])

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.llm import op1_pii, op2_quality, op3_chat, op4_mixing, op5_chunks, op6_toxicity, op7_tiff, op8_jaccard, op9_language, op10_decontaminate
+from loomgraph.llm.common import bounded_sample, threshold
 from loomgraph.llm.components import components
 
 
@@ -374,6 +375,23 @@ def test_overlaps():
     assert (got[other] == want[other]).all()
 
 
+def test_jaccard_short(spark):
+    """Sets too small to link with any but their equals are no candidates, however many share a shingle."""
+    df = spark.range(32_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("all rights reserved x"), F.floor(F.col("id") / 2)).alias("text"))
+    got = op8_jaccard.report(df).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, 2, i - i % 2) for i in range(32_000)}
+
+
+def test_bounded_sample(spark):
+    """The whole hash is compared: at 10^11 rows the share is still right."""
+    for n in (50_000, 10**11, 10**15):
+        share = (threshold(20_000, n) + (1 << 63)) / (1 << 64)
+        assert abs(share * n - 20_000) < 1
+    assert threshold(5, 5) == (1 << 63) - 1
+    got = bounded_sample(spark.range(100_000).withColumnRenamed("id", "doc_id"), "doc_id", 1000, 3).count()
+    assert 850 < got < 1150
+
+
 def test_jaccard_empty(none):
     assert op8_jaccard.report(none).count() == 0
 
@@ -409,7 +427,7 @@ def test_language_spans(docs):
 def test_language_without_letters(docs):
     model = op9_language.fit(docs.where("doc_id < 90"))
     assert not model.scripts[op9_language.OTHER].any()
-    for text in ("\u2014", "\U0001f600 \U0001f600", "\u2500\u2502\u2500 12 \u2022", "\u20ac 5"):
+    for text in ("\u2014", "\U0001f600 \U0001f600", "\u2500\u2502\u2500 12 \u2022", "\u20ac 5", "\u00bd \u00b2", "\u2460\u2461", "\u2177"):
         assert op9_language.predict(model, [text.encode()]) == [("und", 0.0, [])], text
     learned = docs.sparkSession.createDataFrame([(1, "\u10d0\u10d1\u10d2 \u10d3\u10d4 " * 20, "ka"), (2, "the river under the stone " * 20, "en")], "doc_id long, text string, lang string")
     assert op9_language.predict(op9_language.fit(learned), ["\u10d0\u10d1\u10d2 \u2014".encode()])[0][:2] == ("ka", 1.0)
