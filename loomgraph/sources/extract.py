@@ -1,5 +1,5 @@
 """Facts of one source file. Python by its syntax tree; HTML, CSS and assembly by line and tag scanners; brace languages by
-patterns and bracket matching (approximate: no grammar is used)."""
+their tokens and scopes; Julia and R by patterns (approximate)."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import re
 from html.parser import HTMLParser
 from typing import Any
 
+from loomgraph.sources import braced
 from loomgraph.sources.languages import SHAPES
 
 MARKERS = r"TODO|FIXME|HACK|SAFETY|XXX|BUG|NOTE|WARNING"
@@ -157,14 +158,13 @@ _WORDS = {"if", "for", "while", "switch", "return", "catch", "match", "function"
 _STRINGS = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
 
 
-def braces(path: str, text: str, root: str, language: str) -> dict[str, list[dict]]:
+def patterns(path: str, text: str, root: str, language: str) -> dict[str, list[dict]]:
+    """Julia and R, by patterns."""
     shape, module = SHAPES[language], module_of(path, text, root, language)
     out: dict[str, list[dict]] = {k: [] for k in ("functions", "classes", "constants", "relations", "imports")}
     line = lambda at: text.count("\n", 0, at) + 1
     for m in re.finditer(shape.imports, text, re.M):
         out["imports"].append({"name": next(g for g in m.groups() if g), "line": line(m.start())})
-    if language == "rust":
-        out["submodules"] = re.findall(r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?\s+)?mod\s+(\w+)\s*;", text)
     code = _STRINGS.sub(lambda m: '"' + " " * (len(m[0]) - 2) + '"', text)
     code = re.sub(rf"{re.escape(shape.comment)}[^\n]*", lambda m: " " * len(m[0]), code)
     spans = []
@@ -246,7 +246,7 @@ def html(path: str, text: str, root: str) -> dict[str, list[dict]]:
     p.feed(text)
     out = {"elements": p.elements, "imports": [{"name": x["name"], "line": x["line"]} for x in p.links if x["tag"] in ("link", "script")], "functions": [], "classes": []}
     for row, code in p.scripts:
-        inner = braces(path, code, root, "javascript")
+        inner = braced.braces(path, code, module_of(path, text, root, "html"), "javascript")
         out["functions"] += [f | {"line_number": f["line_number"] + row - 1, "end_line": f["end_line"] + row - 1} for f in inner["functions"]]
     return out
 
@@ -316,4 +316,6 @@ def extract(path: str, text: str, root: str, language: str) -> dict[str, list[di
         return python(path, text, root)
     if language in ("html", "css", "agc"):
         return {"html": html, "css": css, "agc": agc}[language](path, text, root)
-    return braces(path, text, root, language)
+    if language in ("julia", "r"):
+        return patterns(path, text, root, language)
+    return braced.braces(path, text, module_of(path, text, root, language), language)
