@@ -12,6 +12,7 @@ from loomgraph.operators import resolve as R
 from loomgraph.operators.graph import PropertyGraph
 from loomgraph.operators.scan import scan
 from loomgraph.plans import imports as I
+from loomgraph.plans.routes import routes
 from loomgraph.sources import docs as D
 from loomgraph.sources import files as S
 from loomgraph.sources import workspace as W
@@ -79,18 +80,6 @@ def calls(functions: DataFrame, relations: DataFrame, imports: DataFrame) -> tup
     return edges, stats.select("outcome", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def routes(functions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Route nodes and HANDLES edges from web framework decorators: id FRAMEWORK::METHOD::PATH::FILE."""
-    one = functions.select("id", "file_path", F.explode("decorators").alias("d"))
-    verb, path = F.regexp_extract("d", r"^\w+(?:\.\w+)*\.(get|post|put|delete|patch|route)\(", 1), F.regexp_extract("d", r"\(\s*(?:path=|rule=)?['\"]([^'\"]*)['\"]", 1)
-    one = one.select("id", "file_path", "d", verb.alias("verb"), path.alias("path")).where("verb <> '' AND path <> ''")
-    listed = F.transform(F.regexp_extract_all(F.regexp_extract("d", r"methods\s*=\s*[\[(]([^\])]*)", 1), F.lit(r"['\"](\w+)['\"]"), F.lit(1)), lambda m: F.upper(m))
-    methods = F.when(F.col("verb") != "route", F.array(F.upper("verb"))).when(F.size(listed) > 0, listed).otherwise(F.array(F.lit("GET")))
-    one = one.withColumn("framework", F.when(F.col("verb") == "route", "flask").otherwise("fastapi")).withColumn("method", F.explode(methods))
-    one = one.withColumn("route", F.concat_ws("::", "framework", "method", "path", "file_path"))
-    return one.select(F.col("route").alias("id"), F.col("path").alias("title"), "framework", "method", "file_path").distinct(), one.select(F.col("route").alias("src"), F.col("id").alias("dst")).distinct()
-
-
 def service_calls(sources: DataFrame, functions: DataFrame, route: DataFrame) -> DataFrame:
     """CALLS_SERVICE: client requests in a function's lines whose path fits a route's segments."""
     lines = sources.select(F.col("path").alias("file_path"), F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("i", "s")).where(F.col("s").rlike(r"(?:fetch|axios(?:\.\w+)?|requests\.\w+|httpx\.\w+|\$http\.\w+|HttpClient\.\w+)\(") & ~F.col("s").rlike(r"^\s*(?://|#|\*)"))
@@ -145,7 +134,7 @@ def build(spark: SparkSession, root: str, include_tests: bool = True, max_loc: i
     modules = facts.select(F.explode(R.prefixes(F.col("module_path"), ".")).alias("id")).where(~_last(F.col("id")).rlike(r"^\d+$")).distinct()
     imports, module_imports = (settled(x) for x in I.resolved(facts, modules, settled(W.configurations(spark, root))))
     call_edges, stats = calls(functions, relations, imports)
-    route, handles = routes(functions)
+    route, handles = (settled(x) for x in routes(functions, facts, constants))
     project = S.manifest(root) if not root.startswith(("hdfs:", "s3", "viewfs:")) else {"name": root.rstrip("/").rsplit("/", 1)[-1], "source": "(inferred)", "dependencies": []}
     nodes: dict[str, DataFrame] = {"File": files, "Function": functions.drop("calls", "function_refs", "references"), "Constant": constants, "Route": route, "Module": modules.select("id", _last(F.col("id")).alias("title")), "Project": spark.createDataFrame([(project["name"], project["name"], project["source"])], "id string, title string, manifest string")}
     for x in ("Class", "Struct", "Interface", "Trait", "Protocol", "Enum", "Mixin"):

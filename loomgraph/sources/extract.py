@@ -129,9 +129,9 @@ def python(path: str, text: str, root: str) -> dict[str, list[dict]]:
                 stack.append((n, [*scope, n.name], None, depth + 1))
             elif isinstance(n, ast.Assign | ast.AnnAssign) and not depth:
                 for t in n.targets if isinstance(n, ast.Assign) else [n.target]:
-                    if isinstance(t, ast.Name) and (t.id.isupper() or owner):
+                    if isinstance(t, ast.Name) and (t.id.isupper() or owner or t.id == "urlpatterns"):
                         kind = "attribute" if owner else "constant"
-                        out["constants"].append({"name": t.id, "qualified_name": ".".join([module, *scope, t.id]), "kind": kind, "owner": owner, "line_number": n.lineno, "value_preview": ast.unparse(n.value)[:100] if n.value else None})
+                        out["constants"].append({"name": t.id, "qualified_name": ".".join([module, *scope, t.id]), "kind": kind, "owner": owner, "line_number": n.lineno, "value_preview": ast.unparse(n.value)[: None if t.id == "urlpatterns" else 100] if n.value else None})
             elif not isinstance(n, ast.expr):
                 stack.append((n, scope, owner, depth))
     return out
