@@ -58,7 +58,7 @@ def bounded_sample(rows: DataFrame, id_col: str, most: int, seed: int, partition
 class WordHash(dict):
     """word bytes -> 64-bit hash; kept for as many words as `most`."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 100_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
@@ -71,7 +71,7 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def by_bytes(texts: Iterable[bytes], most: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def by_bytes(texts: Iterable[bytes], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first, texts) in runs of about `most` bytes, one text at least: bounds the arrays made from them."""
     run: list[bytes] = []
     first = total = 0
