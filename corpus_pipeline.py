@@ -10,15 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import op1_pii, op4_mixing, op8_jaccard, op9_language, op10_decontaminate
-from loomgraph.llm.common import table, written
+from loomgraph.llm.common import forget, table, written
 
 #: A document goes if less than this share of its letters is in the language that most of them are in.
 LEAST_SCORE = 0.4
 
 
+#: Numbered copies that earlier stages have read.
+_COPIES: list[DataFrame] = []
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     """docs with a number for each row, written once: ids can be null or repeated, and what is decided about one row isn't about another."""
-    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    _COPIES.append(written(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows"))
+    return _COPIES[-1]
+
+
+def _clear(docs: DataFrame) -> None:
+    """Deletes the copies of earlier stages, whose results have been written by now: all but those that docs itself is read from."""
+    files = docs.inputFiles() if _COPIES else []
+    for copy in [c for c in _COPIES if not any(c._written_at.rsplit("/", 1)[-1] in f for f in files)]:
+        forget(copy)
+        _COPIES.remove(copy)
 
 
 def _texts(rows: DataFrame) -> DataFrame:
@@ -32,6 +45,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at a similarity of 0.8 or more, the row with the least doc_id stays (one without an id only if none has one); texts without words stay."""
+    _clear(docs)
     rows = _numbered(docs)
     found = op8_jaccard.classes(_texts(rows)).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
@@ -41,6 +55,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that share ten words in a row with a benchmark item (or the whole of a shorter one)."""
+    _clear(docs)
     rows = _numbered(docs)
     found = op10_decontaminate.decontaminate(_texts(rows), table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("doc_id").alias("_row"))
     return rows.join(found, "_row", "left_anti").select(*docs.columns)
@@ -48,11 +63,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks personal data in the texts; no document goes."""
+    _clear(docs)
     return op1_pii.mask(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes: doc_id, size, source_size, target, taken."""
+    _clear(docs)
     return op4_mixing.report(docs)
 
 
