@@ -177,14 +177,12 @@ def build(spark: SparkSession, root: str, include_tests: bool = True, max_loc: i
             edges[name, "Constant", x] = symbols.where((F.col("type") == name) & (F.col("label") == x)).select("src", "dst", "line")
     if docs:
         d = settled(D.documents(spark, root))
-        nodes["Doc"] = d.select("id", "title", "kind", "path")
+        nodes["Doc"] = settled(D.nodes(d))
         symbols = G.union_all([functions.select("id", "title", F.lit("Function").alias("label")), typed, constants.select("id", "title", F.lit("Constant").alias("label"))])
-        told = D.resolve_mentions(D.mentions(d), symbols)
-        for x in ("Function", "Constant", "Class", "Struct", "Interface", "Trait", "Protocol", "Enum", "Mixin"):
-            edges["MENTIONS", "Doc", x] = told.where(F.col("dst_label") == x).select("src", "dst")
-        to = D.links(d)
-        edges["DOCUMENTS", "Doc", "Doc"] = to.join(d.select(F.col("id").alias("dst"), F.col("path").alias("target")), "target").select(F.col("id").alias("src"), "dst").where("src <> dst").distinct()
-        edges["DOCUMENTS", "Doc", "File"] = to.join(files.select(F.col("id").alias("target")), "target", "left_semi").select(F.col("id").alias("src"), F.col("target").alias("dst"))
+        told = settled(D.resolve_mentions(D.mentions(d), symbols))
+        for x in D.SYMBOL_LABELS:
+            edges["MENTIONS", "Doc", x] = told.where(F.col("dst_label") == x).select("src", "dst", "strategy")
+        edges["DOCUMENTS", "Doc", "Doc"], edges["DOCUMENTS", "Doc", "File"] = D.linked(d, files)
         edges["HAS_DOC", "Project", "Doc"] = d.select(F.lit(project["name"]).alias("src"), F.col("id").alias("dst"))
     g = PropertyGraph(nodes, edges)
     g.call_stats = stats
