@@ -5,10 +5,12 @@ chunk ends where the hash's upper bits are zero (on average every 2^`mask_bits`
 after `longest` bytes. The same passage is cut at the same places wherever it stands, so an insertion changes the
 chunks next to it and no others.
 
-Chunks are compared by a 64-bit digest of their bytes over the whole corpus. The first occurrence (least doc_id, then
-position) is kept; later ones are repeats. Short chunks repeat by chance, so repeats count only in runs: consecutive
-repeated chunks with `least_bytes` bytes or more together are removed. (A chance coincidence of two digests, too, is one chunk
-in no run, unless its neighbours repeat as well.)
+Chunks are compared by a 128-bit digest of their bytes over the whole corpus (two longs, d1 and d2), so no two different chunks
+are expected to coincide in 3e12 of them. The first occurrence (least doc_id, then position) is kept; later ones are repeats. Short
+chunks repeat by chance, so repeats count only in runs: consecutive repeated chunks with `least_bytes` bytes or more together are removed.
+
+A document is an id and a 63-bit hash of its text, `doc`; without an id the hash is negative and a second hash of 64 bits stands
+for the id, so that the texts that have no id are told apart by 127 bits.
 
 A digest that very many chunks have doesn't meet in one task: of `HOT` digests at most, those with more than a share of
 1 / `HOT` of all chunks, the first occurrences are broadcast. The rest is joined by digest.
@@ -57,14 +59,13 @@ def cuts(text: np.ndarray, table: np.ndarray, mask_bits: int = MASK_BITS, longes
 
 
 def chunks(docs: DataFrame, mask_bits: int = MASK_BITS, longest: int = LONGEST) -> DataFrame:
-    """doc_id, doc, at (first byte), size, digest of each chunk of each text. A null id is the largest number with a negative doc; otherwise doc
-    is a hash of the text, which tells apart the texts of one id."""
+    """key and doc (which document), at (first byte), size, d1, d2 (digest) of each chunk of each text."""
 
     def run(batches):
         table = gear()
         for batch in batches:
-            known = [batch.column(0), batch.column(2)]
-            for first, texts in by_bytes(utf8(batch.column(1)), 1 << 20):
+            known = [batch.column(0), batch.column(1)]
+            for first, texts in by_bytes(utf8(batch.column(2)), 1 << 20):
                 rows, at, size, digest = [], [], [], []
                 for i, text in enumerate(texts, first):
                     ends = cuts(np.frombuffer(text, np.uint8), table, mask_bits, longest)
@@ -72,61 +73,72 @@ def chunks(docs: DataFrame, mask_bits: int = MASK_BITS, longest: int = LONGEST)
                     rows.append(np.full(len(ends), i))
                     at.append(starts)
                     size.append(ends - starts)
-                    digest += [xxhash.xxh3_64_intdigest(text[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                    digest += [xxhash.xxh3_128_digest(text[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 if digest:
-                    yield pa.RecordBatch.from_arrays([*(x.take(pa.array(np.concatenate(rows))) for x in known), pa.array(np.concatenate(at), pa.int32()), pa.array(np.concatenate(size), pa.int32()), pa.array(np.array(digest, np.uint64).view(np.int64))], ["doc_id", "doc", "at", "size", "digest"])
+                    halves = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+                    places = [pa.array(np.concatenate(x), pa.int32()) for x in (at, size)]
+                    own = pa.array(np.concatenate(rows))
+                    yield pa.RecordBatch.from_arrays([*(x.take(own) for x in known), *places, pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["key", "doc", "at", "size", "d1", "d2"])
 
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col("text").cast("string").alias("text"), _doc(F.col("doc_id"), F.col("text")).alias("doc"))
-    return texts.mapInArrow(run, "doc_id long, doc int, at int, size int, digest long")
+    texts = docs.select(*_names(docs["doc_id"], docs["text"]), docs["text"].cast("string").alias("text"))
+    return texts.mapInArrow(run, "key long, doc long, at int, size int, d1 long, d2 long")
 
 
-def _doc(doc_id: Column, text: Column) -> Column:
-    h = F.pmod(F.xxhash64(text.cast("string")), F.lit(1 << 31)).cast("int")
-    return F.when(doc_id.isNull(), -1 - h).otherwise(h)
+def _names(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """key, doc: which document a row is."""
+    text = text.cast("string")
+    h = F.xxhash64(text).bitwiseAND(F.lit((1 << 63) - 1))
+    other = F.conv(F.substring(F.md5(text.cast("binary")), 1, 16), 16, -10).cast("long")
+    return F.coalesce(doc_id.cast("long"), other, F.lit(0)).alias("key"), F.when(doc_id.isNull(), -1 - h).otherwise(h).alias("doc")
 
 
-def _id(doc_id: Column, doc: Column) -> Column:
-    return F.when(doc >= 0, doc_id)
+def _id(key: Column, doc: Column) -> Column:
+    return F.when(doc >= 0, key)
 
 
 def repeats(docs: DataFrame, mask_bits: int = MASK_BITS, longest: int = LONGEST, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """Runs to remove: doc_id, doc (tells apart different texts of one id), start, end (bytes of the UTF-8 text), first_doc_id (the document where most of the run's bytes stand first).
+    """Runs to remove: doc_id, key and doc (tell apart different texts of one id or without an id), start, end (bytes of the UTF-8 text), first_doc_id (the document where most of the run's bytes stand first).
 
     docs: doc_id, text. A null or empty text has no chunks. Rows of one id and text are taken for one document, which doesn't repeat
     itself; different texts of one id, or without an id, are different documents. A null id comes after all others. Other columns are not read."""
     every = written(chunks(docs, mask_bits, longest), "chunks")
-    first = F.min(F.struct("doc_id", "doc", "at")).alias("first")
-    known = written(every.groupBy("digest").agg(F.count("*").alias("times"), first).where("times > 1").select("digest", "times", F.col("first.doc_id").alias("id1"), F.col("first.doc").alias("doc1"), F.col("first.at").alias("at1")), "chunks-known")
+    digest = ["d1", "d2"]
+    first = F.min(F.struct((F.col("doc") < 0).alias("none"), "key", "doc", "at")).alias("first")
+    several = every.groupBy(*digest).agg(F.count("*").alias("times"), first).where("times > 1")
+    known = written(several.select(*digest, "times", F.col("first.key").alias("key1"), F.col("first.doc").alias("doc1"), F.col("first.at").alias("at1")), "chunks-known")
     many = F.col("times") * HOT > every.count()
     hot = F.broadcast(known.where(many).drop("times"))  # at most HOT rows, since the times add up to the count
-    rare = every.join(hot.select("digest"), "digest", "left_anti").join(known.where(~many).drop("times"), "digest")
-    again = every.join(hot, "digest").unionByName(rare).where((F.col("doc_id") != F.col("id1")) | (F.col("doc") != F.col("doc1")) | (F.col("at") != F.col("at1"))).select("doc_id", "doc", "at", "size", "id1", "doc1")
-    order = Window.partitionBy("doc_id", "doc").orderBy("at")
+    rare = every.join(hot.select(*digest), digest, "left_anti").join(known.where(~many).drop("times"), digest)
+    own = (F.col("key") == F.col("key1")) & (F.col("doc") == F.col("doc1")) & (F.col("at") == F.col("at1"))
+    again = every.join(hot, digest).unionByName(rare).where(~own).select("key", "doc", "at", "size", "key1", "doc1")
+    order = Window.partitionBy("key", "doc").orderBy("at")
     marked = again.withColumn("starts", (F.col("at") > F.coalesce(F.lag(F.col("at") + F.col("size")).over(order), F.lit(-1))).cast("int"))
     runs = marked.withColumn("run", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = runs.groupBy("doc_id", "doc", "run", "id1", "doc1").agg(F.min("at").alias("start"), F.max(F.col("at") + F.col("size")).alias("end"), F.sum("size").alias("bytes"))
-    found = parts.groupBy("doc_id", "doc", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max_by(F.struct("id1", "doc1"), F.struct("bytes", -F.col("id1"))).alias("first"))
-    return found.where(F.col("end") - F.col("start") >= least_bytes).select(_id(F.col("doc_id"), F.col("doc")).alias("doc_id"), "doc", "start", "end", _id(F.col("first.id1"), F.col("first.doc1")).alias("first_doc_id"))
+    parts = runs.groupBy("key", "doc", "run", "key1", "doc1").agg(F.min("at").alias("start"), F.max(F.col("at") + F.col("size")).alias("end"), F.sum("size").alias("bytes"))
+    best = F.max_by(F.struct("key1", "doc1"), F.struct("bytes", F.col("doc1") >= 0, F.bitwise_not("key1"), "doc1")).alias("first")
+    found = parts.groupBy("key", "doc", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), best)
+    return found.where(F.col("end") - F.col("start") >= least_bytes).select(_id(F.col("key"), F.col("doc")).alias("doc_id"), "key", "doc", "start", "end", _id(F.col("first.key1"), F.col("first.doc1")).alias("first_doc_id"))
 
 
 def removed(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """docs' own rows and columns, with the runs taken out of `text`."""
 
-    spans = runs.groupBy(F.col("doc_id").alias("_id"), F.col("doc").alias("_doc")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_runs"))
+    spans = runs.groupBy(F.col("key").alias("_key"), F.col("doc").alias("_doc")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_runs"))
     raw = F.col("text").cast("binary")
     kept = F.aggregate(
         "_runs", F.struct(F.lit(0).alias("at"), F.lit(b"").cast("binary").alias("out")),
         lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], F.substr(raw, a["at"] + 1, s["start"] - a["at"])).alias("out")),
         lambda a: F.concat(a["out"], F.substr(raw, a["at"] + 1)),
     )
-    joined = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (_doc(docs["doc_id"], docs["text"]) == F.col("_doc")), "left")
+    key, doc = _names(docs["doc_id"], docs["text"])
+    joined = docs.join(spans, (key == F.col("_key")) & (doc == F.col("_doc")), "left")
     return joined.withColumn("text", F.when(F.col("_runs").isNotNull(), kept.cast("string")).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row for each document that repeats something: doc_id, n_runs, removed_bytes, runs ("start:end" by comma), first_doc_ids (the documents that keep it)."""
-    return repeats(docs).groupBy("doc_id", "doc").agg(
+    return repeats(docs).groupBy("doc_id", "key", "doc").agg(
         F.count("*").alias("n_runs"), F.sum(F.col("end") - F.col("start")).cast("long").alias("removed_bytes"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end"))), lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("runs"),
         F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"),
-    ).drop("doc")
+    ).drop("key", "doc")

@@ -276,6 +276,37 @@ def test_repeats(docs, none, rows):
     assert op5_chunks.report(none).count() == 0 and {r.doc_id for r in op5_chunks.report(docs).collect()} == {r.doc_id for r in runs}
 
 
+def test_repeats_against_brute_force(spark):
+    """Each chunk of each text by the dictionary of all chunks that came before it; texts without an id, and several of one id, stay apart."""
+    r, table = np.random.default_rng(11), op5_chunks.gear()
+    words = [bytes(r.integers(97, 123, r.integers(2, 9), dtype=np.uint8)).decode() for _ in range(400)]
+    said = lambda n: " ".join(words[i] for i in r.integers(0, len(words), n))
+    passages = [said(60) for _ in range(3)]
+    texts = [(i % 40 if i % 3 else None, " ".join([said(r.integers(0, 80)), passages[i // 2 % 3], said(r.integers(0, 80))]) if i % 2 else said(120)) for i in range(120)]
+    texts += [texts[1], (None, ""), (None, None), (7, ""), (-5, texts[3][1]), (-(1 << 63), "x" * 3000), ((1 << 63) - 1, "x" * 3000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    rows = docs.select("doc_id", "text", *op5_chunks._names(docs["doc_id"], docs["text"])).distinct().collect()
+    assert len({(x.key, x.doc) for x in rows}) == len(set(texts))
+    first, found = {}, {}
+    for x in sorted(rows, key=lambda x: (x.doc < 0, x.key, x.doc)):
+        raw = (x.text or "").encode()
+        ends = op5_chunks.cuts(np.frombuffer(raw, np.uint8), table).tolist()
+        last = None
+        for s, e in zip([0, *ends], ends, strict=False):
+            if first.setdefault(raw[s:e], (x.key, x.doc, s)) == (x.key, x.doc, s):
+                continue
+            at = found.setdefault((x.key, x.doc), [])
+            if last == s:
+                at[-1][1] = e
+            else:
+                at.append([s, e])
+            last = e
+    want = {(k, d, s, e) for (k, d), at in found.items() for s, e in at if e - s >= op5_chunks.LEAST_BYTES}
+    runs = op5_chunks.repeats(docs).collect()
+    assert len(runs) == len(want) > 50 and {(x.key, x.doc, x.start, x.end) for x in runs} == want
+    assert {x.doc_id for x in runs if x.doc >= 0} == {x.key for x in runs if x.doc >= 0} and {x.doc_id for x in runs if x.doc < 0} == {None}
+
+
 # 7: media
 
 
