@@ -11,8 +11,10 @@ from loomgraph.operators import graph as G
 from loomgraph.operators import resolve as R
 from loomgraph.operators.graph import PropertyGraph
 from loomgraph.operators.scan import scan
+from loomgraph.plans import bindings as B
 from loomgraph.plans import imports as I
 from loomgraph.plans.routes import routes
+from loomgraph.plans.types import type_edges
 from loomgraph.sources import docs as D
 from loomgraph.sources import files as S
 from loomgraph.sources import workspace as W
@@ -124,9 +126,11 @@ def build(spark: SparkSession, root: str, include_tests: bool = True, max_loc: i
     facts = settled(S.facts(spark, root, max_loc, include_tests))
     files = facts.select(F.col("path").alias("id"), F.col("filename").alias("title"), "language", "loc", "module_path", "is_test", F.col("path").rlike("(?:^|/)(?:asv_bench|benchmarks?|bench)/").alias("is_benchmark"), "skip_reason", F.size("annotations").alias("annotation_count"))
     f = facts.select(F.col("path").alias("file_path"), "language", "module_path", "is_test", F.explode("functions").alias("f")).select("file_path", "language", "module_path", "is_test", "f.*")
+    f = B.promoted(f, B.FUNCTION_FLAGS, B.FUNCTION_TEXTS)
     f = R.keep_last(f, ["qualified_name", "signature", "file_path"], ["line_number"])
     functions = settled(R.overload_ids(f, "qualified_name", "signature", "id").withColumnRenamed("name", "title"))
-    classes = R.keep_last(facts.select(F.col("path").alias("file_path"), F.explode("classes").alias("c")).select("file_path", "c.*"), ["qualified_name"], ["file_path", "line_number"]).withColumnsRenamed({"qualified_name": "id", "name": "title"})
+    classes = B.promoted(facts.select(F.col("path").alias("file_path"), F.explode("classes").alias("c")).select("file_path", "c.*"), B.TYPE_FLAGS, B.TYPE_TEXTS)
+    classes = R.keep_last(classes, ["qualified_name"], ["file_path", "line_number"]).withColumnsRenamed({"qualified_name": "id", "name": "title"})
     label = F.when(F.col("kind").isin("struct",), "Struct").when(F.col("kind").isin("interface",), "Interface").when(F.col("kind") == "trait", "Trait").when(F.col("kind") == "protocol", "Protocol").when(F.col("kind") == "enum", "Enum").when(F.col("kind") == "mixin", "Mixin").otherwise("Class")
     classes = settled(classes.withColumn("_label", label))
     constants = R.keep_last(facts.select(F.col("path").alias("file_path"), F.explode("constants").alias("c")).select("file_path", "c.*"), ["qualified_name"], ["file_path", "line_number"]).withColumnsRenamed({"qualified_name": "id", "name": "title"})
@@ -153,8 +157,17 @@ def build(spark: SparkSession, root: str, include_tests: bool = True, max_loc: i
     }
     for x in ("Function", "Constant", "Class", "Struct", "Interface", "Trait", "Protocol", "Enum", "Mixin", "Element", "Selector"):
         edges["DEFINES", "File", x] = nodes[x].select(F.col("file_path").alias("src"), F.col("id").alias("dst")).distinct()
-    typed = G.union_all([nodes[x].select("id", "title", F.lit(x).alias("label")) for x in ("Class", "Struct", "Interface", "Trait", "Protocol", "Enum", "Mixin")])
-    _types(edges, typed, relations, functions)
+    typed = G.union_all([nodes[x].select("id", "title", F.lit(x).alias("label"), "file_path") for x in ("Class", "Struct", "Interface", "Trait", "Protocol", "Enum", "Mixin")])
+    named = facts.select(F.col("path").alias("file_path"), F.explode("imports").alias("i")).select("file_path", F.trim("i.name").alias("scope"))
+    named = named.unionByName(module_imports.select(F.col("src").alias("file_path"), F.col("dst").alias("scope")))
+    stubs = _types(edges, typed, relations, functions, named)
+    for x in ("Class", "Trait"):
+        outside = stubs.where(F.col("label") == x).select("id", "title", F.lit(True).alias("is_external"))
+        nodes[x] = nodes[x].withColumn("is_external", F.lit(False)).unionByName(outside, allowMissingColumns=True)
+    edges["BINDS", "Function", "Function"] = B.binds(functions)
+    seen = settled(B.exposes(functions, classes))
+    for x in ("Function", "Struct", "Enum"):
+        edges["EXPOSES", "Function", x] = seen.where(F.col("label") == x).select("src", "dst", "py_name")
     refs = lambda c: functions.select(F.col("id").alias("src"), "file_path", F.explode(c).alias("r")).select("src", "file_path", F.col("r.name").alias("name"), F.col("r.line").alias("line"))
     by_name = refs("references").join(constants.select(F.col("title").alias("name"), F.col("id").alias("dst")), "name").groupBy("src", "dst").agg(F.min("line").alias("line"))
     sites = facts.select(F.explode("sites").alias("s")).select("s.*")
@@ -178,7 +191,7 @@ def build(spark: SparkSession, root: str, include_tests: bool = True, max_loc: i
     if docs:
         d = settled(D.documents(spark, root))
         nodes["Doc"] = settled(D.nodes(d))
-        symbols = G.union_all([functions.select("id", "title", F.lit("Function").alias("label")), typed, constants.select("id", "title", F.lit("Constant").alias("label"))])
+        symbols = G.union_all([functions.select("id", "title", F.lit("Function").alias("label")), typed.drop("file_path"), constants.select("id", "title", F.lit("Constant").alias("label"))])
         told = settled(D.resolve_mentions(D.mentions(d), symbols))
         for x in D.SYMBOL_LABELS:
             edges["MENTIONS", "Doc", x] = told.where(F.col("dst_label") == x).select("src", "dst", "strategy")
@@ -215,13 +228,9 @@ def uses_type(functions: DataFrame, typed: DataFrame) -> DataFrame:
     return bits.select("src", "dst", "label", position.alias("position"))
 
 
-def _types(edges: dict[G.EdgeKey, DataFrame], typed: DataFrame, relations: DataFrame, functions: DataFrame) -> None:
-    """EXTENDS, IMPLEMENTS, HAS_METHOD and USES_TYPE, by the ends' labels. `extends` of an interface is an implementation."""
-    ends = relations.join(typed.select(F.col("id").alias("source"), F.col("label").alias("src_label")), "source").withColumn("_short", _last(F.col("target"))).join(typed.select(F.col("title").alias("_short"), F.col("id").alias("dst"), F.col("label").alias("dst_label")), "_short").where("source <> dst")
-    score = F.when(F.col("dst") == F.col("target"), 1000).otherwise(0) + F.when(_owner(F.col("dst")) == _owner(F.col("source")), 100).otherwise(0)
-    best = R.scored_best(ends, ["source", "src_label", "relation", "target"], score, ["dst"], "dst").join(typed.select(F.col("id").alias("dst"), F.col("label").alias("dst_label")), "dst")
-    best = settled(best.withColumn("type", F.when((F.col("relation") == "extends") & F.col("dst_label").isin("Interface", "Trait", "Protocol") & ~F.col("src_label").isin("Interface", "Trait", "Protocol"), "IMPLEMENTS").otherwise(F.upper("relation"))).select("type", F.col("source").alias("src"), "dst", "src_label", "dst_label").distinct())
-    best = best.withColumn("type", F.when(F.col("type") == "EXTENDS", "EXTENDS").otherwise("IMPLEMENTS"))
+def _types(edges: dict[G.EdgeKey, DataFrame], typed: DataFrame, relations: DataFrame, functions: DataFrame, named: DataFrame) -> DataFrame:
+    """EXTENDS, IMPLEMENTS, HAS_METHOD and USES_TYPE, by the ends' labels. Returns the types outside the tree."""
+    best, stubs = (settled(x) for x in type_edges(relations, typed, named))
     for r in best.select("type", "src_label", "dst_label").distinct().collect():  # a few label pairs
         edges[r.type, r.src_label, r.dst_label] = best.where((F.col("type") == r.type) & (F.col("src_label") == r.src_label) & (F.col("dst_label") == r.dst_label)).select("src", "dst")
     methods = functions.where("owner IS NOT NULL").select(F.col("owner").alias("src"), F.col("id").alias("dst")).join(typed.select(F.col("id").alias("src"), "label"), "src")
@@ -229,3 +238,4 @@ def _types(edges: dict[G.EdgeKey, DataFrame], typed: DataFrame, relations: DataF
     for x in ("Class", "Struct", "Interface", "Trait", "Protocol", "Enum", "Mixin"):
         edges["HAS_METHOD", x, "Function"] = methods.where(F.col("label") == x).select("src", "dst")
         edges["USES_TYPE", "Function", x] = used.where(F.col("label") == x).select("src", "dst", "position")
+    return stubs

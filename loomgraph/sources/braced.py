@@ -542,6 +542,7 @@ def _scope(f: _File, top: int, bottom: int) -> None:
     t, pair, sep = f.tok.text, f.tok.pair, f.separator
     found: list[tuple[dict, int, int]] = []
     todo: list[tuple[int, int, str | None, int, str]] = [(top, bottom, None, 0, f.module)]
+    exposed: list[tuple[int, int]] = []  # blocks of methods that Python sees
     while todo:
         lo, hi, owner, depth, scope = todo.pop()
         start = i = lo
@@ -578,7 +579,9 @@ def _scope(f: _File, top: int, bottom: int) -> None:
                 what, name, bases = kind
                 q = sep.join([scope, name])
                 if what not in ("impl", "extension"):
-                    f.out["classes"].append({"name": name, "qualified_name": q, "kind": what, "line_number": f.line(_first(f, start, i)), "end_line": f.line(end), "docstring": None})
+                    f.out["classes"].append({"name": name, "qualified_name": q, "kind": what, "line_number": f.line(_first(f, start, i)), "end_line": f.line(end), "docstring": None, "decorators": (marks := _decorators(f, start, i)), "metadata": _seen_type(f, marks)})
+                elif f.language == "rust" and "pymethods" in _decorators(f, start, i):
+                    exposed.append((i, end))
                 f.out["relations"] += [{"source": q, "target": base, "relation": relation} for relation, base in bases]
                 todo.append((i + 1, end, q, 0, q))
             elif head:
@@ -594,12 +597,38 @@ def _scope(f: _File, top: int, bottom: int) -> None:
         skipped = f.skip.pop(lo - 1, None)
         one["calls"] = _calls(f, lo, hi)
         one["branch_count"], one["max_nesting"] = _complexity(f, lo, hi)
+        if f.language == "rust":
+            _seen_function(one, one["nesting_depth"] == 0 and any(a < lo <= b for a, b in exposed))
         one["is_recursive"] = any(re.split(r"\.|::", c["name"])[-1] == one["name"] for c in one["calls"])
         if skipped is not None:
             f.skip[lo - 1] = skipped
         f.out["functions"].append(one)
 
 
+def _python_name(marks: list[str], which: str) -> dict[str, str]:
+    told = next((m for x in marks if x.startswith(which) and (m := re.search(r'name\s*=\s*"([^"]+)"', x))), None)
+    return {"py_name": told[1]} if told else {}
+
+
+def _seen_type(f: _File, marks: list[str]) -> dict[str, str]:
+    """What the attributes of a Rust type say about Python."""
+    return {"is_pyclass": "true"} | _python_name(marks, "pyclass") if f.language == "rust" and any(x.startswith("pyclass") for x in marks) else {}
+
+
+def _seen_function(one: dict, in_methods: bool) -> None:
+    """What the attributes of a Rust function, or those of the block around it, say about Python and C."""
+    marks, told = one["decorators"], {}
+    python, foreign = in_methods or any(re.match(r"(?:pyfunction|new)\b", x) for x in marks), any("no_mangle" in x for x in marks)
+    if python or foreign:
+        told = {"is_ffi": "true", "ffi_kind": "pyo3" if python else "extern_c"} | _python_name(marks, "pyfunction")
+    if python:
+        told["is_pymethod"] = "true"
+        one["visibility"] = "pub(py)" if one["visibility"] == "private" else one["visibility"]
+    if any(re.match(r"pymodule\b", x) for x in marks):
+        told |= {"is_pymodule": "true", "is_ffi": "true", "ffi_kind": "pyo3"}
+    one["metadata"] = told
+
+
 def _first(f: _File, a: int, b: int) -> int:
     """The token where a definition begins, behind its annotations."""
     i, t = a, f.tok.text

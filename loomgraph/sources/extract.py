@@ -61,7 +61,7 @@ def generated(text: str) -> bool:
 
 
 def function(**given: Any) -> dict:
-    base = {"name": "", "qualified_name": "", "visibility": "public", "signature": "", "line_number": 1, "end_line": 1, "is_async": False, "is_method": False, "docstring": None, "return_type": None, "decorators": [], "calls": [], "function_refs": [], "references": [], "parameters": [], "branch_count": 0, "param_count": 0, "max_nesting": 0, "is_recursive": False, "procedure_names": [], "nesting_depth": 0, "owner": None}
+    base = {"name": "", "qualified_name": "", "visibility": "public", "signature": "", "line_number": 1, "end_line": 1, "is_async": False, "is_method": False, "docstring": None, "return_type": None, "decorators": [], "calls": [], "function_refs": [], "references": [], "parameters": [], "branch_count": 0, "param_count": 0, "max_nesting": 0, "is_recursive": False, "procedure_names": [], "nesting_depth": 0, "owner": None, "metadata": {}}
     return base | given
 
 
@@ -100,7 +100,7 @@ def python(path: str, text: str, root: str) -> dict[str, list[dict]]:
         for n in ast.iter_child_nodes(node):
             if isinstance(n, ast.ClassDef):
                 q = ".".join([module, *scope, n.name])
-                out["classes"].append({"name": n.name, "qualified_name": q, "kind": "class", "line_number": n.lineno, "end_line": n.end_lineno, "docstring": ast.get_docstring(n)})
+                out["classes"].append({"name": n.name, "qualified_name": q, "kind": "class", "line_number": n.lineno, "end_line": n.end_lineno, "docstring": ast.get_docstring(n), "decorators": [ast.unparse(d) for d in n.decorator_list], "metadata": {}})
                 out["relations"] += [{"source": q, "target": b, "relation": "extends"} for e in n.bases if (b := _dotted(e))]
                 stack.append((n, [*scope, n.name], q, depth))
             elif isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef):

@@ -15,9 +15,9 @@ from loomgraph.sources import extract as X
 from loomgraph.sources.languages import EXTENSIONS, SKIPPED
 
 _SITE = "array<struct<name:string,line:bigint>>"
-FUNCTION = f"struct<name:string,qualified_name:string,visibility:string,signature:string,line_number:bigint,end_line:bigint,is_async:boolean,is_method:boolean,docstring:string,return_type:string,decorators:array<string>,calls:{_SITE},function_refs:{_SITE},references:{_SITE},parameters:array<struct<name:string,type_annotation:string,kind:string>>,branch_count:bigint,param_count:bigint,max_nesting:bigint,is_recursive:boolean,procedure_names:array<string>,nesting_depth:bigint,owner:string>"
+FUNCTION = f"struct<name:string,qualified_name:string,visibility:string,signature:string,line_number:bigint,end_line:bigint,is_async:boolean,is_method:boolean,docstring:string,return_type:string,decorators:array<string>,calls:{_SITE},function_refs:{_SITE},references:{_SITE},parameters:array<struct<name:string,type_annotation:string,kind:string>>,branch_count:bigint,param_count:bigint,max_nesting:bigint,is_recursive:boolean,procedure_names:array<string>,nesting_depth:bigint,owner:string,metadata:map<string,string>>"
 FACTS = (
-    f"functions array<{FUNCTION}>, classes array<struct<name:string,qualified_name:string,kind:string,line_number:bigint,end_line:bigint,docstring:string>>, "
+    f"functions array<{FUNCTION}>, classes array<struct<name:string,qualified_name:string,kind:string,line_number:bigint,end_line:bigint,docstring:string,decorators:array<string>,metadata:map<string,string>>>, "
     "constants array<struct<name:string,qualified_name:string,kind:string,owner:string,line_number:bigint,value_preview:string>>, relations array<struct<source:string,target:string,relation:string>>, "
     f"imports {_SITE}, elements array<struct<tag:string,qualified_name:string,line_number:bigint,column:bigint,text:string,parent:string>>, selectors array<struct<name:string,qualified_name:string,line_number:bigint>>, "
     "transfers array<struct<caller:string,target:string,kind:string,line:bigint>>, sites array<struct<caller:string,target:string,opcode:string,access:string,line:bigint>>, submodules array<string>"
