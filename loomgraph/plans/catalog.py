@@ -17,6 +17,8 @@ from loomgraph.operators import revisions as V
 from loomgraph.operators.scan import scan
 from loomgraph.plans import cypher
 from loomgraph.plans.tables import purchase_graph, table, trade_graph
+from loomgraph.plans.types import nearest_types as nearest
+from loomgraph.sources.docs import resolve_mentions
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -372,6 +374,52 @@ def prefix_modules(spark, d):
     return rows.where(~F.col("m.leaf").rlike("^[0-9]+$")).select("m.module", "m.depth").distinct()
 
 
+@query("""WITH t AS (SELECT DISTINCT concat_ws('.', p_type, p_brand, split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)) AS id, split_part(p_name, ' ', 2) AS title,
+  CASE WHEN p_size % 2 = 0 THEN 'Class' ELSE 'Interface' END AS label FROM part),
+sc AS (SELECT p_brand AS source, p_type || '.' || p_brand AS scope FROM part UNION SELECT p_brand, p_type FROM part WHERE p_size > 25),
+s AS (SELECT DISTINCT p_brand AS source, split_part(p_name, ' ', 2) AS target, p_size % 3 = 0 AS prefers_interface FROM part),
+near AS (SELECT t.id, sc.source, max(length(scope)) AS n FROM t JOIN sc ON starts_with(t.id, scope || '.') GROUP BY ALL),
+c AS (SELECT s.*, t.id, t.label, CASE WHEN (t.label = 'Interface') = prefers_interface THEN 100 ELSE 0 END + coalesce(near.n, 0) AS score
+  FROM s JOIN t ON t.title = s.target LEFT JOIN near ON near.id = t.id AND near.source = s.source),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, target, prefers_interface ORDER BY score DESC, label = 'Interface' DESC, id DESC) AS pos FROM c)
+SELECT source, target, prefers_interface, CAST(score AS BIGINT) AS score, id AS dst, label AS dst_label FROM r WHERE pos = 1""")
+def nearest_types(spark, d):
+    """The choice behind EXTENDS and IMPLEMENTS: of all parts of a name the one nearest to a brand, by kind and longest scope."""
+    part, words = table(spark, d, "part"), F.split("p_name", " ")
+    typed = part.select(F.concat_ws(".", "p_type", "p_brand", words[0], words[1]).alias("id"), words[1].alias("title"), F.when(F.col("p_size") % 2 == 0, "Class").otherwise("Interface").alias("label")).distinct()
+    scope = part.select(F.col("p_brand").alias("source"), F.concat_ws(".", "p_type", "p_brand").alias("scope")).union(part.where("p_size > 25").select("p_brand", "p_type")).distinct()
+    sites = part.select(F.col("p_brand").alias("source"), words[1].alias("target"), (F.col("p_size") % 3 == 0).alias("prefers_interface")).distinct()
+    return nearest(sites, typed, scope).withColumn("score", F.col("score").cast("long"))
+
+
+@query("""WITH sy AS (SELECT DISTINCT concat_ws('.', 'pkg', p_brand, split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)) AS id, split_part(p_name, ' ', 2) AS title, 'Constant' AS label FROM part
+  UNION ALL SELECT 'lib.Supp' || s_suppkey, 'Supp' || s_suppkey, 'Function' FROM supplier
+  UNION ALL SELECT 'lib.Kind.Supp' || s_suppkey, 'Supp' || s_suppkey, 'Function' FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT DISTINCT 'lib.Kind', 'Kind', 'Class' FROM supplier),
+k AS (SELECT p_type AS src, concat_ws('.', CASE WHEN p_partkey % 3 = 0 THEN 'pkg' END, CASE WHEN p_partkey % 3 < 2 THEN p_brand END, split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)) AS token, p_size > 10 AS strong FROM part
+  UNION ALL SELECT 'n' || s_nationkey, 'x.Supp' || s_suppkey, true FROM supplier UNION ALL SELECT 'n' || s_nationkey, 'Supp' || s_suppkey, s_suppkey % 5 > 0 FROM supplier),
+g AS (SELECT token, bool_or(strong) AS strong, regexp_extract(token, '[^.]*$') AS last, contains(token, '.') AS several FROM k GROUP BY token),
+f AS (SELECT g.token, sy.id, ends_with(sy.id, '.' || g.token) AS suf, NOT starts_with(sy.id, 'lib.Kind.') AS free FROM g JOIN sy ON sy.title = g.last WHERE g.strong),
+a AS (SELECT token, count(*) AS n, min(id) AS one, count(*) FILTER (suf) AS ns, min(id) FILTER (suf) AS sid, count(*) FILTER (free) AS nf, min(id) FILTER (free) AS fid FROM f GROUP BY token),
+r AS (SELECT g.token, CASE WHEN x.id IS NOT NULL THEN 1 WHEN several AND ns = 1 THEN 2 WHEN several AND n = 1 THEN 3 WHEN nf = 1 THEN 4 END AS how, CASE how WHEN 1 THEN x.id WHEN 2 THEN sid WHEN 3 THEN one WHEN 4 THEN fid END AS dst
+  FROM g LEFT JOIN sy x ON x.id = g.token LEFT JOIN a ON a.token = g.token)
+SELECT k.src, r.dst, sy.label AS dst_label, CASE min(how) WHEN 1 THEN 'exact' WHEN 2 THEN 'suffix' WHEN 3 THEN 'name' ELSE 'module_level' END AS strategy
+FROM k JOIN r ON r.token = k.token JOIN sy ON sy.id = r.dst WHERE how IS NOT NULL GROUP BY ALL""")
+def mention_strategies(spark, d):
+    """The resolution behind MENTIONS: names of parts and suppliers, given in full, in part or bare, by four strategies."""
+    part, supplier, words = table(spark, d, "part"), table(spark, d, "supplier"), F.split("p_name", " ")
+    supp = F.concat(F.lit("Supp"), F.col("s_suppkey"))
+    kind = lambda rows, prefix: rows.select(F.concat(F.lit(prefix), supp).alias("id"), supp.alias("title"), F.lit("Function").alias("label"))
+    goods = part.select(F.concat_ws(".", F.lit("pkg"), "p_brand", words[0], words[1]).alias("id"), words[1].alias("title"), F.lit("Constant").alias("label")).distinct()
+    owner = supplier.select(F.lit("lib.Kind").alias("id"), F.lit("Kind").alias("title"), F.lit("Class").alias("label")).distinct()
+    symbols = goods.unionByName(kind(supplier, "lib.")).unionByName(kind(supplier.where("s_suppkey % 2 = 0"), "lib.Kind.")).unionByName(owner)
+    third = F.col("p_partkey") % 3
+    named = part.select(F.col("p_type").alias("id"), F.concat_ws(".", F.when(third == 0, "pkg"), F.when(third < 2, F.col("p_brand")), words[0], words[1]).alias("token"), (F.col("p_size") > 10).alias("strong"))
+    nation = F.concat(F.lit("n"), F.col("s_nationkey")).alias("id")
+    said = supplier.select(nation, F.concat(F.lit("x."), supp).alias("token"), F.lit(True).alias("strong")).union(supplier.select(nation, supp, F.col("s_suppkey") % 5 > 0))
+    found = named.union(said).groupBy("id", "token").agg(F.max("strong").alias("strong"))
+    return resolve_mentions(found, symbols)
+
+
 # Pages and documents
 
 

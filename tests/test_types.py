@@ -74,6 +74,6 @@ def test_metadata(graph):
 
 
 def test_binds_and_exposes(graph):
-    assert tails(graph, "BINDS") == {("ext.python.native.Set.add", "ext.src.lib.Set.add")}
+    assert tails(graph, "BINDS") == {("ext.python.native.Set.add", "ext.src.Set.add")}
     rows = graph.edges(("EXPOSES",)).collect()
     assert {(r.src.split("::")[-1], r.dst.split("::")[-1], r.py_name) for r in rows} == {("native", "PyBag", "Bag"), ("native", "Set", "Set"), ("native", "Dup", "Dup"), ("native", "run", "run_it")}
