@@ -12,13 +12,18 @@ _LOCAL: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir as the session has it. Where it is unset: a temporary
-    folder for a session on one machine, and a folder in the warehouse on a cluster, where a machine's own folders are not shared."""
+    folder for a session on one machine, and a folder in the warehouse on a cluster, unless that is a machine's own folder, which isn't shared."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at:
         return at
     if spark.sparkContext.master.split("[")[0] == "local":
-        return _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="loomgraph-"))
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.loomgraph-scratch"
+        if "dir" not in _LOCAL:
+            _LOCAL["dir"] = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
+        return _LOCAL["dir"]
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith(("file:", "/")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share: the warehouse is a folder of one machine")
+    return warehouse + "/.loomgraph-scratch"
 
 
 def written(df: DataFrame, name: str = "step", **options: str) -> DataFrame:

@@ -121,12 +121,15 @@ def symbol_links(constants: DataFrame, functions: DataFrame) -> DataFrame:
     return asked.join(known.groupBy("dst").agg(F.min("label").alias("label")), "dst").select("src", "dst", "type", "label", "line").distinct()
 
 
-def build(spark: SparkSession, root: str, include_tests: bool = True, max_loc: int | None = None, docs: bool = True) -> PropertyGraph:
-    """The graph of a tree. Facts are parsed once and written; all else is joins over them."""
-    facts = settled(S.facts(spark, root, max_loc, include_tests))
+def build(spark: SparkSession, root: str, include_tests: bool = True, max_loc: int | None = None, docs: bool = True, known: DataFrame | None = None) -> PropertyGraph:
+    """The graph of a tree. Facts are parsed once and written; all else is joins over them.
+
+    known: the facts of an earlier graph of this tree (`graph.facts`), made with the same arguments: only files that have changed since are parsed."""
+    facts = settled(S.facts(spark, root, max_loc, include_tests, known))
     files = facts.select(F.col("path").alias("id"), F.col("filename").alias("title"), "language", "loc", "module_path", "is_test", F.col("path").rlike("(?:^|/)(?:asv_bench|benchmarks?|bench)/").alias("is_benchmark"), "skip_reason", F.size("annotations").alias("annotation_count"))
     f = facts.select(F.col("path").alias("file_path"), "language", "module_path", "is_test", F.explode("functions").alias("f")).select("file_path", "language", "module_path", "is_test", "f.*")
     f = B.promoted(f, B.FUNCTION_FLAGS, B.FUNCTION_TEXTS)
+    f = R.nested_twins(f, ["file_path", "qualified_name"], "line_number", "qualified_name", F.col("nesting_depth") > 0)
     f = R.keep_last(f, ["qualified_name", "signature", "file_path"], ["line_number"])
     functions = settled(R.overload_ids(f, "qualified_name", "signature", "id").withColumnRenamed("name", "title"))
     classes = B.promoted(facts.select(F.col("path").alias("file_path"), F.explode("classes").alias("c")).select("file_path", "c.*"), B.TYPE_FLAGS, B.TYPE_TEXTS)
@@ -198,7 +201,7 @@ def build(spark: SparkSession, root: str, include_tests: bool = True, max_loc: i
         edges["DOCUMENTS", "Doc", "Doc"], edges["DOCUMENTS", "Doc", "File"] = D.linked(d, files)
         edges["HAS_DOC", "Project", "Doc"] = d.select(F.lit(project["name"]).alias("src"), F.col("id").alias("dst"))
     g = PropertyGraph(nodes, edges)
-    g.call_stats = stats
+    g.call_stats, g.facts = stats, facts
     return g
 
 

@@ -85,16 +85,20 @@ def sources(spark: SparkSession, root: str) -> DataFrame:
     return found.crossJoin(F.broadcast(cpp)).withColumn("language", F.when(F.col("_cpp") & F.col("path").endswith(".h"), "cpp").otherwise(F.col("language"))).drop("_cpp")
 
 
-def facts(spark: SparkSession, root: str, max_loc: int | None = None, include_tests: bool = True) -> DataFrame:
-    """One row per file: path, filename, language, loc, module_path, is_test, skip_reason, annotations and the fact lists.
+def facts(spark: SparkSession, root: str, max_loc: int | None = None, include_tests: bool = True, known: DataFrame | None = None) -> DataFrame:
+    """One row per file: path, filename, digest (of its content), language, loc, module_path, is_test, skip_reason, annotations and the fact lists.
+
+    known: facts of an earlier state of this tree, made with the same arguments. Files that have the same path, content and language as there aren't parsed again.
 
     Files that are too large, generated, or don't parse have no facts and say why."""
     import pyarrow as pa
 
     name = os.path.basename(root.rstrip("/"))
-    found = sources(spark, root).withColumn("is_test", is_test(F.col("path")))
+    found = sources(spark, root).withColumn("is_test", is_test(F.col("path"))).withColumn("digest", F.sha2("content", 256))
     if not include_tests:
         found = found.where("NOT is_test")
+    same = ["path", "digest", "language"]
+    todo = found if known is None else found.join(known.select(*same), same, "left_anti")
 
     def run(batches):
         for batch in batches:
@@ -116,9 +120,10 @@ def facts(spark: SparkSession, root: str, max_loc: int | None = None, include_te
             names = ["path", "loc", "module_path", "skip_reason", "annotations", "facts"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names)
 
-    parsed = found.select("path", "language", "content").repartition(max(1, spark.sparkContext.defaultParallelism * 4)).mapInArrow(run, "path string, loc bigint, module_path string, skip_reason string, annotations array<struct<kind:string,text:string,line:bigint>>, facts string")
-    shown = parsed.join(found.select("path", "language", "is_test"), "path")
-    return shown.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "language", "loc", "module_path", "is_test", "skip_reason", "annotations", F.from_json("facts", FACTS).alias("f")).select("*", "f.*").drop("f")
+    parsed = todo.select("path", "language", "content").repartition(max(1, spark.sparkContext.defaultParallelism * 4)).mapInArrow(run, "path string, loc bigint, module_path string, skip_reason string, annotations array<struct<kind:string,text:string,line:bigint>>, facts string")
+    shown = parsed.join(todo.select("path", "digest", "language", "is_test"), "path")
+    new = shown.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "digest", "language", "loc", "module_path", "is_test", "skip_reason", "annotations", F.from_json("facts", FACTS).alias("f")).select("*", "f.*").drop("f")
+    return new if known is None else new.unionByName(known.join(found.select(*same), same, "left_semi"))
 
 
 def manifest(root: str) -> dict:

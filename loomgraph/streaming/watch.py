@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomgraph.functions import store
+from loomgraph.operators.graph import PropertyGraph
+from loomgraph.plans import codegraph
 from loomgraph.sources.docs import PRECEDENCE
 from loomgraph.sources.files import language_of, walk
 
@@ -38,10 +40,20 @@ def require_fresh(spark: SparkSession, path: str, root: str | None = None) -> No
         raise RuntimeError(f"{s['verdict']}: {s['reason']}")
 
 
+def refresh(spark: SparkSession, root: str, before: str | None, after: str, **options) -> PropertyGraph:
+    """The graph of a tree as it is now, parsing only what has changed: facts are read from `before` (None at first) and written to `after`.
+
+    Facts of files that are gone or changed are dropped with all that came from them. Names are resolved anew, since a new definition can make
+    a name of any file ambiguous; that is joins over the facts. options: those of `codegraph.build`, the same each time."""
+    g = codegraph.build(spark, root, known=spark.read.parquet(before) if before else None, **options)
+    g.facts.write.parquet(after)
+    return g
+
+
 def watch(spark: SparkSession, root: str, checkpoint: str, rebuild: Callable[[DataFrame], None]) -> StreamingQuery:
     """A stream over new and changed files: each batch of changed paths is handed to `rebuild` once.
 
-    Facts of a file replace its earlier facts; names are resolved over the whole graph, so `rebuild` redoes that."""
+    `refresh` is what a `rebuild` calls; it finds the changed files by their contents, so a batch that is handed over twice does no harm."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(root)
     changed = files.where(language_of(F.col("path")).isNotNull() | F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)).isin(*PRECEDENCE)).select("path", "modificationTime")
 
