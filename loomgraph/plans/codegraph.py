@@ -17,6 +17,7 @@ from loomgraph.plans.routes import routes
 from loomgraph.plans.types import type_edges
 from loomgraph.sources import docs as D
 from loomgraph.sources import files as S
+from loomgraph.sources import manifests as M
 from loomgraph.sources import workspace as W
 from loomgraph.sources.languages import GROUPS, NOISE
 
@@ -124,8 +125,14 @@ def symbol_links(constants: DataFrame, functions: DataFrame) -> DataFrame:
 def build(spark: SparkSession, root: str, include_tests: bool = True, max_loc: int | None = None, docs: bool = True, known: DataFrame | None = None) -> PropertyGraph:
     """The graph of a tree. Facts are parsed once and written; all else is joins over them.
 
+    root: a folder, or a manifest in it. Where the manifest at the top tells folders of sources (`manifests.roots`), only files below them are read, those of tests with
+    include_tests alone; documents come from the whole tree.
     known: the facts of an earlier graph of this tree (`graph.facts`), made with the same arguments: only files that have changed since are parsed."""
-    facts = settled(S.facts(spark, root, max_loc, include_tests, known))
+    manifest = root.rstrip("/").rsplit("/", 1)[-1] if root.endswith(M.NAMES) else None
+    root = root.rstrip("/")[: -len(manifest) - 1] if manifest else root
+    project = M.read(spark, root, manifest)
+    scope = M.scope(spark, root, project, include_tests)
+    facts = settled(S.facts(spark, root, max_loc, include_tests, known, scope))
     files = facts.select(F.col("path").alias("id"), F.col("filename").alias("title"), "language", "loc", "module_path", "is_test", F.col("path").rlike("(?:^|/)(?:asv_bench|benchmarks?|bench)/").alias("is_benchmark"), "skip_reason", F.size("annotations").alias("annotation_count"))
     f = facts.select(F.col("path").alias("file_path"), "language", "module_path", "is_test", F.explode("functions").alias("f")).select("file_path", "language", "module_path", "is_test", "f.*")
     f = B.promoted(f, B.FUNCTION_FLAGS, B.FUNCTION_TEXTS)
@@ -142,21 +149,19 @@ def build(spark: SparkSession, root: str, include_tests: bool = True, max_loc: i
     imports, module_imports = (settled(x) for x in I.resolved(facts, modules, settled(W.configurations(spark, root))))
     call_edges, stats = calls(functions, relations, imports)
     route, handles = (settled(x) for x in routes(functions, facts, constants))
-    project = S.manifest(root) if not root.startswith(("hdfs:", "s3", "viewfs:")) else {"name": root.rstrip("/").rsplit("/", 1)[-1], "source": "(inferred)", "dependencies": []}
-    nodes: dict[str, DataFrame] = {"File": files, "Function": functions.drop("calls", "function_refs", "references"), "Constant": constants, "Route": route, "Module": modules.select("id", _last(F.col("id")).alias("title")), "Project": spark.createDataFrame([(project["name"], project["name"], project["source"])], "id string, title string, manifest string")}
+    nodes: dict[str, DataFrame] = {"File": files, "Function": functions.drop("calls", "function_refs", "references"), "Constant": constants, "Route": route, "Module": modules.select("id", _last(F.col("id")).alias("title")), "Project": M.node(spark, project, files)}
     for x in ("Class", "Struct", "Interface", "Trait", "Protocol", "Enum", "Mixin"):
         nodes[x] = classes.where(F.col("_label") == x).drop("_label")
     nodes["Element"] = facts.select(F.col("path").alias("file_path"), F.explode("elements").alias("e")).select(F.col("e.qualified_name").alias("id"), F.col("e.text").alias("title"), "file_path", "e.tag", "e.line_number", "e.parent")
     nodes["Selector"] = facts.select(F.col("path").alias("file_path"), F.explode("selectors").alias("e")).select(F.col("e.qualified_name").alias("id"), F.col("e.name").alias("title"), "file_path", "e.line_number")
     procedures = functions.select(F.col("id").alias("dst"), F.explode("procedure_names").alias("src")).distinct()
     nodes["Procedure"] = procedures.select(F.col("src").alias("id"), F.col("src").alias("title")).distinct()
-    deps = spark.createDataFrame(project["dependencies"], "name string, version string, grp string") if project["dependencies"] else spark.createDataFrame([], "name string, version string, grp string")
-    nodes["Dependency"] = deps.select(F.concat_ws("::", "name", "grp").alias("id"), F.col("name").alias("title"), "version", F.col("grp").alias("group")).distinct()
+    nodes["Dependency"] = M.dependencies(spark, project)
     edges: dict[G.EdgeKey, DataFrame] = {
         ("IMPORTS", "File", "File"): imports, ("IMPORTS", "File", "Module"): module_imports, ("CALLS", "Function", "Function"): call_edges, ("HANDLES", "Route", "Function"): handles, ("IMPLEMENTED_BY", "Procedure", "Function"): procedures,
         ("HAS_FILE", "Module", "File"): files.select(F.col("module_path").alias("src"), F.col("id").alias("dst")), ("HAS_SUBMODULE", "Module", "Module"): I.submodules(facts, modules),
-        ("DEPENDS_ON", "Project", "Dependency"): nodes["Dependency"].select(F.lit(project["name"]).alias("src"), F.col("id").alias("dst")), ("HAS_SOURCE", "Project", "File"): files.select(F.lit(project["name"]).alias("src"), F.col("id").alias("dst")),
-        ("HAS_CHILD", "Element", "Element"): nodes["Element"].where("parent IS NOT NULL").select(F.col("parent").alias("src"), F.col("id").alias("dst")), ("CALLS_SERVICE", "Function", "Route"): service_calls(S.sources(spark, root), functions, route),
+        ("DEPENDS_ON", "Project", "Dependency"): nodes["Dependency"].select(F.lit(project.name).alias("src"), F.col("id").alias("dst")), ("HAS_SOURCE", "Project", "File"): files.select(F.lit(project.name).alias("src"), F.col("id").alias("dst")),
+        ("HAS_CHILD", "Element", "Element"): nodes["Element"].where("parent IS NOT NULL").select(F.col("parent").alias("src"), F.col("id").alias("dst")), ("CALLS_SERVICE", "Function", "Route"): service_calls(S.sources(spark, root, scope), functions, route),
     }
     for x in ("Function", "Constant", "Class", "Struct", "Interface", "Trait", "Protocol", "Enum", "Mixin", "Element", "Selector"):
         edges["DEFINES", "File", x] = nodes[x].select(F.col("file_path").alias("src"), F.col("id").alias("dst")).distinct()
@@ -199,7 +204,7 @@ def build(spark: SparkSession, root: str, include_tests: bool = True, max_loc: i
         for x in D.SYMBOL_LABELS:
             edges["MENTIONS", "Doc", x] = told.where(F.col("dst_label") == x).select("src", "dst", "strategy")
         edges["DOCUMENTS", "Doc", "Doc"], edges["DOCUMENTS", "Doc", "File"] = D.linked(d, files)
-        edges["HAS_DOC", "Project", "Doc"] = d.select(F.lit(project["name"]).alias("src"), F.col("id").alias("dst"))
+        edges["HAS_DOC", "Project", "Doc"] = d.select(F.lit(project.name).alias("src"), F.col("id").alias("dst"))
     g = PropertyGraph(nodes, edges)
     g.call_stats, g.facts = stats, facts
     return g

@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 import os
 import subprocess
-import tomllib
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.operators import resolve as R
 from loomgraph.sources import extract as X
 from loomgraph.sources.languages import EXTENSIONS, SKIPPED
 
@@ -37,7 +37,7 @@ def _left_out(spark: SparkSession, top: str) -> DataFrame:
         store, base = afs.FileSystem.from_uri(top if "://" in top else "file://" + os.path.abspath(top.removeprefix("file:")))
     except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
         listed = spark.createDataFrame([(unquote(f),) for f in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(top).inputFiles()], "rel string")
-        return listed.select(_below("rel", top).alias("rel"), F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modification_time"), F.lit(b"").alias("content"))
+        return listed.select(below("rel", top).alias("rel"), F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modification_time"), F.lit(b"").alias("content"))
     infos = ((i.path[len(base) :].strip("/"), i.size, i.mtime) for i in store.get_file_info(afs.FileSelector(base, recursive=True)) if i.is_file)
     found = [x for x in infos if not x[1] or any(s.startswith("_") for s in x[0].split("/"))]
 
@@ -53,7 +53,7 @@ def _left_out(spark: SparkSession, top: str) -> DataFrame:
     return spark.createDataFrame(found, "rel string, length long, modification_time timestamp").mapInArrow(run, schema)
 
 
-def _below(path: str, top: str) -> Column:
+def below(path: str, top: str) -> Column:
     return F.regexp_replace(F.regexp_replace(path, "^file:/+", "/"), "^.*?" + "\\Q" + top.removeprefix("file://") + "\\E/", "")
 
 
@@ -61,7 +61,7 @@ def walk(spark: SparkSession, root: str) -> DataFrame:
     """path (below root), length, modification_time, content of all files, but for hidden and generated directories. The root itself is never skipped."""
     top = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(top).where("length > 0")
-    files = files.select(_below("path", top).alias("path"), "length", F.col("modificationTime").alias("modification_time"), "content")
+    files = files.select(below("path", top).alias("path"), "length", F.col("modificationTime").alias("modification_time"), "content")
     more = _left_out(spark, top).withColumnRenamed("rel", "path").join(files.select("path"), "path", "left_anti")
     every = files.unionByName(more)
     parts = F.split("path", "/")
@@ -78,23 +78,33 @@ def is_test(path: Column) -> Column:
     return F.arrays_overlap(F.split(path, "/"), F.array(*(F.lit(x) for x in ("test", "tests", "__tests__", "spec", "specs")))) | path.rlike(r"(?:^|/)test_[^/]*\.py$|_test\.(?:py|go|dart)$|\.(?:test|spec)\.[jt]sx?$|Tests?\.(?:java|cs|swift)$")
 
 
-def sources(spark: SparkSession, root: str) -> DataFrame:
-    """Files in a supported language; `.h` files are C++ where the tree has C++ files."""
+def folders(path: Column) -> Column:
+    """Folders above a path, the tree's own ("") last."""
+    up = R.prefixes(F.regexp_extract(path, "^(.*)/[^/]*$", 1), "/")
+    return F.array_distinct(F.concat(up, F.array(F.lit(""))))
+
+
+def sources(spark: SparkSession, root: str, scope: DataFrame | None = None) -> DataFrame:
+    """Files in a supported language; `.h` files are C++ where the tree has C++ files. scope: the folders (path) whose files count, none inside another."""
     found = walk(spark, root).withColumn("language", language_of(F.col("path"))).where("language IS NOT NULL")
+    if scope is not None:
+        held = found.select("path", F.explode(folders(F.col("path"))).alias("_root")).join(scope.select(F.col("path").alias("_root")), "_root", "left_semi")
+        found = found.join(held.select("path"), "path", "left_semi")
     cpp = found.agg(F.coalesce(F.max(F.col("language") == "cpp"), F.lit(False)).alias("_cpp"))  # one row
     return found.crossJoin(F.broadcast(cpp)).withColumn("language", F.when(F.col("_cpp") & F.col("path").endswith(".h"), "cpp").otherwise(F.col("language"))).drop("_cpp")
 
 
-def facts(spark: SparkSession, root: str, max_loc: int | None = None, include_tests: bool = True, known: DataFrame | None = None) -> DataFrame:
+def facts(spark: SparkSession, root: str, max_loc: int | None = None, include_tests: bool = True, known: DataFrame | None = None, scope: DataFrame | None = None) -> DataFrame:
     """One row per file: path, filename, digest (of its content), language, loc, module_path, is_test, skip_reason, annotations and the fact lists.
 
+    scope: the folders that count (see `sources`).
     known: facts of an earlier state of this tree, made with the same arguments. Files that have the same path, content and language as there aren't parsed again.
 
     Files that are too large, generated, or don't parse have no facts and say why."""
     import pyarrow as pa
 
     name = os.path.basename(root.rstrip("/"))
-    found = sources(spark, root).withColumn("is_test", is_test(F.col("path"))).withColumn("digest", F.sha2("content", 256))
+    found = sources(spark, root, scope).withColumn("is_test", is_test(F.col("path"))).withColumn("digest", F.sha2("content", 256))
     if not include_tests:
         found = found.where("NOT is_test")
     same = ["path", "digest", "language"]
@@ -126,31 +136,6 @@ def facts(spark: SparkSession, root: str, max_loc: int | None = None, include_te
     return new if known is None else new.unionByName(known.join(found.select(*same), same, "left_semi"))
 
 
-def manifest(root: str) -> dict:
-    """name, source, dependencies (name, version, group) of a local project: pyproject.toml, Cargo.toml or package.json; else inferred."""
-    read = lambda n: open(os.path.join(root, n), "rb") if os.path.exists(os.path.join(root, n)) else None  # noqa: E731, SIM115
-    if f := read("pyproject.toml"):
-        with f:
-            p = tomllib.load(f).get("project", {})
-        deps = [(d, None) for d in p.get("dependencies", [])] + [(d, g) for g, ds in p.get("optional-dependencies", {}).items() for d in ds]
-        split = lambda d: (d.replace(" ", ""), "")
-        import re
-
-        split = lambda d: re.match(r"\s*([\w.-]+)(?:\[[^\]]*\])?\s*(.*)", d).groups()
-        return {"name": p.get("name") or os.path.basename(root), "source": "pyproject.toml", "dependencies": sorted({(*split(d), g) for d, g in deps}, key=str)}
-    if f := read("Cargo.toml"):
-        with f:
-            c = tomllib.load(f)
-        deps = [(n, v if isinstance(v, str) else v.get("version", ""), g) for key, g in (("dependencies", None), ("dev-dependencies", "dev"), ("build-dependencies", "build")) for n, v in c.get(key, {}).items()]
-        return {"name": c.get("package", {}).get("name") or os.path.basename(root), "source": "Cargo.toml", "dependencies": deps}
-    if f := read("package.json"):
-        with f:
-            p = json.load(f)
-        deps = [(n, v, g) for key, g in (("dependencies", None), ("devDependencies", "dev")) for n, v in p.get(key, {}).items()]
-        return {"name": p.get("name") or os.path.basename(root), "source": "package.json", "dependencies": deps}
-    return {"name": os.path.basename(root.rstrip("/")), "source": "(inferred)", "dependencies": []}
-
-
 def snapshot(repo: str, rev: str, into: str) -> str:
     """The tree of a git revision, in a folder of the repository's own name (ids begin with it)."""
     at = os.path.join(into, rev.replace("/", "_"), os.path.basename(os.path.abspath(repo)))

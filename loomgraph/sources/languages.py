@@ -9,6 +9,8 @@ EXTENSIONS = {
     "py": "python", "pyi": "python", "rs": "rust", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "go": "go", "java": "java", "cs": "csharp", "c": "c", "h": "c",
     "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "swift": "swift", "php": "php", "html": "html", "htm": "html", "css": "css", "dart": "dart", "jl": "julia", "agc": "agc", "r": "r", "R": "r",
 }
+#: The languages in their order.
+LANGUAGES = ("rust", "python", "typescript", "javascript", "go", "java", "csharp", "c", "cpp", "swift", "php", "html", "css", "dart", "julia", "agc", "r")
 GROUPS = {"typescript": "js", "javascript": "js", "html": "js", "c": "c", "cpp": "c"}
 #: Directories that a walk doesn't enter.
 SKIPPED = ("node_modules", "target", "_build", "__pycache__", "venv", "env", "site-packages")
