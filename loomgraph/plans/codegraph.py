@@ -142,7 +142,7 @@ def build(spark: SparkSession, root: str, include_tests: bool = True, max_loc: i
     classes = B.promoted(facts.select(F.col("path").alias("file_path"), F.explode("classes").alias("c")).select("file_path", "c.*"), B.TYPE_FLAGS, B.TYPE_TEXTS)
     classes = R.keep_last(classes, ["qualified_name"], ["file_path", "line_number"]).withColumnsRenamed({"qualified_name": "id", "name": "title"})
     label = F.when(F.col("kind").isin("struct",), "Struct").when(F.col("kind").isin("interface",), "Interface").when(F.col("kind") == "trait", "Trait").when(F.col("kind") == "protocol", "Protocol").when(F.col("kind") == "enum", "Enum").when(F.col("kind") == "mixin", "Mixin").otherwise("Class")
-    classes = settled(classes.withColumn("_label", label))
+    classes = settled(classes.withColumn("_label", label).join(type_fields(facts), "id", "left"))
     constants = R.keep_last(facts.select(F.col("path").alias("file_path"), F.explode("constants").alias("c")).select("file_path", "c.*"), ["qualified_name"], ["file_path", "line_number"]).withColumnsRenamed({"qualified_name": "id", "name": "title"})
     relations = facts.select(F.explode("relations").alias("r")).select("r.*").distinct()
     modules = facts.select(F.explode(R.prefixes(F.col("module_path"), ".")).alias("id")).where(~_last(F.col("id")).rlike(r"^\d+$")).distinct()
@@ -210,6 +210,14 @@ def build(spark: SparkSession, root: str, include_tests: bool = True, max_loc: i
     return g
 
 
+def type_fields(facts: DataFrame) -> DataFrame:
+    """id (of a type), fields: a JSON list of name, type, visibility and default, in the order of the files and of their texts. What isn't told is null there."""
+    told = facts.select("path", F.explode("fields").alias("f")).select("path", "f.*")
+    shown = F.struct("name", "type", "visibility", "default")
+    listed = F.array_sort(F.collect_list(F.struct("path", "place", shown.alias("shown"))))
+    return told.groupBy(F.col("owner").alias("id")).agg(F.to_json(F.transform(listed, lambda x: x["shown"]), {"ignoreNullFields": "false"}).alias("fields"))
+
+
 #: Labels of types, those later on win where types of several kinds have one name.
 TYPE_RANK = {"Class": 0, "Struct": 0, "Mixin": 0, "Enum": 1, "Interface": 2, "Trait": 2, "Protocol": 2}
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from loomgraph.sources.fields import braced_fields
 from loomgraph.sources.languages import SHAPES
 from loomgraph.sources.lexer import Tokens, blanked, tokens
 
@@ -37,7 +38,7 @@ class _File:
     text: str
     tok: Tokens
     lines: list[int]
-    out: dict[str, list[dict]] = field(default_factory=lambda: {k: [] for k in ("functions", "classes", "constants", "relations", "imports", "submodules")})
+    out: dict[str, list[dict]] = field(default_factory=lambda: {k: [] for k in ("functions", "classes", "constants", "relations", "imports", "submodules", "fields")})
     skip: dict[int, int] = field(default_factory=dict)  # token where a nested function begins -> token behind it
 
     def line(self, token: int) -> int:
@@ -580,6 +581,7 @@ def _scope(f: _File, top: int, bottom: int) -> None:
                 q = sep.join([scope, name])
                 if what not in ("impl", "extension"):
                     f.out["classes"].append({"name": name, "qualified_name": q, "kind": what, "line_number": f.line(_first(f, start, i)), "end_line": f.line(end), "docstring": None, "decorators": (marks := _decorators(f, start, i)), "metadata": _seen_type(f, marks)})
+                    f.out["fields"] += braced_fields(f, what, q, i + 1, end)
                 elif f.language == "rust" and "pymethods" in _decorators(f, start, i):
                     exposed.append((i, end))
                 f.out["relations"] += [{"source": q, "target": base, "relation": relation} for relation, base in bases]

@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 from typing import Any
 
 from loomgraph.sources import braced
+from loomgraph.sources.fields import python_fields
 from loomgraph.sources.languages import SHAPES
 
 MARKERS = r"TODO|FIXME|HACK|SAFETY|XXX|BUG|NOTE|WARNING"
@@ -86,8 +87,9 @@ def _within(node: ast.AST):
 
 def python(path: str, text: str, root: str) -> dict[str, list[dict]]:
     module = module_path(path, root)
-    out: dict[str, list[dict]] = {k: [] for k in ("functions", "classes", "constants", "relations", "imports")}
+    out: dict[str, list[dict]] = {k: [] for k in ("functions", "classes", "constants", "relations", "imports", "fields")}
     tree = ast.parse(text)
+    lines = re.findall(rb"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+", text.encode("utf-8", "replace"))
     for n in ast.walk(tree):
         if isinstance(n, ast.Import):
             out["imports"] += [{"name": a.name, "line": n.lineno} for a in n.names]
@@ -102,6 +104,7 @@ def python(path: str, text: str, root: str) -> dict[str, list[dict]]:
                 q = ".".join([module, *scope, n.name])
                 out["classes"].append({"name": n.name, "qualified_name": q, "kind": "class", "line_number": n.lineno, "end_line": n.end_lineno, "docstring": ast.get_docstring(n), "decorators": [ast.unparse(d) for d in n.decorator_list], "metadata": {}})
                 out["relations"] += [{"source": q, "target": b, "relation": "extends"} for e in n.bases if (b := _dotted(e))]
+                out["fields"] += python_fields(n, q, lines)
                 stack.append((n, [*scope, n.name], q, depth))
             elif isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef):
                 q = ".".join([module, *scope, n.name])

@@ -20,7 +20,8 @@ FACTS = (
     f"functions array<{FUNCTION}>, classes array<struct<name:string,qualified_name:string,kind:string,line_number:bigint,end_line:bigint,docstring:string,decorators:array<string>,metadata:map<string,string>>>, "
     "constants array<struct<name:string,qualified_name:string,kind:string,owner:string,line_number:bigint,value_preview:string>>, relations array<struct<source:string,target:string,relation:string>>, "
     f"imports {_SITE}, elements array<struct<tag:string,qualified_name:string,line_number:bigint,column:bigint,text:string,parent:string>>, selectors array<struct<name:string,qualified_name:string,line_number:bigint>>, "
-    "transfers array<struct<caller:string,target:string,kind:string,line:bigint>>, sites array<struct<caller:string,target:string,opcode:string,access:string,line:bigint>>, submodules array<string>"
+    "transfers array<struct<caller:string,target:string,kind:string,line:bigint>>, sites array<struct<caller:string,target:string,opcode:string,access:string,line:bigint>>, submodules array<string>, "
+    "fields array<struct<owner:string,name:string,type:string,visibility:string,default:string,line:bigint,place:bigint>>"
 )
 
 
