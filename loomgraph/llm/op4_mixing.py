@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from loomgraph.llm.common import written
 
 BLOCK_WORDS, SHARD_SLOTS, MOST, WEIGHTS, ROUNDS, SEED = 128, 1024, 3, (1, 2, 3), 12, 20_24
-MAX_SOURCES, BUCKET_DOCS, TASK_SLOTS, NONE = 100_000, 5_000, 20_000, -1
+MAX_SOURCES, BUCKET_DOCS, TASK_SLOTS, SPAN, NONE = 100_000, 5_000, 20_000, 4_096, -1
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -107,12 +107,12 @@ def placed(sized: DataFrame, sizes: DataFrame, sources: list[Source], seed: int)
     """(doc_id, source, size, digest) -> also source_index and start: where a document's words begin among its source's; text goes along if it is there.
 
     Positions are sums over hash buckets of documents and then within a bucket; buckets have about BUCKET_DOCS documents, so
-    a source of any size is spread over many tasks. `sizes` has the same rows without their texts: the buckets' sums come from it."""
+    a source of any size is spread over many tasks. The hash is of id and text, so documents without an id, or of one id, are spread as well. `sizes` has the same rows without their texts: the buckets' sums come from it."""
     spark = sized.sparkSession
     table = spark.createDataFrame([(i, s.name, max(1, s.docs // BUCKET_DOCS)) for i, s in enumerate(sources)], "source_index int, name string, buckets long")
 
     def keyed(rows: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["name"])).withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id"))).withColumn("bucket", F.pmod("h", "buckets"))
+        return rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["name"])).withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("digest"))).withColumn("bucket", F.pmod("h", "buckets"))
 
     sums = keyed(sizes).groupBy("source_index", "bucket").agg(F.sum("size").alias("words"))
     before = sums.withColumn("before", F.sum("words").over(Window.partitionBy("source_index").orderBy("bucket")) - F.col("words")).drop("words")
@@ -161,6 +161,16 @@ def drawn(spark: SparkSession, sources: list[Source], shard_slots: int, seed: in
     return slots.select("shard", _place(F.col("u"), bounds).alias("source_index")).groupBy("shard", "source_index").agg(F.count("*").alias("n"))
 
 
+def counted(draws: DataFrame) -> DataFrame:
+    """draws, with k0: how many slots of its source the shards before have. Sums over spans of SPAN shards, then within a span, so no task has all shards of a source."""
+    rows = draws.withColumn("span", (F.col("shard") / SPAN).cast("long"))
+    sums = rows.groupBy("source_index", "span").agg(F.sum("n").alias("whole"))
+    before = sums.select("source_index", "span", (F.sum("whole").over(Window.partitionBy("source_index").orderBy("span")) - F.col("whole")).alias("before"))
+    near = Window.partitionBy("source_index", "span").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    upto = rows.withColumn("upto", F.sum("n").over(near))
+    return upto.join(before, ["source_index", "span"]).select("shard", "source_index", "n", (F.col("before") + F.col("upto") - F.col("n")).alias("k0"))
+
+
 def slots(draws: DataFrame, sources: list[Source], block_words: int, seed: int) -> DataFrame:
     """shard, slot, source_index, block, pass of every slot, after the correction to the quotas.
 
@@ -171,9 +181,8 @@ def slots(draws: DataFrame, sources: list[Source], block_words: int, seed: int)
     over, short = [max(0, g - s.quota) for g, s in zip(got, sources, strict=True)], [max(0, s.quota - g) for g, s in zip(got, sources, strict=True)]
     over_from, short_from = list(accumulate([0, *over]))[:-1], list(accumulate([0, *short]))[:-1]
     at = lambda xs, i: F.element_at(_values(xs), i + 1)
-    upto = Window.partitionBy("source_index").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     in_shard = Window.partitionBy("shard").orderBy("source_index").rowsBetween(Window.unboundedPreceding, 0)
-    placed = draws.withColumn("k0", F.sum("n").over(upto) - F.col("n")).repartition(max(1, sum(got) // TASK_SLOTS), "shard")
+    placed = counted(draws).repartition(max(1, sum(got) // TASK_SLOTS), "shard")
     one = placed.select("shard", "source_index", "n", "k0", (F.sum("n").over(in_shard) - F.col("n")).alias("slot0"))
     one = one.select("shard", "source_index", "k0", "slot0", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select("shard", (F.col("slot0") + F.col("i")).alias("slot"), "source_index", (F.col("k0") + F.col("i")).alias("k"))
     i, k = F.col("source_index"), F.col("k")

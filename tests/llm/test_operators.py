@@ -198,6 +198,23 @@ def test_permutation(spark):
     assert got != list(range(n))
 
 
+def test_shards_are_counted_by_spans(spark, monkeypatch):
+    monkeypatch.setattr(op4_mixing, "SPAN", 3)
+    draws = [(shard, source, 1 + (7 * shard + source) % 5) for shard in range(11) for source in (0, 2) if (shard, source) != (4, 2)]
+    got = {(r.shard, r.source_index): (r.n, r.k0) for r in op4_mixing.counted(spark.createDataFrame(draws, "shard long, source_index int, n long")).collect()}
+    assert got == {(shard, source): (n, sum(m for s, o, m in draws if o == source and s < shard)) for shard, source, n in draws}
+
+
+def test_no_bucket_holds_all_documents_without_an_id(spark, monkeypatch):
+    """Documents without an id, or of one id, are dealt over buckets by their texts; their places don't overlap."""
+    monkeypatch.setattr(op4_mixing, "BUCKET_DOCS", 10)
+    docs = spark.range(400).select(F.when(F.col("id") % 2 == 0, F.lit(7)).cast("long").alias("doc_id"), F.concat_ws(" ", F.lit("word"), "id").alias("text"), F.lit("s").alias("source"))
+    found = op4_mixing.mix(docs).docs
+    assert sorted((r.start, r["size"]) for r in found.collect()) == [(2 * i, 2) for i in range(400)]
+    order = [r.doc_id for r in sorted(found.collect(), key=lambda r: r.start)]
+    assert sum(a != b for a, b in zip(order, order[1:], strict=False)) > 50  # one bucket for each id would give one change
+
+
 def test_mixing(docs, none, rows):
     got = op4_mixing.report(docs).collect()
     assert len(got) == len(rows)
