@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.storage import settled
 from loomgraph.sources.files import below, folders, language_of, walk
 from loomgraph.sources.languages import LANGUAGES
-from loomgraph.sources.workspace import folded
+from loomgraph.sources.workspace import folded, plain_json
 
 #: Manifests that count, the first that a tree has decides.
 NAMES = ("pyproject.toml", "Cargo.toml", "package.json")
@@ -55,6 +55,10 @@ def _text(value: object) -> str | None:
     return value if isinstance(value, str) else None
 
 
+def _table(value: object) -> dict:
+    return value if isinstance(value, dict) else {}
+
+
 def _texts(value: object) -> list[str]:
     return [x for x in value if isinstance(x, str)] if isinstance(value, list) else []
 
@@ -149,9 +153,12 @@ def cargo(text: str, folder: str) -> Project:
 
 
 def package(text: str, folder: str) -> Project:
-    """A JavaScript package: name and dependencies; the whole tree is its source."""
-    data = json.loads(text)
-    needs = [(n, _text(v), dev, False, None) for key, dev in (("dependencies", False), ("devDependencies", True)) for n, v in (_at(data, key) or {}).items()]
+    """A JavaScript package: name and dependencies; the whole tree is its source. One that can't be read tells nothing."""
+    try:
+        data = json.loads(plain_json(text))
+    except ValueError:
+        return Project(folder)
+    needs = [(n, _text(v), dev, False, None) for key, dev in (("dependencies", False), ("devDependencies", True)) for n, v in _table(_at(data, key)).items()]
     return Project(_text(_at(data, "name")) or folder, "package.json", _text(_at(data, "version")), _text(_at(data, "description")), dependencies=tuple(needs))
 
 

@@ -125,3 +125,9 @@ def test_unreadable(spark, tmp_path):
         M.read(spark, tree(tmp_path / "bad", {"pyproject.toml": "[project\nname = broken"}))
     with pytest.raises(ValueError, match="Cargo.toml"):
         M.read(spark, tree(tmp_path / "none", {"a.py": ""}), "Cargo.toml")
+
+
+def test_packages():
+    told = M.package('{"name": "n", "dependencies": {"a": "^1"}, "devDependencies": {"b": "2",}} // end', "f")
+    assert (told.name, told.manifest, told.dependencies) == ("n", "package.json", (("a", "^1", False, False, None), ("b", "2", True, False, None)))
+    assert M.package("{broken", "f") == M.Project("f") and M.package('[1]', "f").name == "f" and M.package('{"dependencies": ["x"]}', "f").dependencies == ()
