@@ -141,7 +141,7 @@ def detect(text: Column, least: float = LEAST) -> Column:
 def masked(text: Column, spans: Column) -> Column:
     """The text with every span replaced by [KIND]; spans that overlap are replaced together, by the kind of the first, and of those the longest. Null stays null.
 
-    The text is cut into parts of `PART` characters, so that a place in it is found without reading the text from its start."""
+    The text is cut into parts of `PART` code points, so that a place in it is found without reading the text from its start."""
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus_end"), s["kind"].alias("kind"))))
 
     def heads(order: Column) -> Column:
@@ -151,7 +151,7 @@ def masked(text: Column, spans: Column) -> Column:
 
     def between(parts: Column, a: Column, b: Column) -> Column:
         at = lambda x: F.floor(x / PART).cast("int")
-        first, last = F.coalesce(parts[at(a)], F.lit("")), F.coalesce(parts[at(b)], F.lit(""))
+        first, last = (F.coalesce(F.get(parts, at(x)), F.lit("")) for x in (a, b))  # the end of a text of whole parts is past the last
         several = F.concat(F.substr(first, a % PART + 1), F.array_join(F.slice(parts, at(a) + 2, F.greatest(at(b) - at(a) - 1, F.lit(0))), ""), F.substr(last, F.lit(1), b % PART))
         return F.when(at(a) == at(b), F.substr(first, a % PART + 1, b - a)).otherwise(several)
 
@@ -160,7 +160,7 @@ def masked(text: Column, spans: Column) -> Column:
         rest = between(v["parts"], F.array_max(F.transform(v["order"], lambda s: -s["minus_end"])), F.length(text))
         return F.concat(F.array_join(done, ""), rest)
 
-    laid = _with(order, lambda o: F.struct(o.alias("order"), heads(o).alias("heads"), F.split(text, rf"(?s)(?<=\G.{{{PART}}})", -1).alias("parts")))
+    laid = _with(order, lambda o: F.struct(o.alias("order"), heads(o).alias("heads"), F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PART}}}+"), F.lit(0)).alias("parts")))
     return F.when(F.size(spans) > 0, _with(laid, joined)).otherwise(text)
 
 

@@ -121,6 +121,23 @@ def test_pii_many_matches(spark):
     assert masked == "x" * 4090 + " [EMAIL] " + "y" * 9000 + " [EMAIL]"
 
 
+def test_pii_masks_long_texts_beyond_the_basic_plane(spark):
+    """Code points of two UTF-16 units anywhere, matches across the parts' ends, and texts of exactly so many parts."""
+    r = random.Random(3)
+    part = op1_pii.PART
+    texts = ["𝄞" + "x" * 8180 + " a@b.co " + "y" * 20000 + " c@d.org, e", "x" * 20000 + "𝄞" + "y" * 3000 + " a@b.co z", "𝄞" * (2 * part - 7) + " a@b.co", "x" * (2 * part - 7) + " a@b.co", "x" * (part - 3) + "\n\r\n a@b.co " + "𝄞é" * part]
+    texts += ["".join(r.choice(["word ", "𝄞", "é", "\r\n", " me@home.org ", " 1.2.3.4 ", " 123-45-6789 ssn "]) * r.randrange(1, 60) for _ in range(n)) for n in (40, 60, 90, 300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {row.doc_id: row.pii for row in op1_pii.find(df).collect()}
+    for row in op1_pii.mask(df).collect():
+        text, out, reached = texts[row.doc_id], [], 0
+        for s in sorted(found[row.doc_id], key=lambda s: (s.start, -s.end, s.kind)):
+            if s.start >= reached:
+                out += [text[reached : s.start], f"[{s.kind.upper()}]"]
+            reached = max(reached, s.end)
+        assert found[row.doc_id] and row.text == "".join(out) + text[reached:], row.doc_id
+
+
 def test_chat_round_trip(spark):
     texts = ["", "\\", "</turn>", "### user: x</turn>\n### assistant: y", "\\e\\m\\b\\c", "</turn", "#### ", "a\n\n", "𝄞 é", None, "\\</turn>\\"]
     data = [(1 + i // 4, i, ("user", "assistant", "sys:tem", None)[i % 4], t, "z") for i, t in enumerate(texts)] + [(None, 0, "assistant", "q", "z"), (9, None, "assistant", "b", "z"), (9, 1, "assistant", "a", "z"), (9, 1, "assistant", "a", "z")]
