@@ -33,8 +33,9 @@ from loomgraph.llm.common import written
 K, EVERY = 20, 20
 #: Most edges of a point, width of the beam when inserting and searching, how much farther a point may be than from a kept one, points that a search expands at a time.
 DEGREE, BUILD_BEAM, BEAM, RELAX, EXPAND = 32, 64, 96, 1.2, 4
-#: Slots kept free for edges to points that are not reached otherwise; bytes of a search's marks of seen points; queries of one task.
-SPARE, SEEN_BYTES, TASK_QUERIES = 8, 1 << 25, 1 << 20
+#: Slots kept free for edges to points that are not reached otherwise; bytes of a search's marks of seen points, few enough for a core's cache; queries that are searched
+#: at a time at least, whatever their marks take; queries of one task.
+SPARE, SEEN_BYTES, LEAST_QUERIES, TASK_QUERIES = 8, 1 << 20, 64, 1 << 20
 
 
 def shard_rows(n: int) -> int:
@@ -43,14 +44,14 @@ def shard_rows(n: int) -> int:
 
 def beam_search(x: np.ndarray, edges: np.ndarray, entry: int, queries: np.ndarray, width: int) -> np.ndarray:
     """Points by falling inner product with each query, [queries, width], -1 where there are fewer."""
-    n, step = len(x), max(1, SEEN_BYTES // len(x))
+    n, step = len(x), max(LEAST_QUERIES, SEEN_BYTES // len(x))
     if len(queries) > step:
         return np.concatenate([beam_search(x, edges, entry, queries[i : i + step], width) for i in range(0, len(queries), step)])
     size = len(queries)
     ids, score, fresh = np.full((size, width), -1), np.full((size, width), -np.inf, np.float32), np.zeros((size, width), bool)
     ids[:, 0], score[:, 0], fresh[:, 0] = entry, queries @ x[entry], True
-    seen = np.zeros((size, n), bool)
-    seen[:, entry] = True
+    seen = np.zeros(size * n, bool)
+    seen[np.arange(size) * n + entry] = True
     live = np.arange(size)
     while len(live):
         places = np.where(fresh[live], np.arange(width), width)
@@ -60,14 +61,16 @@ def beam_search(x: np.ndarray, edges: np.ndarray, entry: int, queries: np.ndarra
         row = live[row]
         fresh[row, place] = False
         near = edges[ids[row, place]]
-        row, near = np.repeat(row, edges.shape[1]), near.ravel()
-        key = np.unique((row * n + near)[(near >= 0) & ~seen[row, near]])
-        row, near = key // n, key % n
-        seen[row, near] = True
+        key = ((row * n)[:, None] + near)[near >= 0]
+        key = np.sort(key[~seen[key]])
+        key = key[_starts(key)]
+        seen[key] = True
+        row, near = np.divmod(key, n)
         values = np.einsum("ij,ij->i", queries[row], x[near])
         better = values > score[row, -1]
         row, near, values = row[better], near[better], values[better]
-        some, first, count = np.unique(row, return_index=True, return_counts=True)
+        first = np.flatnonzero(_starts(row))
+        some, count = row[first], np.diff(first, append=len(row))
         if len(some):
             most = int(count.max())
             at = np.arange(len(row)) - np.repeat(first, count), np.repeat(np.arange(len(some)), count)
@@ -82,6 +85,13 @@ def beam_search(x: np.ndarray, edges: np.ndarray, entry: int, queries: np.ndarra
     return ids
 
 
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where a run of equal numbers begins."""
+    out = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
+
+
 def prune(x: np.ndarray, points: np.ndarray, others: np.ndarray, degree: int, relax: float) -> np.ndarray:
     """For each point at most `degree` of the others (rows of numbers, -1 for none) in diverse directions, [points, degree]."""
     out = np.full((len(points), degree), -1)

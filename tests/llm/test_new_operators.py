@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -170,6 +171,21 @@ def test_graph_reaches_every_point():
     assert len(seen) == len(x) and (edges >= 0).sum(1).max() <= 4 + op12_graph_search.SPARE
 
 
+def test_graph_search_works_in_small_batches():
+    """What a search holds doesn't grow with the number of queries, and a query finds the same alone."""
+    r = np.random.default_rng(7)
+    x = op12_graph_search.unit(r.normal(size=(3000, 16)))
+    queries = op12_graph_search.unit(r.normal(size=(2048, 16)))
+    edges, entry = op12_graph_search.build(x)
+    tracemalloc.start()
+    found = op12_graph_search.beam_search(x, edges, entry, queries, 32)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 << 20
+    for i in range(0, 2048, 256):
+        assert (op12_graph_search.beam_search(x, edges, entry, queries[i : i + 1], 32) == found[i]).all()
+
+
 # 13: spelling variants
 
 
