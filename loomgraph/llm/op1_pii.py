@@ -157,7 +157,8 @@ def masked(text: Column, spans: Column) -> Column:
 
     def joined(v: Column) -> Column:
         done = F.transform(v["heads"], lambda h: F.concat(between(v["parts"], h["reached"], h["start"]), F.lit("["), F.upper(h["kind"]), F.lit("]")))
-        rest = between(v["parts"], F.array_max(F.transform(v["order"], lambda s: -s["minus_end"])), F.length(text))
+        end = (F.size(v["parts"]) - 1) * PART + F.length(F.element_at(v["parts"], -1))  # for bytes that aren't UTF-8 not the text's own length
+        rest = between(v["parts"], F.array_max(F.transform(v["order"], lambda s: -s["minus_end"])), end)
         return F.concat(F.array_join(done, ""), rest)
 
     laid = _with(order, lambda o: F.struct(o.alias("order"), heads(o).alias("heads"), F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PART}}}+"), F.lit(0)).alias("parts")))

@@ -138,6 +138,14 @@ def test_pii_masks_long_texts_beyond_the_basic_plane(spark):
         assert found[row.doc_id] and row.text == "".join(out) + text[reached:], row.doc_id
 
 
+def test_pii_masks_texts_with_broken_utf8(spark):
+    """Bytes that aren't UTF-8, which Spark's length and Java's strings count differently, cost no text after them."""
+    raw = [b"\xf0 one " * n + b"write me@home.org " + b"\xf0\x9f end" * n for n in (1, 3, 2000)]
+    df = spark.createDataFrame([(i, bytearray(t)) for i, t in enumerate(raw)], "doc_id long, text binary").withColumn("text", F.col("text").cast("string"))
+    for row in op1_pii.mask(df).collect():
+        assert row.text == raw[row.doc_id].decode("utf-8", "replace").replace("me@home.org", "[EMAIL]"), row.doc_id
+
+
 def test_chat_round_trip(spark):
     texts = ["", "\\", "</turn>", "### user: x</turn>\n### assistant: y", "\\e\\m\\b\\c", "</turn", "#### ", "a\n\n", "𝄞 é", None, "\\</turn>\\"]
     data = [(1 + i // 4, i, ("user", "assistant", "sys:tem", None)[i % 4], t, "z") for i, t in enumerate(texts)] + [(None, 0, "assistant", "q", "z"), (9, None, "assistant", "b", "z"), (9, 1, "assistant", "a", "z"), (9, 1, "assistant", "a", "z")]
