@@ -33,10 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import WordHash, by_bytes, forget, grams, shared, spread_join, utf8, written
+from loomgraph.llm.common import WordHash, by_bytes, forget, grams, shared, small_batches, spread_join, utf8, written
 from loomgraph.llm.components import components
 
 WORDS, PERCENT, ORDER_BITS, MOST_L, GROUP, BLOCK, VERIFY, FAN_IN, ID_BITS = 5, 80, 22, 6, 32, 1024, 20.0, 32, 23
+#: Rows of a meeting whose numbers are compared at a time.
+SLICE = 256
 LEAST_L, PIVOTS, PORTION, PORTION_SHINGLES, BLOCK_SHINGLES, FIRSTS = 3, 4, 2048, 4_000_000, 500_000, 16
 
 
@@ -60,12 +62,24 @@ def _half(key: bytes | None) -> int | None:
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    """Counts byte plane by byte plane: the upper planes are nearly all zero and take no room."""
-    return zlib.compress(np.ascontiguousarray(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+    """Counts byte plane by byte plane: the upper planes are nearly all zero and take no room. One plane is held at a time."""
+    to, out = zlib.compressobj(1), []
+    for i in range(8):
+        out.append(to.compress((counts >> min(8 * i, 8 * counts.itemsize - 1)).astype(np.uint8).tobytes()))
+    return b"".join([*out, to.flush()])
+
+
+def _add(total: np.ndarray, data: bytes) -> None:
+    """Adds packed counts to total, a plane at a time."""
+    more = zlib.decompressobj()
+    for i in range(8):
+        plane = bytearray()
+        while len(plane) < len(total):
+            plane += more.decompress(data, len(total) - len(plane))
+            data = more.unconsumed_tail
+        some = np.frombuffer(plane, np.uint8)
+        if some.any():
+            total += some.astype(np.int64) << 8 * i
 
 
 def shingle_counts(docs: DataFrame, k: int, bits: int) -> np.ndarray:
@@ -87,7 +101,7 @@ def shingle_counts(docs: DataFrame, k: int, bits: int) -> np.ndarray:
 
         total = np.zeros(1 << bits, np.int64)
         for c in pdf["counts"]:
-            total += _unpacked(c)
+            _add(total, c)
         return pd.DataFrame({"part": [int(pdf["part"].iloc[0]) // FAN_IN], "counts": [_packed(total)]})
 
     tables, n = docs.mapInArrow(count, "part long, counts binary"), docs.rdd.getNumPartitions()
@@ -96,7 +110,10 @@ def shingle_counts(docs: DataFrame, k: int, bits: int) -> np.ndarray:
         if n <= 1:
             break
     rows = tables.collect()  # one table of fixed size
-    return sum((_unpacked(r.counts) for r in rows), np.zeros(1 << bits, np.int64))
+    total = np.zeros(1 << bits, np.int64)
+    for r in rows:
+        _add(total, r.counts)
+    return total
 
 
 class Order:
@@ -225,7 +242,9 @@ def _to_compare(pdf, percent: int) -> np.ndarray:
 
     n, part, own = pdf["n"].to_numpy(), pdf["part"].to_numpy(), np.arange(len(pdf))
     code = np.where(pd.isna(pdf["label"]), -1 - own, pd.factorize(pdf["label"])[0])
-    out = (code[:, None] != code[None, :]) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
+    out = code[:, None] != code[None, :]
+    out &= n[None, :] >= -(-n * percent // 100)[:, None]  # each row's least and most size of a partner: no table of numbers is made
+    out &= n[None, :] <= (100 * n // percent)[:, None]
     i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
     out &= (part == i)[:, None] & (part == j)[None, :] | (part == j)[:, None] & (part == i)[None, :]
     np.fill_diagonal(out, False)
@@ -253,12 +272,12 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray) -> np.ndarray:
     few = doc[(times > 1) & (times <= 8)], every[(times > 1) & (times <= 8)]
     at = np.full(n, -1)
     at[left] = np.arange(len(left))
-    both = np.zeros(len(left) * n, np.int64)
+    both = np.zeros(len(left) * n, np.float32)
     for step in range(1, 8):
         same = np.flatnonzero(few[1][step:] == few[1][:-step])
         for x, y in ((few[0][same], few[0][same + step]), (few[0][same + step], few[0][same])):
             both += np.bincount(at[x[at[x] >= 0]] * n + y[at[x] >= 0], minlength=len(both))
-    both = both.reshape(len(left), n).astype(np.float32)
+    both = both.reshape(len(left), n)
     many = times > 8
     column, doc = np.repeat(np.cumsum(often > 8) - 1, often)[many], doc[many]
     for lo in range(0, int((often > 8).sum()), 2048):
@@ -296,11 +315,14 @@ def apart_links(members: DataFrame, labels: DataFrame, texts: DataFrame, k: int,
         left = np.flatnonzero(compare.any(1) & (code != main))  # two labels differ, so one of any two is among these
         both = overlaps(sets, left)
         link = np.zeros(compare.shape, bool)
-        link[left] = compare[left] & (100 * both >= percent * (size[left][:, None] + size[None, :] - both))
+        for lo in range(0, len(left), SLICE):
+            some, common = left[lo : lo + SLICE], both[lo : lo + SLICE].astype(np.int64)
+            link[some] = compare[some] & (100 * common >= percent * (size[some][:, None] + size[None, :] - common))
         link |= link.T
         label = np.arange(len(sets))
         while True:
-            lower = np.minimum(np.where(link, label[None, :], len(sets)).min(1), label)
+            lower = np.concatenate([np.where(link[lo : lo + SLICE], label[None, :], len(sets)).min(1) for lo in range(0, len(sets), SLICE)])
+            lower = np.minimum(lower, label)
             if (lower == label).all():
                 break
             label = lower
@@ -388,6 +410,7 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, order_bits:
 
 def _linked(docs: DataFrame, k: int, percent: int, order_bits: int, most_l: int, group: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All documents (doc_id, n, key), the different sets (key, id, rep: least doc_id) and their components (node, root: keys)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = Order(shingle_counts(docs, k, order_bits), percent, most_l)
     sets = written(nodes(docs, order, k), "jaccard-nodes")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bounded_sample, by_bytes, crc_mod, shared, utf8
+from loomgraph.llm.common import bounded_sample, by_bytes, crc_mod, shared, small_batches, utf8
 
 FIT_DOCS, BUCKETS, PENALTY, SMOOTH = 20_000, 1 << 15, 12.0, 0.5
 #: Work array bytes per chunk of text and language.
@@ -187,6 +187,7 @@ def predict(model: Model, texts: list[bytes]) -> list[tuple[str, float, list[tup
 
 def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, buckets: int = BUCKETS, penalty: float = PENALTY) -> Model:
     """labelled: doc_id, text, lang. Rows with null lang, text or id are passed over; no rows: a model without languages."""
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = bounded_sample(rows.dropna(), "doc_id", fit_docs, 9)
 
@@ -222,6 +223,7 @@ def identify(docs: DataFrame, model: Model, keep: float | None = None) -> DataFr
     A null or letterless text is `und` with score 0. Texts with letters of no learned script get the first language and
     score 0. Repeated rows each give a row. Other columns are not read (with `keep`: passed through)."""
     spark = docs.sparkSession
+    small_batches(spark)
     sent = shared(spark, model)
     text_at = docs.columns.index("text") if keep is not None else 1
     most = max(1 << 16, CHUNK_BYTES // max(1, len(model.langs)))

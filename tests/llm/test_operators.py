@@ -4,9 +4,12 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -448,6 +451,45 @@ def test_overlaps():
     assert (got[other] == want[other]).all()
 
 
+def test_batches_of_texts_are_bounded(spark):
+    """What goes to Python at a time doesn't grow with the length of texts; a session's own limit stays."""
+    limit, sizes = "spark.sql.execution.arrow.maxBytesPerBatch", lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    docs = spark.range(0, 300, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab cd "), 20_000).alias("text"), F.lit("en").alias("lang"))
+    for use in (lambda: op8_jaccard.classes(docs), lambda: op9_language.identify(docs, op9_language.Model([], np.zeros((2, 0)), np.zeros((2, 0))), 0.4)):
+        spark.conf.unset(limit)
+        use()
+        assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < 5 << 20
+    spark.conf.set(limit, "8m")
+    use()
+    assert spark.conf.get(limit) == "8m"
+    spark.conf.unset(limit)
+
+
+def test_tables_of_counts_need_little_memory():
+    counts = np.random.default_rng(4).poisson(3, 1 << 20).astype(np.int32)
+    counts[7], total, large = 2**31 - 1, np.zeros(1 << 20, np.int64), np.array([2**62 + 5, 0, 255, 256])
+    tracemalloc.start()
+    op8_jaccard._add(total, op8_jaccard._packed(counts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (total == counts).all() and peak < 24 << 20  # less than three tables of 8 MB
+    twice = large.copy()
+    op8_jaccard._add(twice, op8_jaccard._packed(large - 1))
+    assert (twice == 2 * large - 1).all()
+
+
+def test_meetings_need_little_memory():
+    draw, n = np.random.default_rng(5), 2048
+    rows = pd.DataFrame({"shingle": 1, "i": 0, "j": 1, "part": np.arange(n) // 1024, "a": np.arange(n), "n": draw.integers(5, 99, n), "label": draw.integers(0, 9, n), "firsts": [[1]] * n})
+    tracemalloc.start()
+    got = op8_jaccard._to_compare(rows, 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    size, label, part = (rows[x].to_numpy() for x in ("n", "label", "part"))
+    near = 100 * np.minimum.outer(size, size) >= 80 * np.maximum.outer(size, size)
+    assert (got == (near & (label[:, None] != label) & (part[:, None] != part))).all() and peak < 48 << 20
+
+
 def test_jaccard_short(spark):
     """Sets too small to link with any but their equals are no candidates, however many share a shingle."""
     df = spark.range(32_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("all rights reserved x"), F.floor(F.col("id") / 2)).alias("text"))
