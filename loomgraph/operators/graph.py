@@ -150,19 +150,101 @@ def trails(edges: DataFrame, seeds: DataFrame, min_hops: int, max_hops: int, rev
     return union_all(out).select("start", "id", "hops", "path")
 
 
+#: Pairs, and pairs a node, from which on it's tried whether nodes that reach each other can be merged.
+SMALL, DENSE = 1 << 16, 8
+#: Nodes of a group that are written out together, and pairs that a task writes out of groups.
+PART, TASK = 1024, 1 << 20
+
+
 def closure(edges: DataFrame) -> DataFrame:
-    """Transitive closure (src, dst), without pairs of a node with itself: path lengths double until nothing is new."""
-    all_pairs = settled(edges.select("src", "dst").where("src <> dst").distinct())
-    n = all_pairs.count()
+    """Transitive closure (src, dst), without pairs of a node with itself.
+
+    Path lengths double until nothing is new. Joining all pairs with all pairs would find each of them over and over where many nodes reach each other; such nodes are
+    merged into one as soon as that saves pairs, and the search begins anew between what is left. At the end a pair of groups becomes the pairs of their nodes."""
+    steps, groups = settled(edges.select("src", "dst").where("src <> dst").distinct()), None
     while True:
-        longer = all_pairs.alias("a").join(all_pairs.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst").where("src <> dst")
-        last, all_pairs = all_pairs, settled(all_pairs.unionByName(longer).distinct())
+        pairs, merged = _doubled(steps)
+        if merged is None:
+            break
+        all_groups = settled(merged if groups is None else _onward(groups, merged))
+        fewer = settled(_renamed(steps, merged))
+        forget(steps, groups, pairs, merged)
+        steps, groups = fewer, all_groups
+    return pairs if groups is None else _written_out(pairs, groups)
+
+
+def _doubled(steps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """All pairs (src, dst) and None; or pairs that aren't whole, and (id, group) of all nodes, where merging nodes that reach each other saves a quarter of the pairs.
+
+    `far` is 2 for pairs as many steps apart as were looked at so far, else less. Pairs that far apart are joined with all pairs: each new one is a pair
+    that is exactly so far apart, then any rest, so that few are found twice."""
+    nodes = settled(steps.select(F.col("src").alias("id")).union(steps.select("dst")).distinct().select("id", F.col("id").alias("group")))
+    n, pairs = nodes.count(), settled(steps.withColumn("far", F.lit(2)))
+    while True:
+        count, farthest = pairs.agg(F.count("*"), F.count_if(F.col("far") == 2)).first()
+        if not farthest:
+            forget(nodes)
+            return pairs.select("src", "dst"), None
+        if count > max(SMALL, DENSE * n) and (merged := _merged(pairs, count, nodes)) is not None:
+            forget(nodes)
+            return pairs, merged
+        ends = pairs.where("far = 2").select("src", F.col("dst").alias("mid")).join(pairs.select(F.col("src").alias("mid"), "dst", "far"), "mid").where("src <> dst")
+        found = ends.select("src", "dst", F.when(F.col("far") == 2, 2).otherwise(1).alias("far"))
+        last, pairs = pairs, settled(pairs.withColumn("far", F.lit(0)).unionByName(found).groupBy("src", "dst").agg(F.min("far").alias("far")))
         forget(last)
-        m = all_pairs.count()
-        if m == n:
+
+
+def _merged(pairs: DataFrame, count: int, nodes: DataFrame) -> DataFrame | None:
+    """(id, group) of all nodes, where nodes of a group reach each other; None if that leaves more than three quarters of the pairs."""
+    left, n, groups = pairs, count, nodes
+    while True:
+        # Of the nodes that it reaches and that reach it a node takes the least: all that take the same one reach each other by it.
+        same = settled(left.join(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"]).groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("group")).where("id <> group"))
+        if same.isEmpty():
+            forget(same)
             break
-        n = m
-    return all_pairs
+        further, fewer = settled(_onward(groups, same)), settled(_renamed(left, same))
+        forget(same, *(x for x in (left, groups) if x is not pairs and x is not nodes))
+        left, groups, n = fewer, further, fewer.count()
+    if left is not pairs:
+        forget(left)
+    if n > 0.75 * count:
+        if groups is not nodes:
+            forget(groups)
+        return None
+    return groups
+
+
+def _onward(groups: DataFrame, merged: DataFrame) -> DataFrame:
+    """(id, group), where groups are themselves merged into others."""
+    return groups.join(merged.select(F.col("id").alias("group"), F.col("group").alias("to")), "group", "left").select("id", F.coalesce("to", "group").alias("group"))
+
+
+def _renamed(pairs: DataFrame, merged: DataFrame) -> DataFrame:
+    """Distinct pairs of the groups that nodes are merged into, without pairs within one."""
+    for end in ("src", "dst"):
+        pairs = pairs.join(merged.select(F.col("id").alias(end), F.col("group").alias(f"{end}_to")), end, "left")
+    return pairs.select(F.coalesce("src_to", "src").alias("src"), F.coalesce("dst_to", "dst").alias("dst")).where("src <> dst").distinct()
+
+
+def _written_out(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs of groups as pairs of their nodes, and those within a group. Groups are cut into parts, so the pairs of a large one are made by many tasks."""
+    sizes = settled(groups.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / PART)))
+    ids = groups.join(sizes, "group").groupBy("group", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")).agg(F.collect_list("id").alias("ids"))
+    both = pairs.unionByName(sizes.select(F.col("group").alias("src"), F.col("group").alias("dst")))
+    for end in ("src", "dst"):
+        both = both.join(sizes.select(F.col("group").alias(end), F.col("n").alias(f"{end}_n"), F.col("parts").alias(f"{end}_parts")), end, "left")
+    both, alone = settled(both), F.col("src_n").isNull() & F.col("dst_n").isNull()
+    many = both.where(~alone)
+    total = many.agg(F.sum(F.coalesce("src_n", F.lit(1)).cast("double") * F.coalesce("dst_n", F.lit(1)))).first()[0] or 0
+    for end in ("src", "dst"):
+        many = many.withColumn(f"{end}_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(f"{end}_parts", F.lit(1)) - 1)))
+    for end in ("src", "dst"):
+        many = many.join(ids.select(F.col("group").alias(end), F.col("part").alias(f"{end}_part"), F.col("ids").alias(f"{end}_ids")), [end, f"{end}_part"], "left")
+        many = many.withColumn(f"{end}_ids", F.when(F.col(f"{end}_n").isNull(), F.array(end)).otherwise(F.col(f"{end}_ids")))
+    many = many.select("src_ids", "dst_ids").repartition(1 + int(total / TASK))
+    made = many.select(F.explode("src_ids").alias("src"), "dst_ids").select("src", F.explode("dst_ids").alias("dst")).where("src <> dst")
+    return both.where(alone).select("src", "dst").unionByName(made)
 
 
 def full_match(text: Column, pattern: str) -> Column:
