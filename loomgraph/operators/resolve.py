@@ -48,6 +48,32 @@ def tiered_narrow(candidates: DataFrame, site: list[str], tiers: list[tuple[str,
     return left.drop("_keep", "_n", "_any", "_left")
 
 
+def tiered_match(sites: DataFrame, definitions: DataFrame, site: list[str], name: str, tiers: list[tuple[str, str]], limit: int, start: str = "unique_name") -> DataFrame:
+    """sites joined with the definitions of their name, narrowed as by tiered_narrow, where each tier asks that one column is equal on both sides.
+
+    Definitions are counted by name and each choice of the tiers' columns. The counts tell a site's tier and how many candidates are left, so only the
+    candidates of sites with at most `limit` of them are ever joined, not all candidates of all sites. Columns of both sides, those of the tiers from the sites."""
+    choices = range(2 ** len(tiers))
+    chosen = lambda c: [name, *(column for i, (_, column) in enumerate(tiers) if c >> i & 1)]
+    df = sites
+    for c in choices:
+        df = df.join(definitions.groupBy(*chosen(c)).agg(F.count("*").alias(f"_{c}")), chosen(c), "left")
+    w = Window.partitionBy(*site)
+    df = df.withColumn("_n", F.array(*(F.coalesce(F.sum(f"_{c}").over(w), F.lit(0)) for c in choices))).withColumn("_by", F.lit(0)).withColumn("tier", F.lit(start))
+    for i, (tier, _) in enumerate(tiers):
+        narrows = (F.get("_n", F.col("_by").bitwiseOR(F.lit(1 << i))) > 0) & (F.get("_n", "_by") > 1)
+        df = df.withColumn("tier", F.when(narrows, F.lit(tier)).otherwise(F.col("tier"))).withColumn("_by", F.when(narrows, F.col("_by").bitwiseOR(F.lit(1 << i))).otherwise(F.col("_by")))
+    left = df.withColumn("candidates", F.get("_n", "_by")).where(F.col("candidates").between(1, limit)).drop("_n", *(f"_{c}" for c in choices))
+    # A column that wasn't chosen is null in the key on both sides; what is chosen and null is equal to nothing.
+    column = lambda i, column: F.when(F.col("_by").bitwiseAND(F.lit(1 << i)) > 0, F.col(column))
+    key = F.struct("_by", name, *(column(i, x).alias(f"_{i}") for i, (_, x) in enumerate(tiers)))
+    known = definitions.where(F.col(name).isNotNull()).withColumn("_by", F.explode(F.array(*(F.lit(c) for c in choices))))
+    for i, (_, x) in enumerate(tiers):
+        known = known.where((F.col("_by").bitwiseAND(F.lit(1 << i)) == 0) | F.col(x).isNotNull())
+    known = known.withColumn("_key", key).drop("_by", name, *(x for _, x in tiers))
+    return left.withColumn("_key", key).drop("_by").join(known, "_key").drop("_key")
+
+
 def first_candidate(sites: DataFrame, site: list[str], generated: str, known: DataFrame, key: str) -> DataFrame:
     """sites with an array of generated names, best first -> the first name that is known: site columns, key. Sites without one have no row."""
     named = sites.select(*site, F.posexplode(generated).alias("_at", key))

@@ -289,10 +289,10 @@ k3 AS (SELECT *, count(*) OVER (PARTITION BY site) AS n2, bool_or(same_nation) O
 k4 AS (SELECT site, target, CASE WHEN n2 > 1 AND n > 1 AND any_nation THEN 'nation' WHEN n > 1 AND any_region THEN 'region' ELSE 'unique_name' END AS tier FROM k3 WHERE n = 1 OR n2 = 1 OR NOT any_nation OR same_nation),
 k5 AS (SELECT *, count(*) OVER (PARTITION BY site) AS candidates FROM k4) SELECT site, target, tier, candidates FROM k5 WHERE candidates <= 5""")
 def tiered_resolution(spark, d):
-    n = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("site"), F.col("c_nationkey").alias("cn"), (F.col("c_custkey") % 50).alias("name")).join(n.select(F.col("n_nationkey").alias("cn"), F.col("n_regionkey").alias("cr")), "cn")
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("target"), F.col("s_nationkey").alias("sn"), (F.col("s_suppkey") % 50).alias("name")).join(n.select(F.col("n_nationkey").alias("sn"), F.col("n_regionkey").alias("sr")), "sn")
-    return R.tiered_narrow(c.join(s, "name"), ["site"], [("region", F.col("cr") == F.col("sr")), ("nation", F.col("cn") == F.col("sn"))], 5).select("site", "target", "tier", "candidates")
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("site"), F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 50).alias("name")).join(n, "nation")
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("target"), F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 50).alias("name")).join(n, "nation")
+    return R.tiered_match(c, s, ["site"], "name", [("region", "region"), ("nation", "nation")], 5).select("site", "target", "tier", "candidates")
 
 
 _PATH = "regexp_extract(url, '^https?://([^?#]*)', 1)"
