@@ -153,7 +153,7 @@ def trails(edges: DataFrame, seeds: DataFrame, min_hops: int, max_hops: int, rev
 #: Pairs, and pairs a node, from which on it's tried whether nodes that reach each other can be merged.
 SMALL, DENSE = 1 << 16, 8
 #: Nodes of a group that are written out together, and pairs that a task writes out of groups.
-PART, TASK = 1024, 1 << 20
+PART, TASK = 256, 1 << 20
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -162,18 +162,58 @@ def closure(edges: DataFrame) -> DataFrame:
     Path lengths double until nothing is new. Joining all pairs with all pairs would find each of them over and over where many nodes reach each other; such nodes are
     merged into one as soon as that saves pairs, and the search begins anew between what is left. At the end a pair of groups becomes the pairs of their nodes."""
     steps, groups = settled(edges.select("src", "dst").where("src <> dst").distinct()), None
+    if steps.count() > SMALL // 16 and (chains := _chains(steps)) is not None:
+        _, found = _closed(settled(_renamed(steps, chains)), None, 0)
+        if found is not None:
+            groups = settled(_of_chains(chains, found))
+            last, steps = steps, settled(_renamed(steps, groups))
+            forget(last, found)
+        forget(chains)
+    pairs, groups = _closed(steps, groups, SMALL)
+    return pairs if groups is None else _written_out(pairs, groups)
+
+
+def _closed(steps: DataFrame, groups: DataFrame | None, small: int) -> tuple[DataFrame, DataFrame | None]:
+    """All pairs of what is left of the nodes, and the (id, group) of those that were merged; groups: those merged before."""
     while True:
-        pairs, merged = _doubled(steps)
+        pairs, merged = _doubled(steps, small)
         if merged is None:
-            break
-        all_groups = settled(merged if groups is None else _onward(groups, merged))
-        fewer = settled(_renamed(steps, merged))
+            return pairs, groups
+        further, fewer = settled(merged if groups is None else _onward(groups, merged)), settled(_renamed(steps, merged))
         forget(steps, groups, pairs, merged)
-        steps, groups = fewer, all_groups
-    return pairs if groups is None else _written_out(pairs, groups)
+        steps, groups = fewer, further
+
 
+def _chains(steps: DataFrame, jumps: int = 10) -> DataFrame | None:
+    """(id, group) of all nodes, where a node with one way in goes with the node before it if that has one way out; None if at least half as many groups as nodes are left.
 
-def _doubled(steps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    A group is a stretch of a chain of at most 2^jumps nodes. All nodes of a chain are in one larger circle, or none is."""
+    only = lambda end: steps.groupBy(end).agg(F.count("*").alias("n")).where("n = 1").select(end)
+    before = steps.join(only("src"), "src").join(only("dst"), "dst").select(F.col("dst").alias("id"), F.col("src").alias("before"))
+    nodes = steps.select(F.col("src").alias("id")).union(steps.select("dst")).distinct()
+    groups = settled(nodes.join(before, "id", "left").select("id", F.coalesce("before", "id").alias("group")))
+    n, left = groups.count(), groups.select("group").distinct().count()
+    for _ in range(jumps):
+        last, groups = groups, settled(_onward(groups, groups))
+        forget(last)
+        if (fewer := groups.select("group").distinct().count()) == left:
+            break
+        left = fewer
+    if 2 * left >= n:
+        forget(groups)
+        return None
+    return groups
+
+
+def _of_chains(chains: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, group) of all nodes from the groups of their chains; nodes of chains that weren't merged stay by themselves. A group has the name of one of its nodes."""
+    several = found.join(found.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group"), "group").select(F.col("id").alias("group"), F.col("group").alias("to"))
+    merged = chains.join(several, "group", "left")
+    names = merged.where("to IS NOT NULL").groupBy("to").agg(F.min("id").alias("name"))
+    return merged.join(names, "to", "left").select("id", F.coalesce("name", "id").alias("group"))
+
+
+def _doubled(steps: DataFrame, small: int) -> tuple[DataFrame, DataFrame | None]:
     """All pairs (src, dst) and None; or pairs that aren't whole, and (id, group) of all nodes, where merging nodes that reach each other saves a quarter of the pairs.
 
     `far` is 2 for pairs as many steps apart as were looked at so far, else less. Pairs that far apart are joined with all pairs: each new one is a pair
@@ -185,7 +225,7 @@ def _doubled(steps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         if not farthest:
             forget(nodes)
             return pairs.select("src", "dst"), None
-        if count > max(SMALL, DENSE * n) and (merged := _merged(pairs, count, nodes)) is not None:
+        if count > max(small, DENSE * n) and (merged := _merged(pairs, count, nodes)) is not None:
             forget(nodes)
             return pairs, merged
         ends = pairs.where("far = 2").select("src", F.col("dst").alias("mid")).join(pairs.select(F.col("src").alias("mid"), "dst", "far"), "mid").where("src <> dst")
@@ -205,7 +245,9 @@ def _merged(pairs: DataFrame, count: int, nodes: DataFrame) -> DataFrame | None:
             break
         further, fewer = settled(_onward(groups, same)), settled(_renamed(left, same))
         forget(same, *(x for x in (left, groups) if x is not pairs and x is not nodes))
-        left, groups, n = fewer, further, fewer.count()
+        left, groups, before, n = fewer, further, n, fewer.count()
+        if n > 0.98 * before:  # hardly any: the next doubling finds more
+            break
     if left is not pairs:
         forget(left)
     if n > 0.75 * count:

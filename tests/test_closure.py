@@ -30,7 +30,13 @@ def rings(n, size):
     return [(size * k + i, size * k + (i + 1) % size) for k in range(n) for i in range(size)] + [(size * k, size * (k + 2) + 3) for k in range(n - 2)]
 
 
-@pytest.mark.parametrize("pairs", [[(random.Random(i).randrange(60), random.Random(-i - 1).randrange(60)) for i in range(130)], rings(12, 6), [(i, i + 1) for i in range(40)], [(None, 1), (1, 2), (2, 1), (2, None)]], ids=["random", "rings", "path", "nulls"])
+def chains(n, size):
+    """Chains in a circle, one of which is left in its middle as well, and two behind it that lead nowhere."""
+    inner = [(size * k + i, size * k + i + 1) for k in range(n + 2) for i in range(size - 1)]
+    return [*inner, *((size * k + size - 1, size * ((k + 1) % n)) for k in range(n)), (size // 2, size * n), (size * n + size - 1, size * (n + 1))]
+
+
+@pytest.mark.parametrize("pairs", [chains(4, 9), [(random.Random(i).randrange(60), random.Random(-i - 1).randrange(60)) for i in range(130)], rings(12, 6), [(i, i + 1) for i in range(40)], [(None, 1), (1, 2), (2, 1), (2, None)]], ids=["chains", "random", "rings", "path", "nulls"])
 def test_equals_searches(spark, monkeypatch, pairs):
     for name, value in (("SMALL", 0), ("DENSE", 1), ("PART", 4), ("TASK", 20)):
         monkeypatch.setattr(G, name, value)
