@@ -152,7 +152,7 @@ def trails(edges: DataFrame, seeds: DataFrame, min_hops: int, max_hops: int, rev
 
 #: Pairs, and pairs a node, from which on it's tried whether nodes that reach each other can be merged.
 SMALL, DENSE = 1 << 16, 8
-#: Nodes of a group that are written out together, and pairs that a task writes out of groups.
+#: Nodes of a group that are written out together, and pairs that a task writes out of groups; of groups with more than 512 parts and of results for more than 16384 tasks both are larger.
 PART, TASK = 256, 1 << 20
 
 
@@ -271,7 +271,7 @@ def _renamed(pairs: DataFrame, merged: DataFrame) -> DataFrame:
 
 def _written_out(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs of groups as pairs of their nodes, and those within a group. Groups are cut into parts, so the pairs of a large one are made by many tasks."""
-    sizes = settled(groups.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / PART)))
+    sizes = settled(groups.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.least(F.ceil(F.col("n") / PART), F.lit(512))))
     ids = groups.join(sizes, "group").groupBy("group", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")).agg(F.collect_list("id").alias("ids"))
     both = pairs.unionByName(sizes.select(F.col("group").alias("src"), F.col("group").alias("dst")))
     for end in ("src", "dst"):
@@ -284,7 +284,7 @@ def _written_out(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     for end in ("src", "dst"):
         many = many.join(ids.select(F.col("group").alias(end), F.col("part").alias(f"{end}_part"), F.col("ids").alias(f"{end}_ids")), [end, f"{end}_part"], "left")
         many = many.withColumn(f"{end}_ids", F.when(F.col(f"{end}_n").isNull(), F.array(end)).otherwise(F.col(f"{end}_ids")))
-    many = many.select("src_ids", "dst_ids").repartition(1 + int(total / TASK))
+    many = many.select("src_ids", "dst_ids").repartition(min(1 + int(total / TASK), 1 << 14))
     made = many.select(F.explode("src_ids").alias("src"), "dst_ids").select("src", F.explode("dst_ids").alias("dst")).where("src <> dst")
     return both.where(alone).select("src", "dst").unionByName(made)
 
